@@ -425,10 +425,10 @@ def ratios(t):
 
 
 @query("e5_fill_expanding", ["readings"], f"""WITH x AS (SELECT account_id, YEAR, MONTH, lag(NET_CONSUMPTION_kWh,3) OVER ({W}) AS l, CASE WHEN MONTH % 4 <> 0 THEN NET_CONSUMPTION_kWh END AS v FROM readings)
-SELECT account_id, YEAR, MONTH, round(coalesce(l, avg(l) OVER w, 0),4) AS lag_3, round(coalesce(v, avg(v) OVER w, 0),4) AS v FROM x WINDOW w AS ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+SELECT account_id, YEAR, MONTH, round(coalesce(l, avg(l) OVER w, 0),6) AS lag_3, round(coalesce(v, avg(v) OVER w, 0),6) AS v FROM x WINDOW w AS ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def fill(t):
     x = SE.lag_features(t("readings"), lags=[3]).withColumn("v", F.when(F.col("MONTH") % 4 != 0, F.col("NET_CONSUMPTION_kWh")))
-    return rounded(SE.fill_expanding(x, ["lag_3", "v"]), ["lag_3", "v"]).select("account_id", "YEAR", "MONTH", "lag_3", "v")
+    return rounded(SE.fill_expanding(x, ["lag_3", "v"]), ["lag_3", "v"], 6).select("account_id", "YEAR", "MONTH", "lag_3", "v")
 
 
 @query("e7_circular_smoothing", ["readings"], """WITH p AS (SELECT account_id, MONTH, avg(NET_CONSUMPTION_kWh) v FROM readings GROUP BY 1,2)

@@ -133,3 +133,19 @@ def pad_to(a: Column, n: int) -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def array_median(a: Column) -> Column:
+    s = F.sort_array(a)
+    n = F.size(a)
+    mid = F.floor(n / 2).cast("int")
+    return F.when(n % 2 == 1, F.get(s, mid)).otherwise((F.get(s, mid - 1) + F.get(s, mid)) / 2.0)
+
+
+def array_corr(a: Column, b: Column) -> Column:
+    """Pearson correlation of two short arrays; null when either is constant."""
+    n = F.size(a).cast("double")
+    cov = array_dot(a, b) - array_sum(a) * array_sum(b) / n
+    va, vb = array_dot(a, a) - array_sum(a) * array_sum(a) / n, array_dot(b, b) - array_sum(b) * array_sum(b) / n
+    varies = (F.array_max(a) > F.array_min(a)) & (F.array_max(b) > F.array_min(b))
+    return F.when(varies, F.try_divide(cov, F.sqrt(F.greatest(va * vb, F.lit(0.0)))))

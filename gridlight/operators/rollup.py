@@ -103,7 +103,7 @@ def customer_profiles(readings: DataFrame) -> DataFrame:
     out = months.groupBy("account_id", "ACCOUNT_NO").agg(
         F.min_by("_a", "_t").alias("_a"), pattern.alias("monthly_pattern"),
         F.count(F.lit(1)).cast("int").alias("months_with_data"), F.count_if(F.col("net") < 10).cast("int").alias("low_months"),
-        F.sum("net").alias("annual_total"), F.avg("net").alias("annual_average"), F.stddev_pop("net").alias("annual_std"),
+        F.percentile("net", F.lit(0.5)).alias("household_median"), F.sum("net").alias("annual_total"), F.avg("net").alias("annual_average"), F.stddev_pop("net").alias("annual_std"),
         F.min("net").alias("annual_min"), F.max("net").alias("annual_max"),
         F.max_by("MONTH", F.struct(F.col("net"), -F.col("MONTH"))).alias("peak_month"))
     return out.select("account_id", "ACCOUNT_NO", *[F.col(f"_a.{c}").alias(c) for c in ACCOUNT_ATTRIBUTES],
