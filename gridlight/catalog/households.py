@@ -233,7 +233,7 @@ def forecast(t):
     return rounded(f, ["kwh", "lower_kwh", "upper_kwh", "confidence", "seasonal_factor"], 6)
 
 
-@query("d56_forecast_statistics", SIM_NEEDS, "WITH " + FC_SQL + """ SELECT user_id, round(sum(kwh),3) annual_total, round(avg(kwh),4) annual_average, arg_max(month, round(kwh,5)*1000-month) peak_month, round(max(kwh),4) peak_kwh, arg_min(month, round(kwh,5)*1000+month) low_month,
+@query("d56_forecast_statistics", SIM_NEEDS, "WITH " + FC_SQL + """ SELECT user_id, round(sum(kwh),3) annual_total, round(avg(kwh),4) annual_average, arg_max(month, round(kwh+1e-7,5)*1e7-month) peak_month, round(max(kwh),4) peak_kwh, arg_min(month, round(kwh+1e-7,5)*1e7+month) low_month,
  round(min(kwh),4) low_kwh, CASE WHEN regr_slope(kwh,horizon)>2 THEN 'increasing' WHEN regr_slope(kwh,horizon)<-2 THEN 'decreasing' ELSE 'stable' END trend, round(stddev_pop(kwh),4) monthly_variability,
  round(stddev_pop(kwh)/avg(kwh),6) seasonality_index, round(avg(confidence),6) overall_confidence FROM fc GROUP BY 1""")
 def forecast_stats(t):
@@ -265,13 +265,13 @@ def ensemble_forecast(t):
     return rounded(rounded(e, ["kwh", "lower_bound", "upper_bound", "std_dev", "confidence"], 6), [], 6).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("q25", "q75")})
 
 
-@query("h44_ensemble_confidence", SIM_NEEDS, "WITH " + ENS_SQL + """, pk2 AS (SELECT user_id, arg_max(month, round(k,6)*1000-month) pmo, avg(c) oc FROM en GROUP BY 1)
+@query("h44_ensemble_confidence", SIM_NEEDS, "WITH " + ENS_SQL + """, pk2 AS (SELECT user_id, arg_max(month, round(k,6)*1e7-month) pmo, avg(c) oc FROM en GROUP BY 1)
  SELECT user_id, month, round(oc*(1-0.1e0*abs(month-pmo)/6),6) AS month_confidence FROM en JOIN pk2 USING (user_id)""")
 def ensemble_conf(t):
     return EN.month_confidence(ensemble(t)).select("user_id", "month", r("month_confidence", 6).alias("month_confidence"))
 
 
-@query("d56_ensemble_statistics", SIM_NEEDS, "WITH " + ENS_SQL + """ SELECT user_id, round(sum(k),3) annual_total, round(avg(k),4) annual_average, arg_max(month, round(k,6)*1000-month) peak_month, arg_min(month, round(k,6)*1000+month) low_month, round(stddev_pop(k),4) monthly_variability,
+@query("d56_ensemble_statistics", SIM_NEEDS, "WITH " + ENS_SQL + """ SELECT user_id, round(sum(k),3) annual_total, round(avg(k),4) annual_average, arg_max(month, round(k,6)*1e7-month) peak_month, arg_min(month, round(k,6)*1e7+month) low_month, round(stddev_pop(k),4) monthly_variability,
  round(stddev_pop(k)/avg(k),6) seasonality_index, CASE WHEN (max(k) FILTER (month=12) - max(k) FILTER (month=1))/11>5 THEN 'increasing' WHEN (max(k) FILTER (month=12) - max(k) FILTER (month=1))/11<-5 THEN 'decreasing' ELSE 'stable' END trend FROM en GROUP BY 1""")
 def ensemble_stats(t):
     s = rounded(EN.ensemble_statistics(ensemble(t)), ["annual_average", "monthly_variability"])

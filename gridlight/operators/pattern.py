@@ -153,8 +153,8 @@ def forecast_statistics(forecast: DataFrame, by: list[str], value: str = "kwh",
     mean, std = F.avg(v), F.stddev_pop(v)
     return forecast.groupBy(*by).agg(
         F.sum(v).alias("annual_total"), mean.alias("annual_average"),
-        F.max_by("month", F.struct(F.round(v, 5), -F.col("month"))).alias("peak_month"), F.max(v).alias("peak_kwh"),
-        F.min_by("month", F.struct(F.round(v, 5), F.col("month"))).alias("low_month"), F.min(v).alias("low_kwh"),
+        F.max_by("month", F.struct(F.round(v + 1e-7, 5), -F.col("month"))).alias("peak_month"), F.max(v).alias("peak_kwh"),
+        F.min_by("month", F.struct(F.round(v + 1e-7, 5), F.col("month"))).alias("low_month"), F.min(v).alias("low_kwh"),
         F.when(slope > 2, "increasing").when(slope < -2, "decreasing").otherwise("stable").alias("trend"),
         std.alias("monthly_variability"), F.when(mean > 0, F.try_divide(std, mean)).otherwise(0.0).alias("seasonality_index"),
         F.avg("confidence").alias("overall_confidence"))
