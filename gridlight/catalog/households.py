@@ -10,6 +10,7 @@ from gridlight.catalog.tables_and_bills import PROFILE_SQL, ROLLUP_SQL, hav, r,
 from gridlight.functions import geo as G, numeric as N, suitability as S, text as TX
 from gridlight.operators import ensemble as EN, pattern as PA, rollup as RU, similarity as SI, suitability as SU
 from gridlight.operators.spatial import radius_join, top_k
+from gridlight.session import cut_lineage
 
 
 def requests(t):
@@ -155,6 +156,11 @@ def similar(t):
     return SI.similar_households(requests(t), RU.customer_profiles(t("readings")))
 
 
+def similar_once(t):
+    """Checkpointed, as the steps that follow read it several times."""
+    return cut_lineage(similar(t))
+
+
 @query("h30_h36_similarity_scores", SIM_NEEDS, "WITH " + SIM_SQL + """ SELECT user_id, account_id, round(d,3) distance_m, round(geo,6) geographic_score, round(pat,6) pattern_score, round(tech,6) technical_score,
  round(sea,6) seasonal_score, round(score,6) score FROM sc""")
 def scores(t):
@@ -205,31 +211,31 @@ FC_SQL = ADJ_SQL + """, fc AS (SELECT up.user_id, (month+12-12)%12+1 AS horizon,
 
 @query("d17_weighted_median", SIM_NEEDS, "WITH " + PTS_SQL + " SELECT user_id, month, round(med,4) AS weighted_median FROM wm")
 def wmedian(t):
-    stats = PA.month_statistics(PA.pattern_points(similar(t)))
+    stats = PA.month_statistics(PA.pattern_points(similar_once(t)))
     return stats.select("user_id", "month", r("median").alias("weighted_median"))
 
 
 @query("d18_monthly_pattern", SIM_NEEDS, "WITH " + PTS_SQL + " SELECT user_id, month, n AS n_points, round(med,4) median, round(iqr,4) iqr, round(p10,4) p10, round(p90,4) p90 FROM mp")
 def monthly_pattern(t):
-    return rounded(PA.monthly_patterns(similar(t)), ["median", "iqr", "p10", "p90"]).select("user_id", "month", "n_points", "median", "iqr", "p10", "p90")
+    return rounded(PA.monthly_patterns(similar_once(t)), ["median", "iqr", "p10", "p90"]).select("user_id", "month", "n_points", "median", "iqr", "p10", "p90")
 
 
 @query("d19_d20_pattern_quality", SIM_NEEDS, "WITH " + PAT_SQL + " SELECT user_id, month, round(med,4) median, round(q,6) quality_score, round(conf,6) confidence, tp AS total_points FROM rp")
 def pattern_quality(t):
-    p = rounded(rounded(PA.robust_pattern(similar(t)), ["median"]), ["quality_score", "confidence"], 6)
+    p = rounded(rounded(PA.robust_pattern(similar_once(t)), ["median"]), ["quality_score", "confidence"], 6)
     return p.select("user_id", "month", "median", "quality_score", "confidence", "total_points")
 
 
 @query("h37_h38_user_pattern", SIM_NEEDS, "WITH " + ADJ_SQL + " SELECT user_id, month, round(med,4) median, round(iqr,4) iqr, round(conf,6) confidence, ns AS n_similar FROM up")
 def user_pattern(t):
-    p = PA.user_patterns(requests(t), similar(t))
+    p = PA.user_patterns(requests(t), similar_once(t))
     return rounded(rounded(p, ["median", "iqr"]), ["confidence"], 6).select("user_id", "month", "median", "iqr", "confidence", "n_similar")
 
 
 @query("h40_pattern_forecast", SIM_NEEDS, "WITH " + FC_SQL + """ SELECT user_id, horizon, year, month, round(kwh,6) kwh, round(lower_kwh,6) lower_kwh, round(upper_kwh,6) upper_kwh, round(confidence,6) confidence,
  CASE WHEN month IN (12,1,2) THEN 'NE Monsoon' WHEN month IN (5,6,7,8,9) THEN 'SW Monsoon' ELSE 'Dry Season' END AS season, month IN (1,4,5,12) AS is_holiday_month, round(kwh/avg(kwh) OVER (PARTITION BY user_id),6) seasonal_factor FROM fc""")
 def forecast(t):
-    f = PA.pattern_forecast(PA.user_patterns(requests(t), similar(t)))
+    f = PA.pattern_forecast(PA.user_patterns(requests(t), similar_once(t)))
     return rounded(f, ["kwh", "lower_kwh", "upper_kwh", "confidence", "seasonal_factor"], 6)
 
 
@@ -237,7 +243,7 @@ def forecast(t):
  round(min(kwh),4) low_kwh, CASE WHEN regr_slope(kwh,horizon)>2 THEN 'increasing' WHEN regr_slope(kwh,horizon)<-2 THEN 'decreasing' ELSE 'stable' END trend, round(stddev_pop(kwh),4) monthly_variability,
  round(stddev_pop(kwh)/avg(kwh),6) seasonality_index, round(avg(confidence),6) overall_confidence FROM fc GROUP BY 1""")
 def forecast_stats(t):
-    s = PA.forecast_statistics(PA.pattern_forecast(PA.user_patterns(requests(t), similar(t))), ["user_id"])
+    s = PA.forecast_statistics(PA.pattern_forecast(PA.user_patterns(requests(t), similar_once(t))), ["user_id"])
     s = rounded(s, ["annual_average", "peak_kwh", "low_kwh", "monthly_variability"])
     return rounded(s, ["seasonality_index", "overall_confidence"], 6).withColumn("annual_total", r("annual_total", 3))
 
@@ -255,7 +261,7 @@ en AS (SELECT cb.*, v*ua/ma AS k FROM cb JOIN ua USING (user_id) JOIN ma USING (
 
 def ensemble(t):
     u = requests(t)
-    pat = PA.pattern_forecast(PA.user_patterns(u, similar(t)))
+    pat = PA.pattern_forecast(PA.user_patterns(u, similar_once(t)))
     return EN.combine(EN.stack_forecasts({"pattern": pat, "national": PA.national_fallback(u)}), u)
 
 
@@ -291,7 +297,7 @@ def adaptive(t):
 @query("d21_historical_features", SIM_NEEDS, "WITH " + SIM_SQL + """ SELECT user_id, um.m AS month, round(avg(net),4) hist_mean, round(quantile_cont(net,0.5),4) hist_median, round(stddev_pop(net),4) hist_std, round(min(net),4) hist_min, round(max(net),4) hist_max
  FROM sim JOIN um USING (user_id) JOIN pm ON pm.account_id=sim.account_id AND pm.MONTH=um.m WHERE rank<=5 GROUP BY 1,2""")
 def historical(t):
-    h = PA.historical_features(similar(t), requests(t))
+    h = PA.historical_features(similar_once(t), requests(t))
     return rounded(h, ["hist_mean", "hist_median", "hist_std", "hist_min", "hist_max"])
 
 
@@ -307,7 +313,7 @@ def user_stats(t):
  round(round(kwh,4)*77,1) AS value_lkr FROM fc""")
 def month_ranking(t):
     from gridlight.functions.calendar import season_band
-    f = PA.pattern_forecast(PA.user_patterns(requests(t), similar(t)))
+    f = PA.pattern_forecast(PA.user_patterns(requests(t), similar_once(t)))
     ranked = top_k(f, ["user_id"], [F.round("kwh", 9).desc(), F.col("month")], 12)
     return ranked.select("user_id", "month", "rank", season_band(F.col("month")).alias("band"), r(F.round("kwh", 4) * 77, 1).alias("value_lkr"))
 
@@ -324,7 +330,7 @@ l AS (SELECT user_id, month, c, """ + ", ".join(f"coalesce(lag(base,{n}) OVER (P
     f"round(rolling_{s}_{n},6) rolling_{s}_{n}" for n in (3, 6, 12) for s in ("mean", "std", "min", "max")) + """, CAST(month IN (5,6,7,8,9) AS INT) is_wet_season, round(c-lag_1,6) diff_1, round((c-lag_12)/lag_12*100,6) pct_change_12,
  round(c/((lag_1+lag_2+lag_3)/3),6) consumption_vs_avg, round(c/rolling_mean_6,6) consumption_vs_rolling_6 FROM l""")
 def serving(t):
-    s = PA.serving_frame(requests(t), similar(t))
+    s = PA.serving_frame(requests(t), similar_once(t))
     four = ["consumption", *[f"lag_{n}" for n in (1, 2, 3, 6, 12)], *[f"rolling_{k}_{n}" for n in (3, 6, 12) for k in ("mean", "std", "min", "max")], "diff_1", "pct_change_12"]
     six = ["consumption_vs_avg", "consumption_vs_rolling_6"]
     return rounded(s, four + six, 6).select("user_id", "month", "is_wet_season", *four, *six)

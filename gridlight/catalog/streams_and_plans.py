@@ -69,20 +69,20 @@ def integrated(t):
     return IN.analyse(requests(t), t("readings"), yields, max_radius_m=2000.0)
 
 
-@query("p_consumption_bills", ["users", "readings"])
+@query("plan_consumption_bills", ["users", "readings"])
 def consumption_bills(t):
     u = requests(t)
     return CO.annual(CO.bills(CO.forecast(u, t("readings")), u))
 
 
-@query("p_solar_training_table", ["readings", "weather", "weather_history"])
+@query("plan_solar_training_table", ["readings", "weather", "weather_history"])
 def training_table(t):
     table = ST.training_table(t("readings"), t("weather"), t("weather_history"), 1995, 1998)
     train, test = ST.split_and_clean(table)
     return train.groupBy("Month").agg(F.count(F.lit(1)).alias("n"), F.avg("Efficiency").alias("mean_efficiency"))
 
 
-@query("p_transformer_assessment", ["users", "readings"])
+@query("plan_transformer_assessment", ["users", "readings"])
 def assessment(t):
     out = AS.assess_sites(sites(t), AS.transformer_table(t("readings")), max_radius_m=2000.0)
     return out.select("user_id", "TRANSFORMER_CODE", "rank", "score", "ml_score", "risk_tier", "future_load_kW", "label")
