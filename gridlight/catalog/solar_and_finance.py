@@ -10,6 +10,7 @@ from gridlight.catalog.tables_and_bills import r, rounded
 from gridlight.functions import solar as S
 from gridlight.functions.tariff import export_tariff
 from gridlight.operators import finance as FI, metrics as ME, solar as SO, splits as SP
+from gridlight.session import cut_lineage
 
 RW = "rw AS (SELECT r.*, w.* EXCLUDE (SITE_ID, Year, Month) FROM readings r LEFT JOIN weather w ON w.SITE_ID=r.SITE_ID AND w.Year=r.YEAR AND w.Month=r.MONTH)"
 DIM = "CASE WHEN MONTH=2 THEN 28 WHEN MONTH IN (4,6,9,11) THEN 30 ELSE 31 END"
@@ -89,7 +90,9 @@ kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g,t,c ORDER BY r
 
 
 def knn_sets(t):
-    f = SP.arithmetic_group_split(solar_frame(t).dropna(subset=["Solar_Irradiance_GHI", "Efficiency"]))
+    rows = solar_frame(t).dropna(subset=["Solar_Irradiance_GHI", "Efficiency"])
+    # scaling, representatives and queries all start from these rows
+    f = cut_lineage(SP.arithmetic_group_split(rows).select("account_id", "YEAR", "MONTH", *C.KNN_FEATURES, "Efficiency", "split"))
     test, train = f.where("split = 'test'"), f.where("split = 'train'")
     return test, SO.nearest_rows(test, train, C.KNN_FEATURES, "Efficiency", ["account_id", "YEAR", "MONTH"])
 

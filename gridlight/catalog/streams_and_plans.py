@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridlight import constants as C
 from gridlight.catalog.base import query
-from gridlight.catalog.households import requests, sites
+from gridlight.catalog.households import FC_SQL, requests, sites
 from gridlight.catalog.solar_and_finance import solar_frame
 from gridlight.catalog.tables_and_bills import LEDGER_SQL, r, rounded
 from gridlight.plans import assessment as AS, consumption as CO, integrated as IN, solar_training as ST
@@ -69,10 +69,20 @@ def integrated(t):
     return IN.analyse(requests(t), t("readings"), yields, max_radius_m=2000.0)
 
 
-@query("plan_consumption_bills", ["users", "readings"])
+# the flow keeps plausible readings only, so its profiles start from those
+BILLS_SQL = "WITH rok AS (SELECT * FROM readings WHERE NET_CONSUMPTION_kWh BETWEEN 10 AND 2000), " + FC_SQL.replace("FROM readings GROUP BY 1,2,3)", "FROM rok GROUP BY 1,2,3)") + """,
+ua AS (SELECT user_id, avg(k) ua FROM um GROUP BY 1), ma AS (SELECT user_id, avg(kwh) ma FROM fc GROUP BY 1),
+kk AS (SELECT user_id, month, tariff, kwh*ua/ma k FROM fc JOIN ua USING (user_id) JOIN ma USING (user_id) JOIN users USING (user_id)),
+bk AS (SELECT * FROM (VALUES ('D1',0e0,31e0,8e0),('D1',31e0,30e0,10e0),('D1',61e0,30e0,16e0),('D1',91e0,30e0,50e0),('D1',121e0,60e0,75e0),('D1',181e0,9819e0,100e0),('GP1',0e0,101e0,45e0),('GP1',101e0,9899e0,55e0)) AS v(bt,below,size,rate)),
+en AS (SELECT user_id, month, any_value(k) k, sum(greatest(0e0,least(k-below,size))*rate) e, CASE WHEN any_value(tariff)='GP1' THEN 240e0 ELSE 180e0 END f FROM kk JOIN bk ON bt=tariff GROUP BY 1,2)
+SELECT user_id, round(sum(k),3) total_consumption_kwh, round(sum(round((e*1.18e0+f)*1.18e0+1e-7,2)),2) total_bill_lkr FROM en GROUP BY 1"""
+
+
+@query("plan_consumption_bills", ["users", "readings"], BILLS_SQL)
 def consumption_bills(t):
     u = requests(t)
-    return CO.annual(CO.bills(CO.forecast(u, t("readings")), u))
+    a = CO.annual(CO.bills(CO.forecast(u, t("readings")), u))
+    return a.select("user_id", r("total_consumption_kwh", 3).alias("total_consumption_kwh"), r("total_bill_lkr", 2).alias("total_bill_lkr"))
 
 
 @query("plan_solar_training_table", ["readings", "weather", "weather_history"])

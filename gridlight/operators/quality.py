@@ -8,7 +8,7 @@ from gridlight import constants as C
 from gridlight.functions import numeric as N
 from gridlight.functions.geo import in_bounds
 from gridlight.operators.clean import numeric_columns
-from gridlight.operators.ordered import exact_quantiles
+from gridlight.operators.ordered import exact_quantiles, histogram
 
 
 def _long(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
@@ -29,8 +29,9 @@ def missing_report(df: DataFrame, by: list[str] | None = None, cols: list[str] |
 def outlier_report(df: DataFrame, by: list[str] | None = None, cols: list[str] | None = None, spread: float = 3.0) -> DataFrame:
     """Values beyond ``spread`` IQRs per numeric column.
 
-    The bounds are one row per (group, column) and go back to the rows as a join
-    whose strategy is left to the optimizer.
+    Counted on the (value, count) rows the quantiles are built from, not on the
+    readings: the bounds, one row per group and column, meet the folded values, and
+    how they are joined is left to the optimizer, which sees the sizes at run time.
     """
     by = by or []
     cols = cols or [c for c in numeric_columns(df) if c not in by]
@@ -38,8 +39,9 @@ def outlier_report(df: DataFrame, by: list[str] | None = None, cols: list[str] |
     q = exact_quantiles(long, [*by, "name"], "x", {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     bounds = q.select(*by, "name", (F.col("q1") - spread * iqr).alias("lo"), (F.col("q3") + spread * iqr).alias("hi"))
-    hit = (F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi"))
-    return long.join(bounds, [*by, "name"]).groupBy(*by, F.col("name").alias("column")).agg(F.count_if(hit).alias("outliers"))
+    hit = (F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))
+    counts = histogram(long, [*by, "name"], "x").join(bounds, [*by, "name"])
+    return counts.groupBy(*by, F.col("name").alias("column")).agg(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("outliers"))
 
 
 def sign_counts(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -54,7 +56,10 @@ def seasonal_consistency(df: DataFrame, by: list[str] | None = None) -> DataFram
     inside one small array.
     """
     by = by or []
-    means = df.groupBy(*by, "MONTH").agg(F.avg("NET_CONSUMPTION_kWh").alias("m"))
+    return _seasonal_score(df.groupBy(*by, "MONTH").agg(F.avg("NET_CONSUMPTION_kWh").alias("m")), by)
+
+
+def _seasonal_score(means: DataFrame, by: list[str]) -> DataFrame:
     maps = means.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("MONTH", "m"))).alias("means"))
 
     def rank(month: int, descending: bool) -> Column:
@@ -83,16 +88,25 @@ def quality_report(df: DataFrame, by: list[str]) -> DataFrame:
     numeric = [c for c in numeric_columns(df) if c not in by and c != "account_id"]
     columns = [c for c in df.columns if c not in by]
     bad_place = ~in_bounds(F.col("CUSTOMER_LAT"), F.col("CUSTOMER_LON"))
+    net = F.col("NET_CONSUMPTION_kWh")
+    # every count that needs no account comes out of one aggregate with tiny map-side results
     head = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total_records"), F.count_distinct("account_id").alias("unique_accounts"),
-        F.count_if(bad_place).alias("invalid_locations"), F.count_if(~F.col("CAL_TARIFF").isin(C.VALID_TARIFFS)).alias("invalid_tariffs"))
+        F.count(F.lit(1)).alias("total_records"), F.count_if(bad_place).alias("invalid_locations"),
+        F.count_if(~F.col("CAL_TARIFF").isin(C.VALID_TARIFFS)).alias("invalid_tariffs"),
+        F.count_if((net == 0) & (F.col("HAS_SOLAR") == 0)).alias("zero_months"), F.count_if(net < 0).alias("negative_months"),
+        *[F.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(columns)])
+    gaps = F.filter(F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"_m{i}").alias("value")) for i, c in enumerate(columns)]), lambda e: e["value"] > 0)
+    head = head.withColumn("missing_values", F.map_from_entries(F.array_sort(gaps))).drop(*[f"_m{i}" for i in range(len(columns))])
+    # account months once, for completeness, distinct accounts and month means
+    cells = df.groupBy(*by, "account_id", "MONTH").agg(F.sum(net).alias("s"), F.count(net).alias("k"))
+    accounts = cells.groupBy(*by, "account_id").agg(F.count(F.lit(1)).alias("months")).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("unique_accounts"), F.avg((F.col("months") == 12).cast("int")).alias("completeness"))
+    means = cells.groupBy(*by, "MONTH").agg((F.sum("s") / F.sum("k")).alias("m"))
     entries = lambda name, value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, value))))
-    missing = missing_report(df, by, columns).where("missing > 0").groupBy(*by).agg(entries("column", "missing").alias("missing_values"))
     outliers = outlier_report(df, by, numeric).where("outliers > 0").groupBy(*by).agg(entries("column", "outliers").alias("outlier_counts"))
-    out = (head.join(sign_counts(df, by), by).join(seasonal_consistency(df, by), by).join(completeness(df, by), by)
-           .join(missing, by, "left").join(outliers, by, "left"))
+    out = head.join(accounts, by).join(_seasonal_score(means, by), by).join(outliers, by, "left")
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
-    out = out.withColumns({c: F.coalesce(F.col(c), empty) for c in ("missing_values", "outlier_counts")})
+    out = out.withColumn("outlier_counts", F.coalesce("outlier_counts", empty))
     n = F.col("total_records")
     total = lambda m: F.aggregate(F.map_values(m), F.lit(0).cast("bigint"), lambda a, x: a + x)
     heavy = F.filter(F.map_entries("outlier_counts"), lambda e: e["value"] > n * 0.01)

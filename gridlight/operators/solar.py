@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridlight import constants as C
 from gridlight.functions import calendar as CAL, numeric as N, solar as S
+from gridlight.operators.skew import skew_join
 from gridlight.operators.spatial import top_k
 from gridlight.session import cut_lineage
 
@@ -103,14 +104,15 @@ def _scaled(df: DataFrame, stats: Column, features: list[str]) -> DataFrame:
 
 
 def nearest_rows(queries: DataFrame, train: DataFrame, features: list[str], target: str, tie: list[str], k: int = 3,
-                 levels: tuple[float, ...] = (0.1, 0.5)) -> DataFrame:
+                 levels: tuple[float, ...] | None = None) -> DataFrame:
     """The ``k`` nearest training rows of every distinct query vector, ties by the ``tie`` columns.
 
     Rows of one site share their month's weather, so both sides are first reduced
     to distinct vectors; of the training rows behind a vector only the first ``k``
     by the tie key can matter.  Vectors meet on a grid of cell size ``h``: if ``k``
     rows lie within ``h`` the answer is exact.  The few queries left over go to the
-    next coarser grid and at last to a single cell, so nothing is cut off.  Each
+    next coarser grid and at last to a single cell, so nothing is cut off; crowded
+    cells are split on both sides.  Each
     round is checkpointed, as the next one starts from what it left.
     """
     stats = scaler(train, features)
@@ -119,6 +121,10 @@ def nearest_rows(queries: DataFrame, train: DataFrame, features: list[str], targ
     reps = cut_lineage(top_k(t.select(*z, target, *tie), z, [F.col(c) for c in tie], k, "_rep").drop("_rep"))
     pending = cut_lineage(_scaled(queries.dropna(subset=features).select(*features).distinct(), stats, features))
     found = []
+    if levels is None:
+        # a cell wide enough to hold a few times k of the rows, were they spread evenly over a few deviations
+        first = min(1.0, 4.0 * (k / max(k, reps.count())) ** (1.0 / len(features)))
+        levels = (first, 4.0 * first)
     for h in (*levels, None):
         if h is None:
             q, r, keys = pending.withColumn("_c", F.lit(0)), reps.withColumn("_c", F.lit(0)), ["_c"]
@@ -129,9 +135,10 @@ def nearest_rows(queries: DataFrame, train: DataFrame, features: list[str], targ
                 cell = F.floor(F.col(c) / h)
                 q = q.withColumn(f"_c{i}", F.explode(F.sequence(cell - 1, cell + 1)))
                 r = r.withColumn(f"_c{i}", cell)
-        r = r.select(*keys, *[F.col(c).alias(f"t{c}") for c in z], target, *tie)
+        q = q.withColumn("_q", F.xxhash64(*features))
+        r = r.select(*keys, *[F.col(c).alias(f"t{c}") for c in z], target, *tie, F.xxhash64(*tie).alias("_t"))
         dist = F.sqrt(reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"t{c}")) * (F.col(c) - F.col(f"t{c}")) for c in z]))
-        pairs = q.join(r, keys).withColumn("distance", dist)
+        pairs = skew_join(q, r, keys, "_q", "_t").withColumn("distance", dist)
         if h is not None:
             pairs = pairs.where(F.col("distance") <= h)
         best = top_k(pairs.select(*features, "distance", target, *tie), features, [F.round("distance", 9), *[F.col(c) for c in tie]], k)
