@@ -46,12 +46,11 @@ def net_metering_ledger(readings: DataFrame, keys: list[str], consumption: str =
                         generation: str = "EXPORT_kWh", tariff: str = "CAL_TARIFF") -> DataFrame:
     """Credit ledger per account and year (``keys``), month by month; the balance lapses at year end.
 
-    Months are summed first, so a group is at most twelve elements and the fold
+    Months are summed first (an account has one tariff in a month), so a group is at most twelve elements and the fold
     over them needs neither Python nor an unbounded buffer.  The bill, the credit
     and the floor of each month are computed before the fold, inside code generation.
     """
-    monthly = readings.groupBy(*keys, "MONTH").agg(
-        F.sum(consumption).alias("c"), F.sum(generation).alias("g"), F.first(tariff).alias("t"))
+    monthly = readings.groupBy(*keys, "MONTH", F.col(tariff).alias("t")).agg(F.sum(consumption).alias("c"), F.sum(generation).alias("g"))
     net = F.col("c") - F.col("g")
     priced = monthly.withColumns({
         "net": net,

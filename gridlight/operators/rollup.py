@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gridlight import constants as C
+from gridlight.functions.calendar import time_index
 from gridlight.functions.geo import haversine_m
 from gridlight.functions.numeric import clip, right_closed_bin, safe_divide
 from gridlight.operators.ordered import exact_quantiles
@@ -19,8 +20,11 @@ def with_distance(readings: DataFrame) -> DataFrame:
 
 
 def customers_once(readings: DataFrame) -> DataFrame:
-    """One row per (transformer, account), taken from its earliest month."""
-    first = F.struct("YEAR", "MONTH")
+    """One row per (transformer, account), taken from its earliest month.
+
+    Order and values are plain numbers, so the aggregate hashes instead of sorting the readings.
+    """
+    first = time_index(F.col("YEAR"), F.col("MONTH"))
     return readings.groupBy("TRANSFORMER_CODE", "ACCOUNT_NO").agg(
         F.min_by("INV_CAPACITY", first).alias("INV_CAPACITY"), F.min_by("HAS_SOLAR", first).alias("HAS_SOLAR"))
 
@@ -32,7 +36,7 @@ def transformer_rollup(readings: DataFrame) -> DataFrame:
     aggregate serves the distinct count, the solar sums and the moments; no
     separate distinct pass and no self-join over the readings.
     """
-    first = F.struct("YEAR", "MONTH", "ACCOUNT_NO")
+    first = time_index(F.col("YEAR"), F.col("MONTH"))
     net = F.col("NET_CONSUMPTION_kWh")
     per_account = with_distance(readings).groupBy("TRANSFORMER_CODE", "ACCOUNT_NO").agg(
         F.min(first).alias("_first"), F.min_by("TRANSFORMER_LAT", first).alias("_lat"),
@@ -48,7 +52,7 @@ def transformer_rollup(readings: DataFrame) -> DataFrame:
     within = F.sum(F.col("_v") * F.col("_n"))
     between = F.sum(F.col("_n") * account_mean * account_mean) - n * mean * mean
     return per_account.groupBy("TRANSFORMER_CODE").agg(
-        F.min_by("_lat", "_first").alias("TRANSFORMER_LAT"), F.min_by("_lon", "_first").alias("TRANSFORMER_LON"),
+        F.min_by("_lat", F.struct("_first", "ACCOUNT_NO")).alias("TRANSFORMER_LAT"), F.min_by("_lon", F.struct("_first", "ACCOUNT_NO")).alias("TRANSFORMER_LON"),
         mean.alias("avg_consumption"),
         F.when(n > 1, F.sqrt(F.greatest(within + between, F.lit(0.0)) / (n - 1))).alias("consumption_std"),
         F.max("_max").alias("max_consumption"), (F.sum("_imp") / F.sum("_nimp")).alias("avg_import"),
@@ -91,13 +95,18 @@ ACCOUNT_ATTRIBUTES = ["TRANSFORMER_CODE", "HAS_SOLAR", "INV_CAPACITY", "CAL_TARI
 def customer_profiles(readings: DataFrame) -> DataFrame:
     """One row per account: month maps, annual statistics and attributes.
 
-    Two aggregates on the account: months first (map-side combined, so the length
-    of an account's history does not matter), then at most twelve rows per account.
+    The readings meet one hash aggregate of plain numbers (the attributes are part
+    of its key, as they hardly ever change); what follows works on a dozen rows per
+    account, however long its history is.
     """
-    first = F.struct("YEAR", "MONTH")
-    months = readings.groupBy("account_id", "ACCOUNT_NO", "MONTH").agg(
-        F.avg("NET_CONSUMPTION_kWh").alias("net"), F.avg("IMPORT_kWh").alias("imp"), F.avg("EXPORT_kWh").alias("exp"),
-        F.min(first).alias("_t"), F.min_by(F.struct(*ACCOUNT_ATTRIBUTES), first).alias("_a"))
+    net, imp, exp = "NET_CONSUMPTION_kWh", "IMPORT_kWh", "EXPORT_kWh"
+    folded = readings.groupBy("account_id", "ACCOUNT_NO", "MONTH", *ACCOUNT_ATTRIBUTES).agg(
+        F.min(time_index(F.col("YEAR"), F.col("MONTH"))).alias("_t"),
+        *[x for c in (net, imp, exp) for x in (F.sum(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}"))])
+    mean = lambda c: F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_n_{c}").cast("double"))
+    months = folded.groupBy("account_id", "ACCOUNT_NO", "MONTH").agg(
+        mean(net).alias("net"), mean(imp).alias("imp"), mean(exp).alias("exp"),
+        F.min("_t").alias("_t"), F.min_by(F.struct(*ACCOUNT_ATTRIBUTES), "_t").alias("_a"))
     pattern = F.map_from_entries(F.sort_array(F.collect_list(F.struct(
         F.col("MONTH"), F.struct(F.col("net").alias("net_consumption"), F.col("imp").alias("import"), F.col("exp").alias("export"))))))
     out = months.groupBy("account_id", "ACCOUNT_NO").agg(
