@@ -6,6 +6,7 @@ sides start from the same rows.  ``{name}`` stands for another table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,6 +129,33 @@ def with_adapters(sql: str, needs: list[str]) -> str:
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 
+# Averages of two-digit amounts often end exactly on a rounding tie, where the last bit of
+# the sum (which depends on its order) decides.  Both sides lift outputs of 4, 6 or 8 digits
+# by this much before rounding.
+TIE_LIFT, LIFTED_DIGITS = 1e-9, (4, 6, 8)
+
+
+def lift_ties(sql: str) -> str:
+    """``round(x, n)`` to ``round(x + 1e-9, n)`` for the digits of ``LIFTED_DIGITS``, unless ``x`` has its own lift."""
+    out, pos = [], 0
+    while (start := sql.find("round(", pos)) >= 0:
+        depth, comma, end = 0, None, start + 5
+        for end in range(start + 5, len(sql)):
+            ch = sql[end]
+            depth += (ch in "([") - (ch in ")]")
+            if ch == "," and depth == 1:
+                comma = end
+            if depth == 0:
+                break
+        inner = sql[start + 6:comma if comma else end]
+        digits = sql[comma + 1:end].strip() if comma else ""
+        own = re.search(r"\+1e-\d+$", inner.strip())
+        lift = "+1e-9" if digits.isdigit() and int(digits) in LIFTED_DIGITS and not own else ""
+        out.append(sql[pos:start] + "round(" + lift_ties(inner) + lift + (sql[comma:end] if comma else "") + ")")
+        pos = end + 1
+    return "".join(out) + sql[pos:]
+
+
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -139,6 +167,6 @@ def query(name: str, needs: list[str] | None = None, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_adapters(sql, needs or [])
+            ORACLES[name] = with_adapters(lift_ties(sql), needs or [])
         return fn
     return add

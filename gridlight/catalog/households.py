@@ -315,7 +315,7 @@ def month_ranking(t):
     from gridlight.functions.calendar import season_band
     f = PA.pattern_forecast(PA.user_patterns(requests(t), similar_once(t)))
     ranked = top_k(f, ["user_id"], [F.round("kwh", 9).desc(), F.col("month")], 12)
-    return ranked.select("user_id", "month", "rank", season_band(F.col("month")).alias("band"), r(F.round("kwh", 4) * 77, 1).alias("value_lkr"))
+    return ranked.select("user_id", "month", "rank", season_band(F.col("month")).alias("band"), r(r("kwh") * 77, 1).alias("value_lkr"))
 
 
 SERVE_SQL = SIM_SQL + """, t5 AS (SELECT user_id, account_id, rank FROM sim WHERE rank<=5), hm2 AS (SELECT user_id, pm.MONTH AS month, quantile_cont(net,0.5) med, avg(net) mean, arg_min(net, rank) fst FROM t5 JOIN pm USING (account_id) GROUP BY 1,2),

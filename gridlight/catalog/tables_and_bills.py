@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridlight import constants as C
-from gridlight.catalog.base import query
+from gridlight.catalog.base import LIFTED_DIGITS, TIE_LIFT, query
 from gridlight.functions import calendar as CAL, geo as G, numeric as N, tariff as TF, text as TX
 from gridlight.operators import billing as BL, clean as CL, rollup as RU, series as SE
 
 
 def r(col, n=4):
-    return F.round(F.col(col) if isinstance(col, str) else col, n)
+    c = F.col(col) if isinstance(col, str) else col
+    return F.round(c + TIE_LIFT if n in LIFTED_DIGITS else c, n)
 
 
 def rounded(df, cols, n=4):
-    return df.withColumns({c: F.round(F.col(c), n) for c in cols})
+    return df.withColumns({c: r(c, n) for c in cols})
 
 
 def long(*names):
