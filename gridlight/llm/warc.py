@@ -196,7 +196,7 @@ def hex_digest(declared: str) -> str | None:
 
 
 def read(manifest: DataFrame, chunk_bytes: int = 1 << 20, data: bool = True) -> DataFrame:
-    """The chunked record table of the archives that ``manifest`` names in column file, one task per file and wave.
+    """The chunked record table of the archives that ``manifest`` names in column file, about one task per file.
 
     Every record has at least one chunk row; the one with ``last`` carries its whole length and digest.  ``data`` False
     leaves the bytes out.  Records without a key, URI or digest header have null there; an empty archive gives no rows."""
@@ -229,7 +229,8 @@ def read(manifest: DataFrame, chunk_bytes: int = 1 << 20, data: bool = True) ->
                 if held:
                     yield pack(held)
 
-    return manifest.select("file").repartition("file").mapInArrow(run, schema)
+    files = manifest.select("file").distinct()
+    return files.repartition(max(1, files.count()), "file").mapInArrow(run, schema)
 
 
 def archived(records: DataFrame, min_bytes: int = 1000, chunk_bytes: int = 1 << 20) -> DataFrame:
