@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlight.llm import contamination, html_text, tokenize, toxicity, warc
+from gridlight.llm import contamination, html_text, pii, tokenize, toxicity, warc
 from gridlight.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 VOCABULARY = "byte_bpe_50k.json"
+# Pseudonyms of the registered query can be reversed by anyone who reads this; a deployment passes a key of its own.
+EXAMPLE_KEY = b"an example key for the registered query"
 
 
 def query(fn):
@@ -84,3 +86,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, labels.where(~held_out()))
     scored = toxicity.scores(docs, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its personal values replaced by format-preserving pseudonyms."""
+    found = pii.pseudonymise(table(spark, sf_dir, "documents"), EXAMPLE_KEY)
+    return found.select("doc_id", "text", F.size("found").cast("bigint").alias("n_found"), "found")
