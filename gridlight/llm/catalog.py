@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlight.llm import contamination, html_text, pii, tokenize, toxicity, warc
+from gridlight.llm import contamination, html_text, near, pii, tokenize, toxicity, warc
 from gridlight.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with its personal values replaced by format-preserving pseudonyms."""
     found = pii.pseudonymise(table(spark, sf_dir, "documents"), EXAMPLE_KEY)
     return found.select("doc_id", "text", F.size("found").cast("bigint").alias("n_found"), "found")
+
+
+@query
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates, links and copies of every document."""
+    return near.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
