@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlight.llm import contamination, html_text, near, pii, tokenize, toxicity, warc
+from gridlight.llm import contamination, html_text, lines, near, pii, tokenize, toxicity, warc
 from gridlight.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,10 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near duplicates, links and copies of every document."""
     return near.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without later repeated runs of lines."""
+    done = lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.col("_words_removed").cast("bigint").alias("words_removed"))
