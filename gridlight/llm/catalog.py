@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlight.llm import contamination, html_text, lines, near, pii, tokenize, toxicity, warc
+from gridlight.llm import contamination, html_text, lines, near, pii, pitman_yor, tokenize, toxicity, warc
 from gridlight.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without later repeated runs of lines."""
     done = lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "text", F.col("_words_removed").cast("bigint").alias("words_removed"))
+
+
+@query
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole text under a model of six sevenths of them."""
+    rest = lambda: F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    scored = pitman_yor.log10_scores(table(spark, sf_dir, "documents"), rest() != 2)
+    return scored.select("doc_id", F.coalesce(rest() == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
