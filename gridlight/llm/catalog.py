@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlight.llm import contamination, html_text, lines, near, pii, pitman_yor, tokenize, toxicity, warc
+from gridlight.llm import ann, contamination, html_text, lines, near, pii, pitman_yor, tokenize, toxicity, warc
 from gridlight.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,10 @@ def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = lambda: F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
     scored = pitman_yor.log10_scores(table(spark, sf_dir, "documents"), rest() != 2)
     return scored.select("doc_id", F.coalesce(rest() == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op3_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty vectors of largest inner product for every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0)).withColumnRenamed("id", "vec_id")
