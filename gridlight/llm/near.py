@@ -31,14 +31,14 @@ TEXT_HASH = "md5(cast(coalesce({0}, '') as binary))"
 
 
 def sketches(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(32-bit min-hashes of every text, number of shingles)."""
+    """(16-bit min-hashes of every text, number of shingles)."""
     hashes, ends = shingles(texts, size)
     counts = np.diff(ends)
-    out = np.zeros((len(texts), POSITIONS), np.uint32)
+    out = np.zeros((len(texts), POSITIONS), np.uint16)
     full = np.flatnonzero(counts)
     if len(full):
         for j, factor in enumerate(FACTORS):
-            out[full, j] = np.minimum.reduceat(hashes * factor, ends[full]) >> np.uint64(32)
+            out[full, j] = (np.minimum.reduceat(hashes * factor, ends[full]) >> np.uint64(20)) & np.uint64(0xFFFF)
     return out, counts
 
 
@@ -59,7 +59,8 @@ def matrix(column: pa.Array, width: int, kind) -> np.ndarray:
 
 
 def texts_with_sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """One row for each different text that has words: id, text_hash, doc (smallest id), n_copies, n shingles, sketch."""
+    """One row for each different text that has words: id, text_hash, doc (smallest id), n_copies, n shingles,
+    sketch (16 bits a position) and brief (its low bytes)."""
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("doc"), F.expr(TEXT_HASH.format(f"`{text_col}`")).alias("text_hash"), F.col(text_col).alias("text"))
 
@@ -67,14 +68,14 @@ def texts_with_sketches(docs: DataFrame, size: int, id_col: str, text_col: str)
         for batch in batches:
             sketch, counts = sketches(batch.column(2).to_pylist(), size)
             keep = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(counts[keep], pa.int64()), packed(sketch[keep])],
-                                             names=["doc", "text_hash", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(counts[keep], pa.int64()), packed(sketch[keep]), packed(sketch[keep].astype(np.uint8))],
+                                             names=["doc", "text_hash", "n", "sketch", "brief"])
 
-    made = written(rows.mapInArrow(run, f"doc {kind.simpleString()}, text_hash string, n bigint, sketch binary"), "sketches")
+    made = written(rows.mapInArrow(run, f"doc {kind.simpleString()}, text_hash string, n bigint, sketch binary, brief binary"), "sketches")
     folded = made.groupBy("text_hash").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n_copies"))
     # the sketch comes back with the row that stands for its text; rows repeated in id and text are folded here
     kept = made.withColumnRenamed("doc", "of").join(folded, "text_hash").where(F.col("of").eqNullSafe(F.col("doc"))).drop("of")
-    once = kept.groupBy("text_hash").agg(*[F.first(c).alias(c) for c in ("doc", "n_copies", "n", "sketch")])
+    once = kept.groupBy("text_hash").agg(*[F.first(c).alias(c) for c in ("doc", "n_copies", "n", "sketch", "brief")])
     return written(once.withColumn("id", F.monotonically_increasing_id()), "texts")
 
 
@@ -85,7 +86,7 @@ def children(nodes: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             path = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
-            tokens = mixed(matrix(batch.column(3), POSITIONS, np.uint32).astype(np.uint64) + PLACES)
+            tokens = mixed(matrix(batch.column(3), POSITIONS, np.uint16).astype(np.uint64) + PLACES)
             below = mixed(tokens ^ mixed(path)[:, None])
             row, place = np.nonzero(mixed(below) < limit)
             yield arrow([below[row, place].view(np.int64), batch.column(1).take(pa.array(row)), batch.column(2).take(pa.array(row))], ["path", "id", "was"], [pa.int64()] * 3)
@@ -154,13 +155,13 @@ def dealt(rows: DataFrame, by: str, count: str, block: int) -> DataFrame:
 
 def compared(nodes: DataFrame, texts: DataFrame, least: int, block: int) -> DataFrame:
     """Tree edges (a, b) of the texts that look alike inside each node (path, id, n)."""
-    brief = texts.select("id", "sketch")
-    rows = dealt(nodes, "path", "n", block).join(brief, "id").select("path", "i", "j", "side", "id", "sketch")
+    brief = texts.select("id", "brief")
+    rows = dealt(nodes, "path", "n", block).join(brief, "id").select("path", "i", "j", "side", "id", "brief")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, [0, 1, 2]):
             path, i, j, side, ids = (batch.column(k).to_numpy() for k in range(5))
-            low = matrix(batch.column(5), POSITIONS, np.uint32).astype(np.uint8)
+            low = matrix(batch.column(5), POSITIONS, np.uint8)
             cut = bounds(path, i, j)
             sizes = np.diff(cut)
             pairs = cut[:-1][sizes == 2]
@@ -188,7 +189,7 @@ def loose_edges(texts: DataFrame, similarity: float, recall: float, small: int,
         while True:
             below = written(children(nodes, similarity), "nodes")
             sizes = written(below.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-            below = below.join(sizes, "path")
+            below = written(below.join(sizes, "path"), "shared")    # nodes of one text are done with
             ready = (F.col("n") <= small) | (F.col("n") > 0.5 * F.col("was"))
             found.append(written(compared(below.where(ready).drop("was"), texts, least, block), "alike"))
             depth = max(depth, level)
@@ -242,11 +243,20 @@ def linked(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity
     return links.sum(1), roots_of(links)
 
 
+def maybe_in(rows: DataFrame, members: DataFrame, bits: int = 24) -> DataFrame:
+    """The rows whose text_hash may be among those of ``members``, by a bitmap of ``2 ** bits`` bits: a broadcast of fixed size
+    that keeps most other texts out of the shuffle before the join that decides."""
+    spot = F.xxhash64("text_hash").bitwiseAND(F.lit((1 << bits) - 1))
+    word, mask = lambda: F.shiftright(spot, 6), lambda: F.expr("shiftleft(1L, CAST(xxhash64(text_hash) & 63 AS INT))")
+    marks = members.groupBy(word().alias("_word")).agg(F.bit_or(mask()).alias("_mask"))
+    return rows.join(F.broadcast(marks), word() == F.col("_word")).where(F.col("_mask").bitwiseAND(mask()) != 0).drop("_word", "_mask")
+
+
 def exact_links(docs: DataFrame, members: DataFrame, similarity: float, size: int, block: int, id_col: str, text_col: str) -> DataFrame:
     """(id, links, root): for each block of a loose group, the links of every text and the first text it is linked to."""
     spark_kind = [pa.int64(), pa.int64(), pa.int64()]
     texts = docs.select(F.col(id_col).alias("doc"), F.expr(TEXT_HASH.format(f"`{text_col}`")).alias("text_hash"), F.col(text_col).alias("text"))
-    chosen = texts.join(members, texts["text_hash"].eqNullSafe(members["text_hash"]) & texts["doc"].eqNullSafe(members["doc"])).select("root", "id", "blocks", "text")
+    chosen = maybe_in(texts, members).join(members, texts["text_hash"].eqNullSafe(members["text_hash"]) & texts["doc"].eqNullSafe(members["doc"])).select("root", "id", "blocks", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +282,7 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float, size: in
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "id bigint, links bigint, root bigint")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, recall: float = 0.999, small: int = 256, block: int = 1024,
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, recall: float = 0.999, small: int = 1024, block: int = 1024,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, class_id, n_links, n_copies) of every row.
 
