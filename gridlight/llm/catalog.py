@@ -18,6 +18,11 @@ VOCABULARY = "byte_bpe_50k.json"
 EXAMPLE_KEY = b"an example key for the registered query"
 
 
+def held_out_quarter():
+    """Rows whose labels are not learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -82,10 +87,9 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text; labels of the held-out quarter are not seen."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = lambda: F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    model = toxicity.fit(docs, labels.where(~held_out()))
+    model = toxicity.fit(docs, labels.where(~held_out_quarter()))
     scored = toxicity.scores(docs, model)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out_quarter().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 @query

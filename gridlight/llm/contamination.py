@@ -63,68 +63,60 @@ def spans_of(text: str, hit: set[int]) -> list[tuple[int, int]]:
     return spans
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, size: int = 10, part_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text",
-               item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, size: int = 10, part_chars: int = 4_000_000, carry: list[str] | None = None, text_col: str = "text",
+               item_col: str = "item_id", item_text_col: str = "text", prefix: str = "") -> DataFrame:
     """Where documents repeat windows of benchmark items.
 
-    Returns ``id_col``, n_words, hit (indices of the words inside any occurrence of a window), items (ids as strings,
-    sorted, of the items whose windows occur) and spans (start and end of each hit passage in the original text).
+    Returns the columns ``carry`` (doc_id) of every row and, their names behind ``prefix``, n_words, hit (indices of the words
+    inside any occurrence of a window), items (ids as strings, sorted, of the items whose windows occur) and spans (start and
+    end of each hit passage in the original text).
 
     The windows reach the workers as broadcast parts of about ``part_chars`` characters, chosen by hash; a larger
     benchmark is scanned part by part, each over whole texts.  A null or empty text has no words; items with a null id
-    hit words but are not listed; repeated documents and items change nothing; other columns are left out."""
-    spark = docs.sparkSession
+    hit words but are not listed; repeated documents and items change nothing; columns not carried are left out."""
+    spark, carry = docs.sparkSession, carry or ["doc_id"]
     wins = windows(benchmark, size, item_col, item_text_col).groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items"))
     wins = written(wins, "windows")
     chars = wins.agg(F.sum(F.length("win"))).first()[0] or 0
     parts = max(1, -(-chars // part_chars))
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col), F.col(text_col).alias("text"))
+    text = [] if text_col in carry else [text_col]    # kept beside the results while there are more parts
+    schema = f"{prefix}n_words bigint, {prefix}hit array<int>, {prefix}items array<string>, {prefix}spans array<struct<start:int,end:int>>"
+    found = docs
     for part in range(parts):
         chosen = wins.where(F.pmod(F.xxhash64("win"), F.lit(parts)) == part)
         patterns = spark.sparkContext.broadcast([(r.win, r.items) for r in chosen.collect()])
-        key = uuid.uuid4().hex
+        before = [f"{prefix}hit", f"{prefix}items"] if part else []
 
-        def run(keys, texts, key=key, patterns=patterns):
+        def run(texts, hits=None, items=None, key=uuid.uuid4().hex, patterns=patterns):
             walk = automaton(key, patterns) if patterns.value else None
-            counts, hits, names, spans = [], [], [], []
-            for text in texts:
-                words = words_of(text)
-                hit, items = set(), set()
-                if walk is not None and words:
-                    line = line_of(words)
-                    at, first = 0, -1
-                    for end, (length, n, names_of) in walk.iter(line):
-                        start = end - length + 1
-                        if start >= at:
-                            first += line.count(" ", at, start + 1)
-                            at = start + 1
-                            begin = first
-                        else:
-                            begin = first - line.count(" ", start + 1, at)
-                        hit.update(range(begin, begin + n))
-                        items.update(names_of)
-                counts.append(len(words))
-                hits.append(sorted(hit))
-                names.append(sorted(items))
-                spans.append([{"start": a, "end": b} for a, b in spans_of(text, hit)] if hit else [])
-            return [keys, counts, hits, names, spans]
-
-        schema = f"{id_col} {kind}, n_words bigint, hit array<int>, items array<string>, spans array<struct<start:int,end:int>>"
-        if parts == 1:
-            return map_columns(found, [id_col, "text"], run, schema)
-        found = merged(found, run, id_col, kind) if part == 0 else merged(found, run, id_col, kind, again=True)
-        found = written(found, "scanned")
-    spans_again = lambda keys, texts, counts, hits, items: [keys, counts, hits, items, [[{"start": a, "end": b} for a, b in spans_of(t, set(h))] if h else [] for t, h in zip(texts, hits)]]
-    return map_columns(found, [id_col, "text", "n_words", "hit", "items"], spans_again, schema)
-
-
-def merged(found: DataFrame, run, id_col: str, kind: str, again: bool = False) -> DataFrame:
-    """One more part of the windows: the text stays beside what all parts so far have hit."""
-    if not again:
-        found = found.select(id_col, "text", F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("items"))
-
-    def more(keys, texts, hit, items):
-        _, counts, new_hit, new_items, _ = run(keys, texts)
-        return [keys, texts, counts, [sorted({*a, *b}) for a, b in zip(hit, new_hit)], [sorted({*a, *b}) for a, b in zip(items, new_items)]]
-    return map_columns(found, [id_col, "text", "hit", "items"], more, f"{id_col} {kind}, text string, n_words bigint, hit array<int>, items array<string>")
+            return scanned(walk, texts, hits or [()] * len(texts), items or [()] * len(texts))
+
+        found = map_columns(found, [text_col, *before], run, schema, [*carry, *(text if part < parts - 1 else [])])
+        if part < parts - 1:
+            found = written(found, "scanned")
+    return found
+
+
+def scanned(walk, texts: list[str | None], hits: list, items: list) -> list[list]:
+    """Word counts, hit words, items and spans of texts, with what earlier parts of the windows have hit."""
+    counts, all_hits, all_items, spans = [], [], [], []
+    for text, hit, names in zip(texts, hits, items):
+        words, hit, names = words_of(text), set(hit), set(names)
+        if walk is not None and words:
+            line = line_of(words)
+            at, first = 0, -1
+            for end, (length, n, of) in walk.iter(line):
+                start = end - length + 1
+                if start >= at:
+                    first += line.count(" ", at, start + 1)
+                    at = start + 1
+                    begin = first
+                else:
+                    begin = first - line.count(" ", start + 1, at)
+                hit.update(range(begin, begin + n))
+                names.update(of)
+        counts.append(len(words))
+        all_hits.append(sorted(hit))
+        all_items.append(sorted(names))
+        spans.append([{"start": a, "end": b} for a, b in spans_of(text, hit)] if hit else [])
+    return [counts, all_hits, all_items, spans]

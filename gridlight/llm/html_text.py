@@ -228,8 +228,7 @@ def extract(pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), htm
 
     A null or empty page has an empty text.  Rows are independent, so nulls in other columns, ties and repeated rows stay
     as they are; further columns are left out."""
-    def run(*columns):
-        texts = [main_text(x) for x in columns[-1]]
-        return [*columns[:-1], texts, [len(x) for x in texts]]
-    kinds = [f"{c} {pages.schema[c].dataType.simpleString()}" for c in id_cols]
-    return map_columns(pages, [*id_cols, html_col], run, ", ".join([*kinds, "text string", "n_chars bigint"]))
+    def run(sources):
+        texts = [main_text(x) for x in sources]
+        return [texts, [len(x) for x in texts]]
+    return map_columns(pages, [html_col], run, "text string, n_chars bigint", list(id_cols))

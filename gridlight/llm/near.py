@@ -282,15 +282,10 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float, size: in
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "id bigint, links bigint, root bigint")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, recall: float = 0.999, small: int = 1024, block: int = 1024,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, class_id, n_links, n_copies) of every row.
-
-    Two texts are linked if the Jaccard similarity of their sets of ``size``-word shingles (A-Z lowered, words between white
-    space; a shorter text is one shingle) is at least ``similarity``.  A class is a connected component of links and equal
-    texts; class_id is its smallest id.  n_links counts the other different texts a text is linked to, n_copies the rows
-    with its text.  A text without words, or null, is in a class of its own.  Rows repeated in id and text are copies; null
-    ids count after all others, and a class of null ids has a null class_id; other columns are left out."""
+def classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, recall: float = 0.999, small: int = 1024, block: int = 1024,
+            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each different text with words: text_hash, doc (its smallest id), n_copies, n_links, class_id, and first,
+    true for the text that stands for its class.  See ``near_duplicates``."""
     texts = texts_with_sketches(docs, size, id_col, text_col)
     loose = components(loose_edges(texts, similarity, recall, small, block))
     members = loose.join(texts.select("id", "text_hash", "doc", "n"), "id")
@@ -299,10 +294,33 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, rec
     members = written(members.join(load, "root").drop("n"), "members")
     parts = written(exact_links(docs, members, similarity, size, block, id_col, text_col), "parts")
     counts = parts.groupBy("id").agg(F.sum("links").alias("n_links"))
-    classes = components(parts.select(F.col("root").alias("a"), F.col("id").alias("b")))
-    known = texts.select("id", "text_hash", "doc", "n_copies").join(classes, "id", "left").join(counts, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    first = known.groupBy("root").agg(F.min("doc").alias("class_id"))
-    known = written(known.join(first, "root").select("text_hash", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "classes")
+    roots = components(parts.select(F.col("root").alias("a"), F.col("id").alias("b")))
+    known = texts.select("id", "text_hash", "doc", "n_copies").join(roots, "id", "left").join(counts, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    first = known.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "text_hash")).alias("best"))
+    known = known.join(first, "root").select("text_hash", "doc", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("best.doc").alias("class_id"),
+                                             (F.col("best.text_hash") == F.col("text_hash")).alias("first"))
+    return written(known, "classes")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, class_id, n_links, n_copies) of every row.
+
+    Two texts are linked if the Jaccard similarity of their sets of ``size``-word shingles (A-Z lowered, words between white
+    space; a shorter text is one shingle) is at least ``similarity``.  A class is a connected component of links and equal
+    texts; class_id is its smallest id.  n_links counts the other different texts a text is linked to, n_copies the rows
+    with its text.  A text without words, or null, is in a class of its own.  Rows repeated in id and text are copies; null
+    ids count after all others, and a class of null ids has a null class_id; other columns are left out."""
+    known = classes(docs, similarity, size, recall, id_col=id_col, text_col=text_col).drop("doc", "first")
     rows = docs.select(F.col(id_col), F.expr(TEXT_HASH.format(f"`{text_col}`")).alias("text_hash"))
     return rows.join(known, "text_hash", "left").select(id_col, "text_hash", F.when(F.col("n_copies").isNull(), F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"),
                                                         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
+def representatives(docs: DataFrame, similarity: float = 0.8, size: int = 5, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one stays for each class of ``near_duplicates``: that with the
+    smallest id (null last), of texts with this id that with the smaller hash.  Texts without words all stay."""
+    known = classes(docs, similarity, size, recall, id_col=id_col, text_col=text_col).where("first").select(F.col("text_hash").alias("_gl_text"), F.col("doc").alias("_gl_doc"))
+    rows = docs.withColumn("_gl_hash", F.expr(TEXT_HASH.format(f"`{text_col}`")))
+    chosen = rows.join(known, (F.col("_gl_hash") == F.col("_gl_text")) & rows[id_col].eqNullSafe(known["_gl_doc"]))
+    wordless = F.btrim(F.coalesce(text_col, F.lit("")), F.lit(" \t\n\x0b\x0c\r")) == ""
+    return chosen.dropDuplicates(["_gl_hash"]).select(*docs.columns).unionByName(docs.where(wordless))

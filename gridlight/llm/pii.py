@@ -214,12 +214,11 @@ def pseudonymise(docs: DataFrame, key: bytes, kinds: frozenset[str] = frozenset(
 
     A null text stays null and has nothing found.  Rows are independent: null ids, ties and repeated rows stay as they are;
     other columns are left out.  ``back`` turns pseudonyms into the values again."""
-    def run(keys, texts):
+    def run(texts):
         new, found = [], []
         for text in texts:
             values = values_of(text, key, kinds, back) if text else []
             new.append(replaced(text, values) if values else text)
             found.append([{"kind": kind, "start": a, "end": b, "pseudonym": made} for a, b, kind, made in values])
-        return [keys, new, found]
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_columns(docs, [id_col, text_col], run, f"{id_col} {kind}, text string, found array<struct<kind:string,start:int,end:int,pseudonym:string>>")
+        return [new, found]
+    return map_columns(docs, [text_col], run, "text string, found array<struct<kind:string,start:int,end:int,pseudonym:string>>", [id_col])

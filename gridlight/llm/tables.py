@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from gridlight.session import shared_folder
 
@@ -30,17 +31,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def map_columns(df: DataFrame, columns: list[str], fn: Callable[..., list[list]], schema: str) -> DataFrame:
-    """Apply ``fn`` to the values of ``columns`` batch by batch; it returns the columns of ``schema`` as lists.
+def map_columns(df: DataFrame, columns: list[str], fn: Callable[..., list[list]], schema: str, carry: list[str] | None = None) -> DataFrame:
+    """Apply ``fn`` to the values of ``columns`` batch by batch; it returns the columns of ``schema`` as lists or Arrow arrays.
 
-    Rows of a batch are independent of those of any other batch, so a lost task is simply run again."""
-    names = [part.split()[0] for part in schema.split(", ")]
+    With ``carry`` there is one row for each row of ``df``: these columns of it, untouched, then the new ones.  Rows of a
+    batch are independent of those of any other batch, so a lost task is simply run again."""
+    new = df.sparkSession.createDataFrame([], schema).schema
+    kept = [df.schema[c] for c in carry or []]
+    types, names = [to_arrow_type(f.dataType) for f in new], [f.name for f in [*kept, *new]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = fn(*(batch.column(i).to_pylist() for i in range(len(columns))))
-            yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(made, types)], names=names)
+            made = fn(*(batch.column(len(kept) + i).to_pylist() for i in range(len(columns))))
+            arrays = [v if isinstance(v, pa.Array) else pa.array(v, type=t) for v, t in zip(made, types)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *arrays], names=names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-    types = [to_arrow_type(f.dataType) for f in df.sparkSession.createDataFrame([], schema).schema]
-    return df.select(*[F.col(c) for c in columns]).mapInArrow(run, schema)
+    chosen = [df[f"`{f.name}`"] for f in kept] + [df[f"`{c}`"].alias(f"_gl_{i}") for i, c in enumerate(columns)]
+    return df.select(*chosen).mapInArrow(run, StructType([*kept, *new]))

@@ -201,10 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6000, most_vot
     return ToxicityModel(voters, weights)
 
 
-def scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every whole text; a null text is an empty one.
+def scores(docs: DataFrame, model: ToxicityModel, carry: list[str] | None = None, text_col: str = "text", name: str = "score") -> DataFrame:
+    """The columns ``carry`` (doc_id) of every row and the score of its whole text; a null text is an empty one.
 
-    Rows are independent: null ids, ties and repeated rows stay as they are; other columns are left out."""
-    def run(keys, texts):
-        return [keys, [model.score(t) for t in texts]]
-    return map_columns(docs, [id_col, text_col], run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double")
+    Rows are independent: null ids, ties and repeated rows stay as they are; columns not carried are left out."""
+    return map_columns(docs, [text_col], lambda texts: [[model.score(t) for t in texts]], f"{name} double", carry or ["doc_id"])
