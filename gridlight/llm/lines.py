@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridlight.llm.tables import written
+from gridlight.llm.tables import maybe_in, written
 
 MARK = "\x01"
 
@@ -40,13 +40,14 @@ def near(*steps: int) -> str:
 
 
 def fingerprints(rows: DataFrame, always: int) -> DataFrame:
-    """(doc, th, h, j, left, right, words): the chosen lines of every text with what stands around them."""
+    """(doc, th, h, j, of, left, right, words): the chosen lines of every text with what stands around them."""
     o = lambda s: f"coalesce(get(lines, j + {s}).o, 9223372036854775807)"
-    first = f"((x.o <= {o(-1)} AND x.o <= {o(-2)}) OR (x.o <= {o(-1)} AND x.o <= {o(1)}) OR (x.o <= {o(1)} AND x.o <= {o(2)}))"
+    least = f"((CASE WHEN x.o <= {o(-1)} AND x.o <= {o(-2)} THEN 1 ELSE 0 END) | (CASE WHEN x.o <= {o(-1)} AND x.o <= {o(1)} THEN 2 ELSE 0 END) | (CASE WHEN x.o <= {o(1)} AND x.o <= {o(2)} THEN 4 ELSE 0 END))"
     size = lambda s: f"least(coalesce(get(lines, j + {s}).w, 0), 4095)"
     words = " | ".join(f"shiftleft(CAST({size(s)} AS BIGINT), {12 * k})" for k, s in enumerate((-2, -1, 0, 1, 2)))
-    made = f"""filter(transform(lines, (x, j) -> CASE WHEN x.w >= {always} OR {first}
-        THEN struct(x.h AS h, j AS j, {near(-1, -2)} AS left, {near(1, 2)} AS right, {words} AS words) END), x -> x IS NOT NULL)"""
+    # the windows of three it is the least of; bit 8 if it is long enough alone
+    made = f"""filter(transform(transform(lines, (x, j) -> struct(x.h AS h, {least} | CASE WHEN x.w >= {always} THEN 8 ELSE 0 END AS of)), (x, j) -> CASE WHEN x.of <> 0
+        THEN struct(x.h AS h, j AS j, x.of AS of, {near(-1, -2)} AS left, {near(1, 2)} AS right, {words} AS words) END), x -> x IS NOT NULL)"""
     found = rows.withColumn("lines", F.expr(lines_of("units"))).select("doc", "th", F.explode(F.expr(made)).alias("f"))
     return found.select("doc", "th", "f.*")
 
@@ -56,16 +57,16 @@ def repeated_runs(docs: DataFrame, min_words: int = 25, always: int = 20, id_col
     stretches of at least ``min_words`` words.  th is the text's hash; earlier means a smaller id (null last), then th, then
     an earlier place in the text."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.expr(pieces(f"`{text_col}`")).alias("units"))
-    prints = fingerprints(rows, always)
+    prints = written(fingerprints(rows, always), "prints")
     often = written(prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "often")
-    seen = written(prints.join(often, "h"), "seen")
+    seen = written(maybe_in(prints, F.col("h"), often, F.col("h")).join(often, "h"), "seen")
     # the runs of three lines a fingerprint stands in: last, in the middle, first; and the fingerprint alone
-    runs = F.expr(f"""filter(array(
-        CASE WHEN (left & 4294967295) <> 0 THEN struct(xxhash64(1, h, left) AS key, 2 AS back, 0 AS on) END,
-        CASE WHEN shiftrightunsigned(left, 32) <> 0 AND shiftrightunsigned(right, 32) <> 0
+    runs = F.expr("""filter(array(
+        CASE WHEN (of & 1) <> 0 AND (left & 4294967295) <> 0 THEN struct(xxhash64(1, h, left) AS key, 2 AS back, 0 AS on) END,
+        CASE WHEN (of & 2) <> 0 AND shiftrightunsigned(left, 32) <> 0 AND shiftrightunsigned(right, 32) <> 0
              THEN struct(xxhash64(2, h, shiftrightunsigned(left, 32), shiftrightunsigned(right, 32)) AS key, 1 AS back, 1 AS on) END,
-        CASE WHEN (right & 4294967295) <> 0 THEN struct(xxhash64(3, h, right) AS key, 0 AS back, 2 AS on) END,
-        CASE WHEN (shiftrightunsigned(words, 24) & 4095) >= {always} THEN struct(xxhash64(4, h) AS key, 0 AS back, 0 AS on) END), x -> x IS NOT NULL)""")
+        CASE WHEN (of & 4) <> 0 AND (right & 4294967295) <> 0 THEN struct(xxhash64(3, h, right) AS key, 0 AS back, 2 AS on) END,
+        CASE WHEN (of & 8) <> 0 THEN struct(xxhash64(4, h) AS key, 0 AS back, 0 AS on) END), x -> x IS NOT NULL)""")
     keyed = seen.select("doc", "th", "j", "left", "right", "words", F.explode(runs).alias("k")).select("doc", "th", "j", "left", "right", "words", "k.*")
     first = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc0")).where("n > 1").drop("n"), "first")
     matched = written(keyed.join(first, "key"), "matched")
@@ -93,7 +94,9 @@ def without_repeats(docs: DataFrame, min_words: int = 25, always: int = 20, id_c
     equal ids are told apart by their hash.  Other columns stay and may have any name but those beginning with ``_gl_``."""
     runs = repeated_runs(docs, min_words, always, id_col, text_col).select(F.col("doc").alias("_gl_doc"), F.col("th").alias("_gl_th"), F.col("runs").alias("_gl_runs"))
     runs = written(runs, "runs")
-    keyed = docs.withColumn("_gl_hash", F.xxhash64(text_col))
+    keyed = maybe_in(docs.withColumn("_gl_hash", F.xxhash64(text_col)), F.coalesce("_gl_hash", F.lit(0)), runs, F.col("_gl_th"), flag="_gl_maybe")
+    same = keyed.where(~F.col("_gl_maybe")).select(*docs.columns, F.lit(0).alias("_words_removed"))    # most texts stay where they are
+    keyed = keyed.where("_gl_maybe")
     joined = keyed.join(runs, keyed[id_col].eqNullSafe(runs["_gl_doc"]) & (F.col("_gl_hash") == F.col("_gl_th")), "left")
     units = F.expr(pieces(f"`{text_col}`"))
     cut = joined.withColumn("_gl_units", F.when(F.col("_gl_runs").isNotNull(), units))
@@ -104,4 +107,4 @@ def without_repeats(docs: DataFrame, min_words: int = 25, always: int = 20, id_c
     gone = "aggregate(filter(_gl_units, (u, i) -> exists(_gl_gone, g -> i BETWEEN g.a AND g.b)), 0L, (n, u) -> n + CASE WHEN btrim(u, ' \\t\\r\\n') = '' THEN 0 ELSE length(btrim(u, ' \\t\\r\\n')) - length(replace(btrim(u, ' \\t\\r\\n'), ' ', '')) + 1 END)"
     done = cut.withColumn("_words_removed", F.when(F.col("_gl_runs").isNull(), F.lit(0)).otherwise(F.expr(gone)))
     done = done.withColumn(text_col, F.when(F.col("_gl_runs").isNull(), F.col(text_col)).otherwise(F.expr(kept)))
-    return done.select(*docs.columns, "_words_removed")
+    return done.select(*docs.columns, "_words_removed").unionByName(same)

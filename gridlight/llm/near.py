@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gridlight.llm.graph import components
 from gridlight.llm.hashes import mixed, shingles
-from gridlight.llm.tables import written
+from gridlight.llm.tables import maybe_in, written
 
 POSITIONS = 128
 FACTORS = np.random.default_rng(7).integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -243,20 +243,11 @@ def linked(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity
     return links.sum(1), roots_of(links)
 
 
-def maybe_in(rows: DataFrame, members: DataFrame, bits: int = 24) -> DataFrame:
-    """The rows whose text_hash may be among those of ``members``, by a bitmap of ``2 ** bits`` bits: a broadcast of fixed size
-    that keeps most other texts out of the shuffle before the join that decides."""
-    spot = F.xxhash64("text_hash").bitwiseAND(F.lit((1 << bits) - 1))
-    word, mask = lambda: F.shiftright(spot, 6), lambda: F.expr("shiftleft(1L, CAST(xxhash64(text_hash) & 63 AS INT))")
-    marks = members.groupBy(word().alias("_word")).agg(F.bit_or(mask()).alias("_mask"))
-    return rows.join(F.broadcast(marks), word() == F.col("_word")).where(F.col("_mask").bitwiseAND(mask()) != 0).drop("_word", "_mask")
-
-
 def exact_links(docs: DataFrame, members: DataFrame, similarity: float, size: int, block: int, id_col: str, text_col: str) -> DataFrame:
     """(id, links, root): for each block of a loose group, the links of every text and the first text it is linked to."""
     spark_kind = [pa.int64(), pa.int64(), pa.int64()]
     texts = docs.select(F.col(id_col).alias("doc"), F.expr(TEXT_HASH.format(f"`{text_col}`")).alias("text_hash"), F.col(text_col).alias("text"))
-    chosen = maybe_in(texts, members).join(members, texts["text_hash"].eqNullSafe(members["text_hash"]) & texts["doc"].eqNullSafe(members["doc"])).select("root", "id", "blocks", "text")
+    chosen = maybe_in(texts, F.xxhash64("text_hash"), members, F.xxhash64("text_hash")).join(members, texts["text_hash"].eqNullSafe(members["text_hash"]) & texts["doc"].eqNullSafe(members["doc"])).select("root", "id", "blocks", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,7 +6,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
@@ -31,6 +32,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def maybe_in(rows: DataFrame, key: Column, members: DataFrame, member: Column, bits: int = 24, flag: str | None = None) -> DataFrame:
+    """The rows whose hash ``key`` may be among the hashes ``member``: a bitmap of ``2 ** bits`` bits, a broadcast of fixed size,
+    keeps most other rows out of the shuffle before the join that decides.  With ``flag`` all rows, marked by this column."""
+    spot = lambda h: h.bitwiseAND(F.lit((1 << bits) - 1))
+    word = lambda h: F.shiftright(spot(h), 6)
+    mask = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), spot(h).bitwiseAND(F.lit(63)).cast("int"))
+    marks = members.select(member.alias("_gl_h")).groupBy(word(F.col("_gl_h")).alias("_gl_word")).agg(F.bit_or(mask(F.col("_gl_h"))).alias("_gl_mask"))
+    met = F.coalesce(F.col("_gl_mask").bitwiseAND(mask(key)) != 0, F.lit(False))
+    joined = rows.join(F.broadcast(marks), word(key) == F.col("_gl_word"), "left" if flag else "inner")
+    return joined.withColumn(flag, met).drop("_gl_word", "_gl_mask") if flag else joined.where(met).drop("_gl_word", "_gl_mask")
+
+
 def map_columns(df: DataFrame, columns: list[str], fn: Callable[..., list[list]], schema: str, carry: list[str] | None = None) -> DataFrame:
     """Apply ``fn`` to the values of ``columns`` batch by batch; it returns the columns of ``schema`` as lists or Arrow arrays.
 
