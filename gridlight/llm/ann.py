@@ -3,7 +3,7 @@
 Vectors get one more component, so that all have the norm of the longest one; then the largest inner product is the
 smallest distance.  They are rotated at random and stored in lists of their nearest centroids.  In a probed list a candidate
 is given up as soon as its distance over the first blocks of rotated dimensions, scaled up, exceeds by a hypothesis test the
-distance of the query's k-th best vector so far.  Those that last to the end are scored on the original vectors.
+distance of a vector already known to be good: one a little behind the query's k-th best in a bounded sample.  Those that last to the end are scored on the original vectors.
 """
 
 from __future__ import annotations
@@ -87,41 +87,30 @@ def fit(rows: DataFrame, k: int, sample_rows: int, recall: float, seed: int = 11
     rank = np.argsort(np.argsort(far, axis=1), axis=1)
     needed = np.sort(np.take_along_axis(rank, own[best], axis=1).ravel())
     index.probes = int(min(lists, needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] + 1))
-    index.sample = x[rng.choice(len(x), min(len(x), 4096), replace=False)]
+    index.sample = x
     return index
 
 
-def scan(q: np.ndarray, bound: np.ndarray, y: np.ndarray, k: int, slack: float) -> Iterator[np.ndarray]:
-    """For every query the candidates that the tests leave, given the squared distance ``bound`` of its k-th best so far.
+def scan(q: np.ndarray, bound: np.ndarray, y: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) pairs that the tests leave, given the squared distance ``bound`` for every query.
 
-    Candidates are read in runs; after each run the bound follows the k-th best distance met.  ``slack`` stands for rounding,
-    so that equal vectors are kept or given up together."""
+    All pairs meet in the first block of dimensions; each further block is read for those that are left.  ``slack`` stands
+    for rounding, so that equal vectors are kept or given up together."""
     width = y.shape[1]
-    blocks = [(a, min(a + STEP, width)) for a in range(0, width, STEP)]
-    columns = [np.ascontiguousarray(y[:, a:b]) for a, b in blocks]
-    for query, limit in zip(q, bound):
-        left, found, best = [], [], limit
-        for start in range(0, len(y), 512):
-            alive = np.arange(start, min(start + 512, len(y)))
-            distance = np.zeros(len(alive))
-            for (a, b), column in zip(blocks, columns):
-                distance += ((column[alive] - query[a:b]) ** 2).sum(1)
-                if b < width:
-                    keep = distance * (width / b) <= best * (1 + SURE / np.sqrt(b)) ** 2 + slack
-                    if not keep.all():
-                        alive, distance = alive[keep], distance[keep]
-                        if not len(alive):
-                            break
-            keep = distance <= best + slack
-            left.append(alive[keep])
-            found.append(distance[keep])
-            if sum(map(len, found)) >= k:
-                best = min(best, float(np.partition(np.concatenate(found), k - 1)[k - 1]))
-        rows, distance = np.concatenate(left), np.concatenate(found)
-        yield rows[distance <= best + slack]
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.985, sample_rows: int = 16_000, block: int = 4096,
+    first = min(STEP, width)
+    test = lambda distance, limit, b: distance * (width / b) <= limit * (1 + SURE / np.sqrt(b)) ** 2 + slack if b < width else distance <= limit + slack
+    far = (q[:, :first] ** 2).sum(1)[:, None] + (y[:, :first] ** 2).sum(1)[None, :] - 2 * q[:, :first] @ y[:, :first].T
+    who, what = np.nonzero(test(far, bound[:, None], first))
+    distance = far[who, what]
+    for a in range(first, width, STEP):
+        b = min(a + STEP, width)
+        distance = distance + ((y[what, a:b] - q[who, a:b]) ** 2).sum(1)
+        keep = test(distance, bound[who], b)
+        who, what, distance = who[keep], what[keep], distance[keep]
+    return who, what
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.96, sample_rows: int = 16_000, block: int = 4096,
            id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the ``k`` vectors of largest inner product found for every row of ``queries``, its own id
     left out, ties to the smaller id.
@@ -153,13 +142,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     def to_probes(batches: Iterator[pa.RecordBatch], first_pass: bool) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 x = rows_of(part.column(1), width)
                 lists = index.nearest_lists(index.lifted(x, False), index.probes if first_pass else len(index.centroids))
                 scores = x @ index.sample.T
-                # the sample's 2k-th best is no nearer than the 2k-th best of all; the query itself may be in the sample
-                some = 2 * k + 1
+                # a somewhat lower place than the k-th in the sample, as some lists are not read and the query may be in it
+                some = k + k // 2 + 1
                 kth = np.partition(scores, -some, axis=1)[:, -some] if len(index.sample) >= some else np.full(len(x), -np.inf)
                 bound = (x * x).sum(1) + index.norm**2 - 2 * kth if first_pass else np.full(len(x), np.inf)
                 n = lists.shape[1]
@@ -180,24 +169,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                 y = index.lifted(x, True)
                 names, z = batch.column(3).slice(first, to - first), rows_of(batch.column(4).slice(first, to - first), width)
                 limit = batch.column(5).slice(first, to - first).to_numpy()
-                own = np.array(ids.to_pylist(), object if pa.types.is_string(ids.type) else None)
+                own, asked_for = np.array(ids.to_pylist()), np.array(names.to_pylist())
+                _, order = np.unique(own, return_inverse=True)
                 out = [[], [], []]
-                for query, name, left in zip(z, names.to_pylist(), scan(index.lifted(z, False), limit, y, k + 1, 1e-9 * max(index.norm, 1e-300) ** 2)):
-                    score = (x[left] * query).sum(1)
-                    least = np.partition(score, -(k + 1))[-(k + 1)] if len(left) > k + 1 else -np.inf
-                    good = np.flatnonzero(score >= least)
-                    good = good[np.lexsort((own[left[good]], -score[good]))]    # of equal scores the smaller ids first
-                    best, met = [], set()
-                    for s, i in zip(score[good].tolist(), own[left[good]].tolist()):
-                        if i != name and (s, i) not in met:
-                            met.add((s, i))
-                            best.append((-s, i))
-                            if len(best) == k:
-                                break
-                    out[0] += [name] * len(best)
-                    out[1] += [i for _, i in best]
-                    out[2] += [-s for s, _ in best]
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], names.type), pa.array(out[1], ids.type), pa.array(out[2], pa.float64())], names=["query_id", "id", "score"])
+                for start in range(0, len(z), 256):
+                    who, what = scan(index.lifted(z[start:start + 256], False), limit[start:start + 256], y, 1e-9 * max(index.norm, 1e-300) ** 2)
+                    who = who + start
+                    other = np.array(own[what] != asked_for[who], bool)
+                    who, what = who[other], what[other]
+                    score = (x[what] * z[who]).sum(1)
+                    best = np.lexsort((order[what], -score, who))    # of equal scores the smaller ids first
+                    who, what, score = who[best], what[best], score[best]
+                    fresh = np.concatenate(([True], (who[1:] != who[:-1]) | (order[what[1:]] != order[what[:-1]]) | (score[1:] != score[:-1])))[:len(who)]
+                    who, what, score = who[fresh], what[fresh], score[fresh]
+                    place = np.arange(len(who)) - np.searchsorted(who, who)
+                    top = place < k
+                    out[0].append(names.take(pa.array(who[top])))
+                    out[1].append(ids.take(pa.array(what[top])))
+                    out[2].append(score[top])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(out[0]), pa.concat_arrays(out[1]), pa.array(np.concatenate(out[2]))], names=["query_id", "id", "score"])
 
     def found_for(asked: DataFrame, first_pass: bool) -> DataFrame:
         """Each block of a list meets the queries that probe the list."""
