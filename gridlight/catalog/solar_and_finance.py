@@ -187,24 +187,3 @@ def chart(t):
 def dashboard_chart(t):
     s = t("systems").select("system_id", FI.system_cost(F.col("size_kw")).alias("investment_lkr"), (F.col("annual_generation_kwh") * 30).alias("savings"))
     return FI.dashboard_series(s, "investment_lkr", "savings").select("system_id", "year", "expected_lkr", "low_lkr", "high_lkr")
-
-
-def _risk_sql() -> str:
-    u = lambda k: f"(((system_id*7919+draw*104729+{k}*1299709)%10007)/10007e0)"
-    lines = [f"""WITH d AS (SELECT system_id, size_kw, size_kw*200000e0 cost, CASE WHEN size_kw<=5 THEN 20.9e0 ELSE 19.61e0 END ex, annual_generation_kwh g0, annual_consumption_kwh us, 1-(0.005e0+0.005e0*{u(1)}) kp, 1.02e0+0.03e0*{u(2)} gr,
- size_kw*2000e0*(1+0.2e0*sqrt(-2*ln(1-{u(3)}))*cos(2*pi()*{u(4)})) mt, 8+floor({u(5)}*5) fy FROM systems CROSS JOIN (SELECT unnest(range(0,{C.RISK_DRAWS})) draw)),
-c0 AS (SELECT *, -cost AS cum, -cost AS npv, 21e0 AS pb FROM d)"""]
-    for y in range(1, 21):
-        lines.append(f"n{y} AS (SELECT *, least(g0*pow(kp,{y - 1}),us)*45e0*pow(gr,{y - 1})+greatest(g0*pow(kp,{y - 1})-us,0)*ex-mt-CASE WHEN fy={y} THEN cost*0.25e0 ELSE 0 END AS net FROM c{y - 1})")
-        lines.append(f"c{y} AS (SELECT * EXCLUDE (net, cum, npv, pb), cum+net AS cum, npv+net/pow(1.1e0,{y}) AS npv, CASE WHEN pb>20 AND cum+net>=0 THEN {y - 1}+abs(cum)/net ELSE pb END AS pb FROM n{y})")
-    lines.append("ro AS (SELECT system_id, size_kw, cost, npv, pb, CASE WHEN (cum+cost)/cost>0 THEN (pow((cum+cost)/cost,1/20)-1)*100 END AS roi FROM c20)")
-    return ",\n".join(lines) + """ SELECT system_id, cost investment_lkr, round(avg(npv),2) expected_npv, round(avg(roi),4) expected_roi, round(quantile_cont(pb,0.5),4) expected_payback, round(quantile_cont(roi,0.05),4) worst_roi, round(quantile_cont(npv,0.05),2) worst_npv,
- round(quantile_cont(pb,0.95),4) worst_payback, round(quantile_cont(roi,0.95),4) best_roi, round(quantile_cont(pb,0.1),4) shortest_payback, round(avg(CASE WHEN roi>0 THEN 1e0 ELSE 0 END)*100,4) prob_positive_roi,
- CASE WHEN quantile_cont(npv,0.05)>0 THEN 'High' ELSE 'Moderate' END certainty FROM ro GROUP BY system_id, cost"""
-
-
-@query("h52_portfolio_risk", ["systems"], _risk_sql())
-def risk(t):
-    p = FI.risk_report(FI.portfolio_risk(t("systems")))
-    p = rounded(rounded(p, ["expected_npv", "worst_npv"], 2), ["expected_roi", "expected_payback", "worst_roi", "worst_payback", "best_roi", "shortest_payback", "prob_positive_roi"])
-    return p.drop("recommendation", "size_kw")

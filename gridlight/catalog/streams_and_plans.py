@@ -13,25 +13,26 @@ from gridlight.plans import assessment as AS, consumption as CO, integrated as I
 from gridlight.session import shared_folder
 from gridlight.streaming import jobs as J
 
-# the watermark at the end of the run: what lies before it has been written
-DONE = "(SELECT max(ts) - INTERVAL 2 DAY FROM events)"
-
-
 def event_stream(t):
     stream = J.read_stream(t.spark, t.folder, t("events").schema, "events.parquet")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def event_rows(t):
+    return t("events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def plain_times(df):
     """Window bounds without a zone, as the event table has them."""
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end") if c in df.columns})
 
 
-@query("j1_error_monitor", [], f"""WITH e AS (SELECT date_trunc('day', ts) AS s, event_type, abs(value - CAST(json_extract_string(props,'$.k') AS DOUBLE)) er FROM events)
- SELECT s AS start, s + INTERVAL 1 DAY AS "end", event_type, round(avg(er),6) mae, count(*) n_samples FROM e GROUP BY 1,2,3 HAVING s + INTERVAL 1 DAY <= {DONE}""")
+@query("j1_error_monitor", [], """WITH e AS (SELECT date_trunc('day', ts) AS s, event_type, abs(value - CAST(json_extract_string(props,'$.k') AS DOUBLE)) er FROM events)
+ SELECT s AS start, s + INTERVAL 1 DAY AS "end", event_type, round(avg(er),6) mae, count(*) n_samples FROM e GROUP BY 1,2,3""")
 def error_monitor(t):
     k = F.get_json_object("props", "$.k").cast("double")
-    return plain_times(J.run_to_table(J.error_monitor(event_stream(t), F.col("value"), k, keys=["event_type"]), "error_monitor")).withColumn("mae", r("mae", 6))
+    job = lambda df: J.error_monitor(df, F.col("value"), k, keys=["event_type"])
+    return plain_times(J.run_to_end(job, event_stream(t), event_rows(t), "error_monitor", "1 day")).withColumn("mae", r("mae", 6))
 
 
 @query("j2_streaming_ledger", ["readings"], LEDGER_SQL + " SELECT account_id, YEAR, MONTH, round(net,2) net_kwh, round(bill+1e-7,2) bill_lkr, round(used,2) credits_used, round(balance+1e-7,2) credit_balance FROM l")
@@ -45,22 +46,22 @@ def streaming_ledger(t):
     return out.withColumns({c: F.round(F.col(c) + 1e-7, 2) for c in ("bill_lkr", "credit_balance")})
 
 
-@query("j3_quality_counters", [], f"""SELECT date_trunc('day', ts) AS start, count(*) AS "rows", count(*)-count(value) nulls, count(*) FILTER (value<0) negatives, count(*) FILTER (value<0 OR value>50) out_of_range FROM events GROUP BY 1 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {DONE}""")
+@query("j3_quality_counters", [], """SELECT date_trunc('day', ts) AS start, count(*) AS "rows", count(*)-count(value) nulls, count(*) FILTER (value<0) negatives, count(*) FILTER (value<0 OR value>50) out_of_range FROM events GROUP BY 1""")
 def quality_counters(t):
-    return plain_times(J.run_to_table(J.quality_counters(event_stream(t), hi=50.0), "quality"))
+    return plain_times(J.run_to_end(lambda df: J.quality_counters(df, hi=50.0), event_stream(t), event_rows(t), "quality", "1 day").drop("end"))
 
 
-@query("j4_sliding_profile", [], f"""WITH w AS (SELECT user_id, value, date_trunc('day', ts) - to_days(CAST(k AS INT)) AS s FROM events CROSS JOIN (SELECT unnest(range(0,7)) k))
- SELECT s AS start, s + INTERVAL 7 DAY AS "end", user_id, round(sum(value),4) total, round(avg(value),6) mean, count(*) n FROM w GROUP BY 1,2,3 HAVING s + INTERVAL 7 DAY <= {DONE}""")
+@query("j4_sliding_profile", [], """WITH w AS (SELECT user_id, value, date_trunc('day', ts) - to_days(CAST(k AS INT)) AS s FROM events CROSS JOIN (SELECT unnest(range(0,7)) k))
+ SELECT s AS start, s + INTERVAL 7 DAY AS "end", user_id, round(sum(value),4) total, round(avg(value),6) mean, count(*) n FROM w GROUP BY 1,2,3""")
 def sliding_profile(t):
-    out = plain_times(J.run_to_table(J.sliding_profile(event_stream(t)), "sliding"))
+    out = plain_times(J.run_to_end(J.sliding_profile, event_stream(t), event_rows(t), "sliding", "7 days"))
     return out.withColumns({"total": r("total"), "mean": r("mean", 6)})
 
 
-@query("j4_session_profile", [], f"""WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM g)
- SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", user_id, round(sum(value),4) total, count(*) n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= {DONE}""")
+@query("j4_session_profile", [], """WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM g)
+ SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", user_id, round(sum(value),4) total, count(*) n FROM s GROUP BY user_id, k""")
 def session_profile(t):
-    return plain_times(J.run_to_table(J.session_profile(event_stream(t)), "session")).withColumn("total", r("total"))
+    return plain_times(J.run_to_end(J.session_profile, event_stream(t), event_rows(t), "session", None, key="user_id")).withColumn("total", r("total"))
 
 
 @query("c19_integrated_analysis", ["users", "readings"])

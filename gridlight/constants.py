@@ -105,10 +105,6 @@ PRICE_SIZES = [3, 5, 8, 10, 15, 20]
 PRICE_FLOOR, PRICE_CEILING = 300_000, 6_000_000
 BASE_IMPORT_TARIFF, DISCOUNT_RATE, PROJECT_YEARS = 45.0, 0.10, 20
 MAINTENANCE_SHARE, INVERTER_SHARE = 0.01, 0.25
-INVERTER_FIRST_YEAR, INVERTER_LAST_YEAR = 8, 12
-DEGRADATION_RANGE, ESCALATION_RANGE = (0.005, 0.010), (0.02, 0.05)
-MAINTENANCE_SPREAD = 0.2
-RISK_DRAWS = 2000
 
 # ---- fixed values: monitoring ------------------------------------------------
 DRIFT_WINDOW, DRIFT_THRESHOLD = 6, 2.0

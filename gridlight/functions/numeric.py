@@ -8,11 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 
-def lit_map(mapping: dict) -> Column:
-    """A literal map column."""
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
-
-
 def lookup(key: Column, mapping: dict, default=None) -> Column:
     """Value of ``mapping`` for ``key`` as a CASE expression (stays inside code generation)."""
     items = list(mapping.items())
@@ -84,16 +79,6 @@ def guarded_corr(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(xx, yy), F.when(scale > 0, scale))
 
 
-def hash_uniform(*keys: Column, seed: int = 42) -> Column:
-    """A uniform number in [0, 1) that depends on the keys only, not on the partitioning."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 53)).cast("double") / float(1 << 53)
-
-
-def arithmetic_uniform(system: Column, draw: Column, variable: int) -> Column:
-    """Uniform draw from integer arithmetic, reproducible in any SQL engine."""
-    return F.pmod(system * 7919 + draw * 104729 + F.lit(variable * 1299709), F.lit(10007)).cast("double") / 10007.0
-
-
 # ---- short arrays (at most a few dozen elements) --------------------------------
 
 def array_sum(a: Column) -> Column:
@@ -115,10 +100,6 @@ def array_slope(x: Column, y: Column) -> Column:
                         n * array_dot(x, x) - array_sum(x) * array_sum(x))
 
 
-def array_centered(a: Column) -> Column:
-    return F.transform(a, lambda v: v - array_mean(a))
-
-
 def array_min_max_scale(a: Column) -> Column:
     """Scale to 0..1; a constant array becomes 0.5 everywhere."""
     span = F.array_max(a) - F.array_min(a)

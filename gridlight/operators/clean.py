@@ -161,7 +161,3 @@ def validate_requests(df: DataFrame) -> DataFrame:
 
 def split_requests(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return validated.where(F.size("errors") == 0), validated.where(F.size("errors") > 0)
-
-
-def profile_compatible(user_solar: Column, solar: Column, user_tariff: Column, tariff: Column, months: Column) -> Column:
-    return all_of([user_solar == solar, user_tariff == tariff, months >= 6])

@@ -37,11 +37,6 @@ def feature_drift(df: DataFrame, by: list[str], features: list[str], is_recent:
     return ks.withColumn("p_value", p).withColumn("drifted", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
 
 
-def feature_alerts(ks: DataFrame, by: list[str]) -> DataFrame:
-    out = ks.groupBy(*by).agg(F.count_if("drifted").alias("n_drifted"))
-    return out.where("n_drifted > 0").withColumn("severity", F.when(F.col("n_drifted") > 3, "high").otherwise("medium"))
-
-
 def cluster_stability(previous: DataFrame, current: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Share of accounts that kept their cluster."""
     by = by or []

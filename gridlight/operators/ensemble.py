@@ -73,9 +73,3 @@ def adapt_weights(history: DataFrame, weights: dict[str, float], method: str, ke
     rows = [F.struct(F.lit(k).alias("method"), (own if k == method else F.lit(float(v)) * (1 - own) / others).alias("weight"))
             for k, v in weights.items()]
     return recent.select(key, "recent_mape", F.inline(F.array(*rows)))
-
-
-def forecast_mape(actual: DataFrame, predicted: DataFrame, by: list[str]) -> DataFrame:
-    """MAPE over the months both sides have."""
-    return actual.join(predicted, [*by, "month"]).groupBy(*by).agg(
-        (F.avg(F.try_divide(F.abs(F.col("actual") - F.col("kwh")), F.col("actual"))) * 100).alias("mape"))

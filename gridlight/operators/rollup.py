@@ -82,13 +82,6 @@ def transformer_features(rollup: DataFrame, capacity_kw: float = C.TRANSFORMER_C
             .fillna(0.0))
 
 
-def monthly_profile(readings: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean net, import and export per calendar month (a single year passes through unchanged)."""
-    return readings.groupBy(*keys, "MONTH").agg(
-        F.avg("NET_CONSUMPTION_kWh").alias("net"), F.avg("IMPORT_kWh").alias("import"),
-        F.avg("EXPORT_kWh").alias("export"))
-
-
 ACCOUNT_ATTRIBUTES = ["TRANSFORMER_CODE", "HAS_SOLAR", "INV_CAPACITY", "CAL_TARIFF", "PHASE", "CUSTOMER_LAT", "CUSTOMER_LON"]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridlight import constants as C
 from gridlight.functions import calendar as CAL
-from gridlight.functions.numeric import guarded_corr, lit_map, lookup, right_closed_bin, one_hot
+from gridlight.functions.numeric import guarded_corr, lookup, right_closed_bin, one_hot
 
 LAGS, WINDOWS = [1, 2, 3, 6, 12], [3, 6, 12]
 

@@ -75,18 +75,25 @@ def convert_units(df: DataFrame) -> DataFrame:
                            "Precipitation": S.rain_mm_per_day(F.col("tp_m"), CAL.days_in_month(F.col("Month"))), "Wind_Speed": S.wind_speed(F.col("u10"), F.col("v10"))})
 
 
-def nearest_cell(sites: DataFrame, grid: DataFrame, keys: list[str], values: list[str], max_step_deg: float) -> DataFrame:
-    """Value of the nearest grid point per site, over the points within one grid step.
+def nearest_cell(sites: DataFrame, grid: DataFrame, keys: list[str], values: list[str], step_deg: float) -> DataFrame:
+    """Value of the nearest grid point of every site, however far it is.
 
-    Sites and points meet on whole-degree-step cells (nine per site), so no site is
-    compared with the whole grid.
+    Sites and points meet on cells (nine per site); a point found within one cell's width is the nearest.  The sites
+    without one go on to cells of twice the width, so only sites far from the grid are compared with more of it.
     """
-    y, x = F.floor(F.col("lat") / max_step_deg), F.floor(F.col("lon") / max_step_deg)
-    s = sites.withColumn("_y", F.explode(F.sequence(y - 1, y + 1))).withColumn("_x", F.explode(F.sequence(x - 1, x + 1)))
-    g = grid.select(*values, F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"), F.floor(F.col("lat") / max_step_deg).alias("_y"), F.floor(F.col("lon") / max_step_deg).alias("_x"))
     d = (F.col("lat") - F.col("g_lat")) * (F.col("lat") - F.col("g_lat")) + (F.col("lon") - F.col("g_lon")) * (F.col("lon") - F.col("g_lon"))
-    order = F.struct(F.round(d, 12), "g_lat", "g_lon")
-    return s.join(g, ["_y", "_x"]).groupBy(*keys).agg(*[F.min_by(v, order).alias(v) for v in values])
+    order, step, found, left = F.struct(F.round(d, 12), "g_lat", "g_lon"), step_deg, [], sites
+    points = grid.where("lat IS NOT NULL AND lon IS NOT NULL").select(*values, F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"))
+    while True:
+        y, x = F.floor(F.col("lat") / step), F.floor(F.col("lon") / step)
+        s = left.withColumn("_y", F.explode(F.sequence(y - 1, y + 1))).withColumn("_x", F.explode(F.sequence(x - 1, x + 1)))
+        g = points.withColumns({"_y": F.floor(F.col("g_lat") / step), "_x": F.floor(F.col("g_lon") / step)})
+        best = s.join(g, ["_y", "_x"]).groupBy(*keys).agg(F.min(d).alias("_d"), *[F.min_by(v, order).alias(v) for v in values])
+        near = best if step > 720 else best.where(F.col("_d") <= step * step)
+        found.append(near.select(*keys, *values))
+        if step > 720 or (left := cut_lineage(left.join(near.select(*keys), keys, "left_anti"))).isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        step *= 2
 
 
 # ---- nearest neighbours ------------------------------------------------------------

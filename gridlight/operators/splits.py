@@ -15,7 +15,7 @@ def time_ranks(df: DataFrame) -> DataFrame:
 
 
 def with_time_rank(df: DataFrame) -> DataFrame:
-    return df.withColumn("time_idx", time_index(F.col("YEAR"), F.col("MONTH"))).join(F.broadcast(time_ranks(df)), "time_idx")
+    return df.withColumn("time_idx", time_index(F.col("YEAR"), F.col("MONTH"))).join(time_ranks(df), "time_idx")
 
 
 def temporal_split(df: DataFrame, test_size: float = 0.2, val_size: float = 0.1) -> DataFrame:
@@ -40,20 +40,27 @@ def _folds(df: DataFrame, folds: list[tuple[int, object, object, object]]) -> Da
     """Rows repeated per fold with their role; a fold is (number, train end, test start, test end) in month ranks."""
     ranked = with_time_rank(df)
     t = F.col("t")
+    none = F.array().cast("array<struct<fold:int,role:string>>")
     cases = [F.when(t < end, F.struct(F.lit(k).alias("fold"), F.lit("train").alias("role")))
              .when((t >= start) & (t < stop), F.struct(F.lit(k).alias("fold"), F.lit("test").alias("role"))) for k, end, start, stop in folds]
-    return ranked.select(*df.columns, F.explode(F.array_compact(F.array(*cases))).alias("_f")).select(*df.columns, "_f.fold", "_f.role")
+    return ranked.select(*df.columns, F.explode(F.array_compact(F.array(*cases)) if cases else none).alias("_f")).select(*df.columns, "_f.fold", "_f.role")
+
+
+def n_months(df: DataFrame) -> int:
+    """Number of distinct months of the history."""
+    return df.select(time_index(F.col("YEAR"), F.col("MONTH"))).distinct().count()
 
 
 def walk_forward(df: DataFrame, n_windows: int = 5, window_size: int = 12) -> DataFrame:
-    return _folds(df, [(i + 1, (i + 1) * window_size, (i + 1) * window_size, (i + 2) * window_size) for i in range(n_windows)])
+    """Folds as long as there are months to test on; a history too short for ``n_windows`` has fewer."""
+    n = n_months(df)
+    return _folds(df, [(i + 1, (i + 1) * window_size, (i + 1) * window_size, (i + 2) * window_size) for i in range(n_windows) if (i + 1) * window_size < n])
 
 
-def expanding_window(df: DataFrame, n_folds: int, initial: int = 24, step: int = 12) -> DataFrame:
-    """Only whole test windows count, as the fold's end must lie inside the history."""
-    n = F.col("n_times")
-    return _folds(df, [(i + 1, F.when(initial + (i + 1) * step <= n, initial + i * step), F.when(initial + (i + 1) * step <= n, initial + i * step),
-                        initial + (i + 1) * step) for i in range(n_folds)])
+def expanding_window(df: DataFrame, initial: int = 24, step: int = 12) -> DataFrame:
+    """As many folds as whole test windows lie inside the history."""
+    n_folds = max(0, (n_months(df) - initial) // step)
+    return _folds(df, [(i + 1, initial + i * step, initial + i * step, initial + (i + 1) * step) for i in range(n_folds)])
 
 
 def fold_split(df: DataFrame, n_splits: int = 5, gap: int = 0) -> DataFrame:

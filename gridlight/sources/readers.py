@@ -32,24 +32,53 @@ def read_readings(spark: SparkSession, path: str | list[str], fmt: str = "parque
                           ignoreTrailingWhiteSpace=True, enforceSchema=False)
 
 
+def _with_own_headers(spark: SparkSession, paths: str | list[str], wanted: dict[str, tuple[list[str], object]]) -> tuple[DataFrame, list[str]]:
+    """CSV files of any column order, each resolved by its own header, and the files that have no readable one.
+
+    Files are grouped by their first line: one read for each different header, however many files share it.
+    """
+    lines = spark.read.text(paths).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+                                                                       F.monotonically_increasing_id().alias("line"), "value")
+    firsts = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
+    groups = {r.header: sorted(r.paths) for r in firsts.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()}    # as long as the list of files
+    parts, bad = [], []
+    for header, files in sorted(groups.items()):
+        raw = spark.read.option("ignoreMissingFiles", "true").csv(files, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        raw = CL.strip_headers(raw.withColumn("_path", F.col("_metadata.file_path")))
+        if not any(all(w.lower() in c.lower() for w in wanted["ACCOUNT_NO"][0]) for c in raw.columns):
+            bad += files
+            continue
+        parts.append(CL.resolve_columns(raw, wanted | {"_path": (["_path"], None)}))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in [*wanted, "_path"]])), bad
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out, bad
+
+
 def read_customer_sheets(spark: SparkSession, folder: str) -> DataFrame:
-    """Customer master from one CSV per transformer; the file name is the transformer code."""
-    raw = spark.read.csv(f"{folder}/*.csv", header=True).withColumn("_file", F.col("_metadata.file_name"))
-    raw = CL.strip_headers(raw)
-    out = CL.resolve_columns(raw, {"ACCOUNT_NO": (["account"], None), "INV_CAPACITY": (["inv", "capacity"], "0"), "CAL_TARIFF": (["tariff"], C.DEFAULT_TARIFF),
-                                   "PHASE": (["phase"], "SP"), "_file": (["_file"], None)})
+    """Customer master from one CSV per transformer, each with its own header; the file name is the transformer code."""
+    out, _ = _with_own_headers(spark, f"{folder}/*.csv", {"ACCOUNT_NO": (["account"], None), "INV_CAPACITY": (["inv", "capacity"], "0"),
+                                                          "CAL_TARIFF": (["tariff"], C.DEFAULT_TARIFF), "PHASE": (["phase"], "SP")})
+    out = out.withColumn("_file", F.element_at(F.split("_path", "/"), -1)).drop("_path")
     out = CL.coerce_numeric(CL.trim_strings(out), ["INV_CAPACITY"]).fillna({"INV_CAPACITY": 0.0, "CAL_TARIFF": C.DEFAULT_TARIFF, "PHASE": "SP"})
     return out.withColumns({"TRANSFORMER_CODE": F.regexp_extract("_file", r"^(.*)\.csv$", 1), "HAS_SOLAR": (F.col("INV_CAPACITY") > 0).cast("int")}).drop("_file")
 
 
 def read_month_files(spark: SparkSession, manifest: DataFrame, paths: list[str]) -> DataFrame:
-    """Monthly meter files; ``manifest`` names (file_name, TRANSFORMER_CODE, MONTH, YEAR), broken files are skipped."""
-    raw = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").csv(paths, header=True)
-    raw = CL.strip_headers(raw.withColumn("file_name", F.col("_metadata.file_name")))
-    out = CL.resolve_columns(raw, {"ACCOUNT_NO": (["account"], None), "IMPORT_kWh": (["import", "total"], None), "EXPORT_kWh": (["export", "total"], "0"),
-                                   "file_name": (["file_name"], None)})
-    out = CL.coerce_numeric(CL.trim_strings(out), ["IMPORT_kWh", "EXPORT_kWh"])
-    return out.join(manifest, "file_name").drop("file_name")
+    """Monthly meter files, each with its own header; ``manifest`` names (path, TRANSFORMER_CODE, MONTH, YEAR).
+
+    Files are told apart by their whole path.  A file without an account column gives one row with null readings and
+    ``problem`` set, so that nothing is skipped in silence.
+    """
+    out, bad = _with_own_headers(spark, paths, {"ACCOUNT_NO": (["account"], None), "IMPORT_kWh": (["import", "total"], None), "EXPORT_kWh": (["export", "total"], "0")})
+    out = CL.coerce_numeric(CL.trim_strings(out), ["IMPORT_kWh", "EXPORT_kWh"]).withColumn("problem", F.lit(None).cast("string"))
+    lost = spark.createDataFrame([(p, "no account column") for p in bad], "_path string, problem string")
+    out = out.unionByName(lost, allowMissingColumns=True)
+    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
+    named = manifest.withColumn("_plain", plain(F.col("path"))).drop("path")
+    return out.withColumn("_plain", plain(F.col("_path"))).join(named, "_plain").drop("_plain", "_path")
 
 
 def attach_customers(readings: DataFrame, master: DataFrame) -> DataFrame:
@@ -68,17 +97,21 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("consumption_months", month_keys(F.col("consumption_months")))
 
 
+def _month_map(entries: Column) -> Column:
+    """(k, v) entries to a map; entries without a month or value are left out, of one month the last counts."""
+    good = F.filter(entries, lambda e: e["k"].isNotNull() & e["v"].isNotNull())
+    last = lambda e, i: ~F.exists(F.slice(good, i + 2, F.greatest(F.size(good) - i - 1, F.lit(0))), lambda x: x["k"] == e["k"])
+    return F.map_from_entries(F.filter(good, last))
+
+
 def month_keys(m: Column) -> Column:
-    """Keys ``"9"`` or ``"9:2025"`` to month numbers; unparsable entries are left out."""
-    entries = F.transform(F.map_entries(m), lambda e: F.struct(F.expr("1").alias("_"), F.split(e["key"], ":")[0].alias("k"), e["value"].alias("v")))
-    good = F.filter(entries, lambda e: e["k"].rlike(r"^\s*\d+\s*$"))
-    return F.map_from_entries(F.transform(good, lambda e: F.struct(F.trim(e["k"]).cast("int"), e["v"].cast("double"))))
+    """Keys ``"9"`` or ``"9:2025"`` to month numbers; unparsable entries are left out, of one month the last counts."""
+    return _month_map(F.transform(F.map_entries(m), lambda e: F.struct(F.trim(F.split(e["key"], ":")[0]).try_cast("int").alias("k"), e["value"].try_cast("double").alias("v"))))
 
 
 def parse_month_text(text: Column) -> Column:
-    """``"9:350.5,10:420.2"`` to a map of month to kWh."""
-    pairs = F.transform(F.split(text, ","), lambda p: F.split(p, ":"))
-    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.trim(p[0]).cast("int"), F.trim(p[1]).cast("double"))))
+    """``"9:350.5,10:420.2"`` to a map of month to kWh; entries that do not parse are left out, of one month the last counts."""
+    return _month_map(F.transform(F.split(text, ","), lambda p: F.struct(F.trim(F.get(F.split(p, ":"), 0)).try_cast("int").alias("k"), F.trim(F.get(F.split(p, ":"), 1)).try_cast("double").alias("v"))))
 
 
 # ---- weather documents ----------------------------------------------------------------
@@ -151,7 +184,7 @@ def vendor_page_prices(pages: DataFrame, sizes: list[int] = C.PRICE_SIZES) -> Da
     starting from Rs. n"; "<size>kW system ... LKR a - b" (averaged).  Prices outside the sanity limits are dropped.
     """
     df = pages.select("page_id", F.regexp_extract(F.lower("url"), r"/(\d+)kw-", 1).alias("url_size"), F.regexp_replace("html", r"(?s)<[^>]*>", " ").alias("text"),
-                      F.regexp_extract("html", r'(?is)<p[^>]*class="price"[^>]*>(.*?)</p>', 1).alias("node"))
+                      F.regexp_replace(F.regexp_extract("html", r'(?is)<p[^>]*class="price"[^>]*>(.*?)</p>', 1), r"(?s)<[^>]*>", " ").alias("node"))
     found = []
     for s in sizes:
         start = F.regexp_extract("text", rf"(?is)\b{s}kW.*?starting from.*?Rs\.?\s*([\d,]+)", 1)

@@ -9,12 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def write_readings(df: DataFrame, path: str, by: tuple[str, ...] = ("SOURCE", "TRANSFORMER_CODE"), rows_per_file: int = 5_000_000) -> None:
     """Readings partitioned by source and transformer.
 
-    Rows are shuffled by the partition columns and an account hash, so a transformer
-    with most of the rows is written by several tasks and a small one by few.
+    Adaptive execution balances the partitions it is dealt to: a transformer with most
+    of the rows is written by as many tasks as its size asks for, small ones share one.
     """
-    spread = df.withColumn("_spread", F.pmod(F.xxhash64("ACCOUNT_NO"), F.lit(16)))
-    (spread.repartition(*by, "_spread").drop("_spread").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
-     .partitionBy(*by).parquet(path))
+    df.hint("rebalance", *by).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(path)
 
 
 def split_by_source(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,11 +37,7 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def write_parameters(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").parquet(path)     # a few rows: bounds, account lists, weights
-
-
-def write_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    df.hint("rebalance").write.mode("overwrite").parquet(path)
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -52,8 +46,3 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
-
-
-def account_buckets(spark: SparkSession, df: DataFrame, table: str, buckets: int = 1024) -> None:
-    """Readings as a table bucketed and sorted by account: windows and joins on the account then need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, "account_id").sortBy("account_id", "YEAR", "MONTH").saveAsTable(table)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from gridlight import constants as C
 from gridlight.functions import tariff as TF
 from gridlight.operators.drift import prediction_drift
-from gridlight.session import shared_folder
+from gridlight.session import cut_lineage, shared_folder
 
 
 def read_stream(spark: SparkSession, folder: str, schema, pattern: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
@@ -37,6 +38,24 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def run_to_end(job: Callable[[DataFrame], DataFrame], stream: DataFrame, rows: DataFrame, name: str, span: str | None, lateness: str = "2 days", key: str | None = None) -> DataFrame:
+    """A bounded run to the last event: what the stream finalised, then the windows the watermark still holds open.
+
+    The second part is the same ``job`` over the ``rows`` that can lie in such a window: those of the last ``span`` before
+    the watermark, or, for windows without a fixed length, those of the keys with an event since then.
+    """
+    done = run_to_table(job(stream), name)
+    mark = rows.agg((F.max("ts") - F.expr(f"INTERVAL {lateness}")).alias("m")).first().m
+    if mark is None:
+        return done
+    if span:
+        last = rows.where(F.col("ts") >= F.lit(mark) - F.expr(f"INTERVAL {span}"))
+    else:
+        last = rows.join(rows.groupBy(key).agg(F.max("ts").alias("_last")).where(F.col("_last") >= F.lit(mark) - F.expr("INTERVAL 1 day")).select(key), key, "left_semi")
+    # a written table in between: the condition must not reach the rows before sessions are put together
+    return done.unionByName(cut_lineage(job(last)).where(F.col("end") > F.lit(mark)))
+
+
 # ---- J1 --------------------------------------------------------------------------------
 
 def error_monitor(events: DataFrame, actual: Column, predicted: Column, window: str = "1 day", lateness: str = "2 days", keys: list[str] | None = None) -> DataFrame:
@@ -99,7 +118,7 @@ def quality_counters(events: DataFrame, value: str = "value", lo: float = 0.0, h
     v = F.col(value)
     out = events.withWatermark("ts", lateness).groupBy(F.window("ts", window).alias("w")).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(v.isNull()).alias("nulls"), F.count_if(v < 0).alias("negatives"), F.count_if(~v.between(lo, hi)).alias("out_of_range"))
-    return out.select(F.col("w.start").alias("start"), "rows", "nulls", "negatives", "out_of_range")
+    return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "rows", "nulls", "negatives", "out_of_range")
 
 
 # ---- J4 --------------------------------------------------------------------------------

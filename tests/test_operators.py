@@ -220,18 +220,6 @@ def test_system_cost_and_quotes(spark):
     assert got[1, "A"] == (700_000.0, 2) and got[1, "B"] == (500_000.0, 1) and got[2, "A"][0] == 800_000.0 and got[3, "A"][0] == 633_000.0
 
 
-def test_risk_converges_and_does_not_depend_on_partitions(spark):
-    s = spark.createDataFrame([(i, 5.0, 7200.0, 4800.0) for i in range(1, 6)], "system_id long, size_kw double, annual_generation_kwh double, annual_consumption_kwh double")
-    a = FI.risk_report(FI.portfolio_risk(s)).orderBy("system_id").collect()
-    assert a == FI.risk_report(FI.portfolio_risk(s.repartition(3), batch=2)).orderBy("system_id").collect()
-    b = FI.portfolio_risk(s, n_draws=500).orderBy("system_id").collect()
-    for x, y in zip(a, b):
-        assert x.worst_npv < x.expected_npv and x.shortest_payback <= x.expected_payback <= x.worst_payback and x.certainty in ("High", "Moderate")
-        assert y.expected_npv == pytest.approx(x.expected_npv, rel=0.05)
-    det = FI.payback_summary(FI.yearly_cash_flow(s)).first()
-    assert det.npv_lkr == pytest.approx(a[0].expected_npv, rel=0.2)
-
-
 def test_ghi_imputation_touches_listed_months_only(spark):
     w = spark.createDataFrame([(1, 2025, 10, 5.0, 6.0), (1, 2025, 11, None, None), (1, 2025, 12, 9.0, 9.0)], "SITE_ID int, Year int, Month int, Solar_Irradiance_GHI double, Clear_Sky_GHI double")
     h = spark.createDataFrame([(1, y, m, 4.0 + y % 2, 6.0) for y in (2020, 2021) for m in (10, 11, 12)], w.schema)
@@ -259,3 +247,13 @@ def test_model_helpers(spark):
     d = ml.mutual_information(df.withColumn("z", F.col("y")), ["x", "z"], "y", 2).collect()
     mi = {r.feature: r.mutual_information for r in d}
     assert mi["z"] == pytest.approx(0.6931, abs=1e-3) and mi["x"] == pytest.approx(0.0, abs=1e-3)
+
+
+def test_nearest_grid_point_however_far(spark):
+    import random
+    from gridlight.operators import solar as SO
+    rng = random.Random(4)
+    grid = [(6 + rng.random(), 79 + rng.random(), i) for i in range(60)]
+    sites = [(i, 6 + rng.random() * 1.2, 79 + rng.random() * 1.2) for i in range(40)] + [(100, 40.0, 10.0), (101, -60.0, 170.0)]
+    got = {r.k: r.v for r in SO.nearest_cell(spark.createDataFrame(sites, "k int, lat double, lon double"), spark.createDataFrame(grid, "lat double, lon double, v int"), ["k"], ["v"], 0.05).collect()}
+    assert got == {k: min(grid, key=lambda g: (g[0] - y) ** 2 + (g[1] - x) ** 2)[2] for k, y, x in sites}

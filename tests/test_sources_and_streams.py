@@ -28,9 +28,34 @@ def test_customer_sheets_take_the_file_name(spark, tmp_path):
 def test_month_files_follow_the_manifest(spark, tmp_path):
     (tmp_path / "sep.csv").write_text("ACCOUNT_NO,Import Total,Export Total\nA1,100,5\n")
     (tmp_path / "oct.csv").write_text("ACCOUNT_NO,Import Total,Export Total\nA1,oops,1\n")
-    man = spark.createDataFrame([("sep.csv", "TF1", 9, 2025), ("oct.csv", "TF1", 10, 2025)], "file_name string, TRANSFORMER_CODE string, MONTH int, YEAR int")
-    got = {r.MONTH: r.IMPORT_kWh for r in RD.read_month_files(spark, man, [str(tmp_path / "sep.csv"), str(tmp_path / "oct.csv"), str(tmp_path / "missing*.csv")][:2]).collect()}
-    assert got == {9: 100.0, 10: None}
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "sep.csv").write_text("Export Total,Import Total, Account No\n7,70,A1\n")      # same name, other order
+    (tmp_path / "b" / "bad.csv").write_text("x,y\n1,2\n")
+    files = [str(tmp_path / f) for f in ("sep.csv", "oct.csv", "b/sep.csv", "b/bad.csv")]
+    man = spark.createDataFrame([(files[0], "TF1", 9, 2025), (files[1], "TF1", 10, 2025), (files[2], "TF2", 9, 2025), (files[3], "TF2", 10, 2025)],
+                                "path string, TRANSFORMER_CODE string, MONTH int, YEAR int")
+    got = {(r.TRANSFORMER_CODE, r.MONTH): (r.ACCOUNT_NO, r.IMPORT_kWh, r.EXPORT_kWh, r.problem) for r in RD.read_month_files(spark, man, files).collect()}
+    assert got == {("TF1", 9): ("A1", 100.0, 5.0, None), ("TF1", 10): ("A1", None, 1.0, None), ("TF2", 9): ("A1", 70.0, 7.0, None), ("TF2", 10): (None, None, None, "no account column")}
+
+
+def test_customer_sheets_with_other_headers(spark, tmp_path):
+    (tmp_path / "TF001.csv").write_text("Account No,Inv Capacity,Tariff\nA1,5,D1\n")
+    (tmp_path / "TF002.csv").write_text("Tariff,Inv Capacity,Account No\nGP1,3,A2\n")
+    (tmp_path / "TF003.csv").write_text("Account No,Phase\nA3,TP\n")
+    got = {r.ACCOUNT_NO: (r.TRANSFORMER_CODE, r.INV_CAPACITY, r.CAL_TARIFF, r.PHASE) for r in RD.read_customer_sheets(spark, str(tmp_path)).collect()}
+    assert got == {"A1": ("TF001", 5.0, "D1", "SP"), "A2": ("TF002", 3.0, "GP1", "SP"), "A3": ("TF003", 0.0, "D1", "TP")}
+
+
+def test_bad_month_entries_are_left_out(spark):
+    one = spark.range(1)
+    assert one.select(RD.parse_month_text(F.lit("oct:1, 9:5, 9:7,, 11:x,"))).first()[0] == {9: 7.0}
+    months = F.create_map(F.lit("9:2024"), F.lit(1.0), F.lit("9:2025"), F.lit(2.0), F.lit("x"), F.lit(3.0))
+    assert one.select(RD.month_keys(months)).first()[0] == {9: 2.0}
+
+
+def test_price_node_with_inner_tags(spark):
+    page = spark.createDataFrame([(1, "https://shop/5kw-system", '<p class="price"><span class="c2" data-id="77">Rs750,000</span></p>')], "page_id int, url string, html string")
+    assert [(r.size_kw, r.price_lkr) for r in RD.vendor_page_prices(page).where("rule = 'price_node'").collect()] == [(5, 750000)]
 
 
 def test_requests_and_month_keys(spark, tmp_path):
