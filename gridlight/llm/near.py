@@ -188,7 +188,10 @@ def loose_edges(texts: DataFrame, similarity: float, recall: float, small: int,
         level = 1
         while True:
             below = written(children(nodes, similarity), "nodes")
-            sizes = written(below.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+            sizes = below.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("mark")).where("n > 1")
+            # nodes of all runs with the same few texts are compared once; larger ones go their own ways
+            sizes = sizes.groupBy("n", F.when(F.col("n") <= small, F.col("mark")).otherwise(F.col("path")).alias("mark")).agg(F.min("path").alias("path"))
+            sizes = written(sizes.select("path", "n"), "sizes")
             below = written(below.join(sizes, "path"), "shared")    # nodes of one text are done with
             ready = (F.col("n") <= small) | (F.col("n") > 0.5 * F.col("was"))
             found.append(written(compared(below.where(ready).drop("was"), texts, least, block), "alike"))
