@@ -60,26 +60,32 @@ def repeated_runs(docs: DataFrame, min_words: int = 25, always: int = 20, id_col
     prints = written(fingerprints(rows, always), "prints")
     often = written(prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "often")
     seen = written(maybe_in(prints, F.col("h"), often, F.col("h")).join(often, "h"), "seen")
-    # the runs of three lines a fingerprint stands in: last, in the middle, first; and the fingerprint alone
-    runs = F.expr("""filter(array(
+    # the runs of three lines a fingerprint stands in: last, in the middle, first.  Equal keys are equal runs, so nothing more
+    # is carried along; a long fingerprint also stands alone and takes its neighbours with it
+    threes = F.expr("""filter(array(
         CASE WHEN (of & 1) <> 0 AND (left & 4294967295) <> 0 THEN struct(xxhash64(1, h, left) AS key, 2 AS back, 0 AS on) END,
         CASE WHEN (of & 2) <> 0 AND shiftrightunsigned(left, 32) <> 0 AND shiftrightunsigned(right, 32) <> 0
              THEN struct(xxhash64(2, h, shiftrightunsigned(left, 32), shiftrightunsigned(right, 32)) AS key, 1 AS back, 1 AS on) END,
-        CASE WHEN (of & 4) <> 0 AND (right & 4294967295) <> 0 THEN struct(xxhash64(3, h, right) AS key, 0 AS back, 2 AS on) END,
-        CASE WHEN (of & 8) <> 0 THEN struct(xxhash64(4, h) AS key, 0 AS back, 0 AS on) END), x -> x IS NOT NULL)""")
-    keyed = seen.select("doc", "th", "j", "left", "right", "words", F.explode(runs).alias("k")).select("doc", "th", "j", "left", "right", "words", "k.*")
-    first = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc0")).where("n > 1").drop("n"), "first")
-    matched = written(keyed.join(first, "key"), "matched")
-    source = matched.where(F.col("doc").eqNullSafe(F.col("doc0"))).groupBy("key").agg(F.min(F.struct("th", "j", "left", "right")).alias("s"))
-    source = written(source.select("key", F.col("s.th").alias("th0"), F.col("s.j").alias("j0"), F.col("s.left").alias("left0"), F.col("s.right").alias("right0")), "sources")
-    later = ~(F.col("doc").eqNullSafe(F.col("doc0")) & (F.col("th") == F.col("th0")) & (F.col("j") == F.col("j0")))
+        CASE WHEN (of & 4) <> 0 AND (right & 4294967295) <> 0 THEN struct(xxhash64(3, h, right) AS key, 0 AS back, 2 AS on) END), x -> x IS NOT NULL)""")
+
+    def met_again(keyed: DataFrame, more: list[str]) -> DataFrame:
+        """Rows of ``keyed`` whose key stands at an earlier place, with the columns ``more`` of the first place as *0."""
+        first = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc0")).where("n > 1").drop("n"), "first")
+        matched = written(keyed.join(first, "key"), "matched")
+        source = matched.where(F.col("doc").eqNullSafe(F.col("doc0"))).groupBy("key").agg(F.min(F.struct("th", "j", *more)).alias("s"))
+        source = written(source.select("key", *[F.col(f"s.{c}").alias(f"{c}0") for c in ("th", "j", *more)]), "sources")
+        later = ~(F.col("doc").eqNullSafe(F.col("doc0")) & (F.col("th") == F.col("th0")) & (F.col("j") == F.col("j0")))
+        return matched.join(source, "key").where(later)
 
     def reach(a: str, b: str) -> Column:
         one = F.expr(f"shiftrightunsigned({a}, 32) <> 0 AND shiftrightunsigned({a}, 32) = shiftrightunsigned({b}, 32)")
         return F.when(one & F.expr(f"{a} = {b} AND ({a} & 4294967295) <> 0"), 2).when(one, 1).otherwise(0)
 
     place = ["doc", "th", "j", "words"]
-    met = matched.join(source, "key").where(later).groupBy(*place).agg(F.max(F.greatest("back", reach("left", "left0"))).alias("back"), F.max(F.greatest("on", reach("right", "right0"))).alias("on"))
+    alike = met_again(seen.select(*place, F.explode(threes).alias("k")).select(*place, "k.*"), [])
+    alone = met_again(seen.where("(of & 8) <> 0").select(*place, "left", "right", F.col("h").alias("key")), ["left", "right"])
+    alone = alone.select(*place, reach("left", "left0").alias("back"), reach("right", "right0").alias("on"))
+    met = alike.select(*place, "back", "on").unionByName(alone).groupBy(*place).agg(F.max("back").alias("back"), F.max("on").alias("on"))
     covered = met.select(*place, F.explode(F.expr("sequence(-back, on)")).alias("step"))
     covered = covered.groupBy("doc", "th", (F.col("j") + F.col("step")).alias("j")).agg(F.max(F.expr("shiftrightunsigned(words, 12 * (step + 2)) & 4095")).alias("w"))
     island = covered.withColumn("island", F.col("j") - F.row_number().over(W.partitionBy("doc", "th").orderBy("j")))

@@ -28,7 +28,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     executor takes nothing with it."""
     spark = df.sparkSession
     folder = new_folder(spark, name)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
