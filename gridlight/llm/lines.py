@@ -99,7 +99,7 @@ def without_repeats(docs: DataFrame, min_words: int = 25, always: int = 20, id_c
     A null or empty text stays as it is.  Rows repeated in id and text are one document and are treated alike; texts with
     equal ids are told apart by their hash.  Other columns stay and may have any name but those beginning with ``_gl_``."""
     runs = repeated_runs(docs, min_words, always, id_col, text_col).select(F.col("doc").alias("_gl_doc"), F.col("th").alias("_gl_th"), F.col("runs").alias("_gl_runs"))
-    runs = written(runs, "runs")
+    runs = written(runs, "runs").hint("merge")    # one plan at every size: both sides grow with the input
     keyed = maybe_in(docs.withColumn("_gl_hash", F.xxhash64(text_col)), F.coalesce("_gl_hash", F.lit(0)), runs, F.col("_gl_th"), flag="_gl_maybe")
     same = keyed.where(~F.col("_gl_maybe")).select(*docs.columns, F.lit(0).alias("_words_removed"))    # most texts stay where they are
     keyed = keyed.where("_gl_maybe")
