@@ -115,15 +115,16 @@ def compare(t):
 @query("i15_sequence_forecast", ["readings"])
 def sequence_forecast(t):
     frame = cut_lineage(SP.group_split(ml.horizon_frame(t("readings"), 6, 6)))
-    models = ml.fit_horizons(frame.where("split = 'train'"), 6, [1, 6], trees=10)
+    models = ml.fit_horizons(frame.where("split = 'train'"), 6, [1, 2, 3, 4, 5, 6])
     return ME.forecast_metrics(ml.predict_horizons(models, frame.where("split = 'test'")), ["step"])
 
 
 @query("i17_walk_forward_validation", ["readings"])
 def walk_forward(t):
     f = SE.lag_features(t("readings"), lags=[1, 2, 3]).dropna(subset=["lag_1", "lag_2", "lag_3"]).select("account_id", "YEAR", "MONTH", "NET_CONSUMPTION_kWh", "lag_1", "lag_2", "lag_3")
-    folds = cut_lineage(SP.walk_forward(f, 3, 12))
-    return ml.walk_forward_validation(folds, ["lag_1", "lag_2", "lag_3", "MONTH"], "NET_CONSUMPTION_kWh", 3, LinearRegression(featuresCol="features", labelCol="NET_CONSUMPTION_kWh"))
+    n_folds = (SP.n_months(f) - 1) // 12    # every month of the history is in a fold
+    folds = cut_lineage(SP.walk_forward(f, n_folds, 12))
+    return ml.walk_forward_validation(folds, ["lag_1", "lag_2", "lag_3", "MONTH"], "NET_CONSUMPTION_kWh", n_folds, LinearRegression(featuresCol="features", labelCol="NET_CONSUMPTION_kWh"))
 
 
 U = "((account_id*1009+YEAR*31+MONTH)*7919+d*104729)%10007/10007e0"
