@@ -284,14 +284,20 @@ def ensemble_stats(t):
     return s.withColumns({"annual_total": r("annual_total", 3), "seasonality_index": r("seasonality_index", 6)})
 
 
-@query("h43_adaptive_weights", ["forecasts"], """WITH h AS (SELECT account_id, YEAR*12+MONTH run, abs(y_true-y_pred)/y_true*100 mape FROM forecasts WHERE y_true>0),
-x AS (SELECT account_id, avg(mape) e FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY run DESC) rn FROM h) WHERE rn<=3 GROUP BY 1 HAVING count(*)>=3),
-w AS (SELECT account_id, e, (CASE WHEN e>0 THEN 1/e ELSE 1 END) b FROM x)
-SELECT account_id, round(e,6) recent_mape, m AS method, round(CASE WHEN m='pattern' THEN b/(b+0.5e0) ELSE 1-b/(b+0.5e0) END,6) weight FROM w CROSS JOIN (SELECT unnest(['lstm','pattern']) m)""")
+@query("h43_adaptive_weights", ["forecasts"], """WITH RECURSIVE h AS (SELECT account_id, (YEAR*12+MONTH)*2+m run, m, CASE WHEN m=1 THEN abs(y_true-y_pred) ELSE abs(y_true-y_pred2) END/y_true*100 mape FROM forecasts CROSS JOIN (SELECT unnest([0,1]) m) WHERE y_true>0),
+r3 AS (SELECT account_id, run, m, avg(mape) OVER w e, count(*) OVER w n FROM h WINDOW w AS (PARTITION BY account_id, m ORDER BY run ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+ev AS (SELECT account_id, m, CASE WHEN e>0 THEN 1/e ELSE 1e0 END b, row_number() OVER (PARTITION BY account_id ORDER BY run) k FROM r3 WHERE n>=3),
+wt AS (SELECT DISTINCT account_id, CAST(0 AS BIGINT) k, 0.5e0 p, 0.5e0 l FROM ev UNION ALL
+ SELECT w.account_id, ev.k, CASE WHEN m=1 THEN b/(b+l) ELSE p*(1-b/(b+p))/p END p, CASE WHEN m=1 THEN l*(1-b/(b+l))/l ELSE b/(b+p) END l FROM wt w JOIN ev ON ev.account_id=w.account_id AND ev.k=w.k+1),
+z AS (SELECT account_id, arg_max(p,k) p, arg_max(l,k) l FROM wt GROUP BY 1)
+SELECT account_id, m AS method, round(CASE WHEN m='pattern' THEN p ELSE l END,6) weight FROM z CROSS JOIN (SELECT unnest(['lstm','pattern']) m)""")
 def adaptive(t):
-    h = t("forecasts").where("y_true > 0").select("account_id", (F.col("YEAR") * 12 + F.col("MONTH")).alias("run"), F.lit("pattern").alias("method"),
-                                                  (F.abs(F.col("y_true") - F.col("y_pred")) / F.col("y_true") * 100).alias("mape"))
-    return rounded(EN.adapt_weights(h, C.ENSEMBLE_WEIGHTS, "pattern", "account_id"), ["recent_mape", "weight"], 6)
+    """Errors of two methods, month by month, the first method's before the second's."""
+    f, run = t("forecasts").where("y_true > 0"), (F.col("YEAR") * 12 + F.col("MONTH")) * 2
+    mape = lambda y: F.abs(F.col("y_true") - F.col(y)) / F.col("y_true") * 100
+    h = f.select("account_id", F.inline(F.array(F.struct(run.alias("run"), F.lit("lstm").alias("method"), mape("y_pred2").alias("mape")),
+                                                F.struct((run + 1).alias("run"), F.lit("pattern").alias("method"), mape("y_pred").alias("mape")))))
+    return rounded(EN.adapt_weights(h, C.ENSEMBLE_WEIGHTS, "account_id"), ["weight"], 6)
 
 
 @query("d21_historical_features", SIM_NEEDS, "WITH " + SIM_SQL + """ SELECT user_id, um.m AS month, round(avg(net),4) hist_mean, round(quantile_cont(net,0.5),4) hist_median, round(stddev_pop(net),4) hist_std, round(min(net),4) hist_min, round(max(net),4) hist_max

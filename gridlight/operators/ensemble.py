@@ -62,14 +62,23 @@ def ensemble_statistics(combined: DataFrame) -> DataFrame:
         F.when(change > 5, "increasing").when(change < -5, "decreasing").otherwise("stable").alias("trend"))
 
 
-def adapt_weights(history: DataFrame, weights: dict[str, float], method: str, key: str) -> DataFrame:
-    """New weights after the mean of a method's last three errors; ``history`` has (key, run, method, mape)."""
-    w = Window.partitionBy(key).orderBy(F.col("run").desc())
-    recent = (history.where(F.col("method") == method).withColumn("_r", F.row_number().over(w)).where("_r <= 3")
-              .groupBy(key).agg(F.avg("mape").alias("recent_mape"), F.count(F.lit(1)).alias("n")).where("n >= 3"))
-    others = sum(v for k, v in weights.items() if k != method)
-    base = F.when(F.col("recent_mape") > 0, F.try_divide(F.lit(1.0), F.col("recent_mape"))).otherwise(1.0)
-    own = base / (base + others)
-    rows = [F.struct(F.lit(k).alias("method"), (own if k == method else F.lit(float(v)) * (1 - own) / others).alias("weight"))
-            for k, v in weights.items()]
-    return recent.select(key, "recent_mape", F.inline(F.array(*rows)))
+def adapt_weights(history: DataFrame, weights: dict[str, float], key: str, window: int = 3) -> DataFrame:
+    """Weights of every key after all its errors; ``history`` has (key, run, method, mape).
+
+    From the ``window``-th error of a method on, each new one moves this method's weight towards the inverse of its mean
+    recent error and scales the others, starting from the weights the error before has left.
+    """
+    names = list(weights)
+    w = Window.partitionBy(key, "method").orderBy("run").rowsBetween(-(window - 1), 0)
+    rows = history.where(F.col("method").isin(names)).withColumns({"_recent": F.avg("mape").over(w), "_n": F.count(F.lit(1)).over(w)}).where(F.col("_n") >= window)
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("method")).cast("int")
+    steps = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("run", place.alias("i"), F.col("_recent").alias("e")))).alias("steps"))
+
+    def step(held: Column, e: Column) -> Column:
+        others = F.aggregate(held, F.lit(0.0), lambda a, x: a + x) - F.element_at(held, e["i"])
+        base = F.when(e["e"] > 0, 1.0 / e["e"]).otherwise(1.0)
+        own = base / (base + others)
+        return F.transform(held, lambda v, k: F.when(k == e["i"] - 1, own).otherwise(F.when(others > 0, v * (1 - own) / others).otherwise(0.0)))
+
+    held = F.aggregate("steps", F.array(*[F.lit(float(v)) for v in weights.values()]), step)
+    return steps.select(key, F.posexplode(held).alias("_i", "weight")).select(key, F.get(F.array(*[F.lit(n) for n in names]), F.col("_i")).alias("method"), "weight")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridlight import constants as C
 from gridlight.functions import numeric as N
-from gridlight.functions.geo import in_bounds
 from gridlight.operators.clean import numeric_columns
 from gridlight.operators.ordered import exact_quantiles, histogram
 
@@ -87,11 +86,11 @@ def quality_report(df: DataFrame, by: list[str]) -> DataFrame:
     """
     numeric = [c for c in numeric_columns(df) if c not in by and c != "account_id"]
     columns = [c for c in df.columns if c not in by]
-    bad_place = ~in_bounds(F.col("CUSTOMER_LAT"), F.col("CUSTOMER_LON"))
+    bad_lat, bad_lon = ~F.col("CUSTOMER_LAT").between(C.BOUNDS["lat_min"], C.BOUNDS["lat_max"]), ~F.col("CUSTOMER_LON").between(C.BOUNDS["lon_min"], C.BOUNDS["lon_max"])
     net = F.col("NET_CONSUMPTION_kWh")
     # every count that needs no account comes out of one aggregate with tiny map-side results
     head = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total_records"), F.count_if(bad_place).alias("invalid_locations"),
+        F.count(F.lit(1)).alias("total_records"), (F.count_if(bad_lat) + F.count_if(bad_lon)).alias("invalid_locations"),
         F.count_if(~F.col("CAL_TARIFF").isin(C.VALID_TARIFFS)).alias("invalid_tariffs"),
         F.count_if((net == 0) & (F.col("HAS_SOLAR") == 0)).alias("zero_months"), F.count_if(net < 0).alias("negative_months"),
         *[F.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(columns)])
