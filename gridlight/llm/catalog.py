@@ -125,3 +125,39 @@ def op3_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty vectors of largest inner product for every twentieth vector."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0)).withColumnRenamed("id", "vec_id")
+
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op1_ngram_jaccard"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+u AS (SELECT row_number() OVER () AS k, t, any_value(ws) AS ws, min(doc_id) AS doc, count(*) AS n_copies FROM d GROUP BY t),
+s AS (SELECT DISTINCT k, array_to_string(ws[i:i + 4], ' ') AS g FROM u, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) r(i) WHERE len(ws) > 0),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+p AS (SELECT a.k AS x, b.k AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.k = x JOIN n b ON b.k = y WHERE c >= 0.8e0 * (a.n + b.n - c) - 1e-9),
+m AS (SELECT k, doc AS r FROM u UNION SELECT l.y, m.r FROM m JOIN l ON l.x = m.k),
+c AS (SELECT k, min(r) AS class_id FROM m GROUP BY k),
+e AS (SELECT x AS k, count(*) AS n_links FROM l GROUP BY x)
+SELECT d.doc_id, CASE WHEN len(d.ws) = 0 THEN d.doc_id ELSE c.class_id END AS class_id, CAST(coalesce(e.n_links, 0) AS BIGINT) AS n_links,
+       CAST(CASE WHEN len(d.ws) = 0 THEN 1 ELSE u.n_copies END AS BIGINT) AS n_copies
+FROM d JOIN u ON u.t = d.t JOIN c ON c.k = u.k LEFT JOIN e ON e.k = u.k"""
+
+# A line is repeated if a run of three lines around it stands earlier, or if it has 20 words and stands earlier, or if it is one
+# of two neighbours that such a long line has in common with its first place.
+ORACLES["op5_line_dedup"] = """
+WITH raw AS (SELECT doc_id, text, string_split(replace(replace(replace(replace(text, chr(10), chr(10) || chr(1)), '. ', '. ' || chr(1)), '! ', '! ' || chr(1)), '? ', '? ' || chr(1)), chr(1)) AS us FROM documents),
+x AS (SELECT doc_id, i, us[i] AS piece, trim(us[i], ' ' || chr(9) || chr(13) || chr(10)) AS t FROM raw, unnest(range(1, len(us) + 1)) r(i)),
+n AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j, len(t) - len(replace(t, ' ', '')) + 1 AS w FROM x WHERE t <> ''),
+k AS (SELECT *, lag(t, 2) OVER q AS a2, lag(t) OVER q AS a1, lead(t) OVER q AS b1, lead(t, 2) OVER q AS b2, (doc_id, j) AS place FROM n WINDOW q AS (PARTITION BY doc_id ORDER BY j)),
+f3 AS (SELECT doc_id, j, place > min(place) OVER (PARTITION BY t, b1, b2) AS again FROM k WHERE b2 IS NOT NULL),
+f1 AS (SELECT t, min(place) AS first FROM k WHERE w >= 20 GROUP BY t),
+m1 AS (SELECT k.doc_id, k.j, CASE WHEN k.a1 = s.a1 AND k.a2 = s.a2 THEN 2 WHEN k.a1 = s.a1 THEN 1 ELSE 0 END AS back, CASE WHEN k.b1 = s.b1 AND k.b2 = s.b2 THEN 2 WHEN k.b1 = s.b1 THEN 1 ELSE 0 END AS fore
+       FROM k JOIN f1 ON f1.t = k.t AND k.place > f1.first JOIN k s ON s.t = f1.t AND s.place = f1.first WHERE k.w >= 20),
+hit AS (SELECT doc_id, j + o AS j FROM f3, (SELECT unnest([0, 1, 2]) AS o) WHERE again UNION SELECT doc_id, j + o FROM m1, (SELECT unnest([-2, -1, 0, 1, 2]) AS o) WHERE o BETWEEN -back AND fore),
+run AS (SELECT n.doc_id, n.i, n.w, n.j - row_number() OVER (PARTITION BY n.doc_id ORDER BY n.j) AS island FROM hit JOIN n ON n.doc_id = hit.doc_id AND n.j = hit.j),
+gone AS (SELECT doc_id, min(i) AS a, max(i) AS b, sum(w) AS w FROM run GROUP BY doc_id, island HAVING sum(w) >= 25),
+kept AS (SELECT doc_id, string_agg(piece, '' ORDER BY i) AS text FROM x WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = x.doc_id AND x.i BETWEEN g.a AND g.b) GROUP BY doc_id),
+lost AS (SELECT doc_id, sum(w) AS w FROM gone GROUP BY doc_id)
+SELECT r.doc_id, CASE WHEN r.text IS NULL THEN NULL WHEN l.w IS NULL THEN r.text ELSE coalesce(k.text, '') END AS text, CAST(coalesce(l.w, 0) AS BIGINT) AS words_removed
+FROM raw r LEFT JOIN kept k ON k.doc_id = r.doc_id LEFT JOIN lost l ON l.doc_id = r.doc_id"""
