@@ -17,10 +17,10 @@ SCALED = ["Solar_Irradiance_GHI", "Temperature", "Cloud_Factor"]
 
 def model_rows(t):
     f = solar_frame(t).dropna(subset=["Solar_Irradiance_GHI", "Efficiency"]).withColumnRenamed("MONTH", "Month")
-    return SP.arithmetic_group_split(f)
+    return SP.group_split(f)
 
 
-@query("i1_standard_scaling", NEEDS, f"WITH {SF}, k AS (SELECT *, (account_id*7919+104729)%10007<2001.4 te FROM sf WHERE Solar_Irradiance_GHI IS NOT NULL AND Efficiency IS NOT NULL), s AS (SELECT " + ", ".join(
+@query("i1_standard_scaling", NEEDS, f"WITH {SF}, k AS (SELECT *, substr(md5(concat_ws('|', account_id, 42)), 1, 8) < '33333333' te FROM sf WHERE Solar_Irradiance_GHI IS NOT NULL AND Efficiency IS NOT NULL), s AS (SELECT " + ", ".join(
     f"avg({c}) m{i}, stddev_pop({c}) s{i}" for i, c in enumerate(SCALED)) + " FROM k WHERE NOT te) SELECT account_id, YEAR, MONTH AS \"Month\", " + ", ".join(f"round(({c}-m{i})/s{i},6) AS \"{c}\"" for i, c in enumerate(SCALED)) + " FROM k, s")
 def scaling(t):
     f = model_rows(t)

@@ -82,7 +82,7 @@ def static_climate(t):
 
 # ---- nearest neighbours ------------------------------------------------------------
 
-KNN = SF + """, ks AS (SELECT *, CASE WHEN (account_id*7919+104729)%10007 < 2001.4 THEN 1 ELSE 0 END te FROM sf WHERE Solar_Irradiance_GHI IS NOT NULL AND Efficiency IS NOT NULL),
+KNN = SF + """, ks AS (SELECT *, CASE WHEN substr(md5(concat_ws('|', account_id, 42)), 1, 8) < '33333333' THEN 1 ELSE 0 END te FROM sf WHERE Solar_Irradiance_GHI IS NOT NULL AND Efficiency IS NOT NULL),
 st AS (SELECT avg(Solar_Irradiance_GHI) m1, stddev_pop(Solar_Irradiance_GHI) s1, avg(Temperature) m2, stddev_pop(Temperature) s2, avg(Cloud_Factor) m3, stddev_pop(Cloud_Factor) s3 FROM ks WHERE te=0),
 qv AS (SELECT DISTINCT Solar_Irradiance_GHI g, Temperature t, Cloud_Factor c FROM ks WHERE te=1),
 kp AS (SELECT g, t, c, k.account_id, k.YEAR, k.MONTH, Efficiency, sqrt(pow((g-Solar_Irradiance_GHI)/s1,2)+pow((t-Temperature)/s2,2)+pow((c-Cloud_Factor)/s3,2)) d FROM qv JOIN (SELECT * FROM ks WHERE te=0) k ON true JOIN st ON true),
@@ -92,7 +92,7 @@ kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g,t,c ORDER BY r
 def knn_sets(t):
     rows = solar_frame(t).dropna(subset=["Solar_Irradiance_GHI", "Efficiency"])
     # scaling, representatives and queries all start from these rows
-    f = cut_lineage(SP.arithmetic_group_split(rows).select("account_id", "YEAR", "MONTH", *C.KNN_FEATURES, "Efficiency", "split"))
+    f = cut_lineage(SP.group_split(rows).select("account_id", "YEAR", "MONTH", *C.KNN_FEATURES, "Efficiency", "split"))
     test, train = f.where("split = 'test'"), f.where("split = 'train'")
     return test, SO.nearest_rows(test, train, C.KNN_FEATURES, "Efficiency", ["account_id", "YEAR", "MONTH"])
 

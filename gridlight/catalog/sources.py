@@ -97,7 +97,7 @@ def discount(t):
     return RD.discount_rate(doc, "doc", ["account_id"])
 
 
-@query("a22_f4_seeded_sample", ["readings"])
+@query("a22_f4_seeded_sample", ["readings"], """SELECT account_id, YEAR, MONTH, "NET_CONSUMPTION_kWh" FROM readings ORDER BY md5(concat_ws('|', account_id, YEAR, MONTH, 42)), account_id, YEAR, MONTH LIMIT 5000""")
 def sample(t):
     return SP.hash_sample(t("readings").select("account_id", "YEAR", "MONTH", "NET_CONSUMPTION_kWh"), 5000, ["account_id", "YEAR", "MONTH"])
 

@@ -377,9 +377,9 @@ def date_split(t):
     return SP.date_split(t("readings"), 2000, 6).select("account_id", "YEAR", "MONTH", "split")
 
 
-@query("i2_group_split", ["readings"], "SELECT CASE WHEN (account_id*7919+104729)%10007 < 2001.4 THEN 'test' ELSE 'train' END split, count(*) n, count(DISTINCT account_id) accounts FROM readings GROUP BY 1")
+@query("i2_group_split", ["readings"], "SELECT CASE WHEN substr(md5(concat_ws('|', account_id, 42)), 1, 8) < '33333333' THEN 'test' ELSE 'train' END split, count(*) n, count(DISTINCT account_id) accounts FROM readings GROUP BY 1")
 def group_split(t):
-    return SP.arithmetic_group_split(t("readings")).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("account_id").alias("accounts"))
+    return SP.group_split(t("readings")).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("account_id").alias("accounts"))
 
 
 @query("c13_leakage_check", ["readings"], "SELECT CAST(0 AS BIGINT) AS shared, count(DISTINCT account_id) AS groups FROM readings")

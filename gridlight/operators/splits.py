@@ -73,8 +73,9 @@ def date_split(df: DataFrame, year: int, month: int) -> DataFrame:
 
 
 def group_split(df: DataFrame, test_share: float = 0.2, key: str = "account_id", seed: int = 42) -> DataFrame:
-    """Whole groups go to train or test by a hash of their key: no shuffle, no shared groups."""
-    return df.withColumn("split", F.when(group_bucket(key, 10_000, seed) < test_share * 10_000, "test").otherwise("train"))
+    """Whole groups go to train or test by the MD5 of their key, which any engine can repeat: no shuffle, no shared groups."""
+    limit = f"{int(test_share * (1 << 32)):08x}"
+    return df.withColumn("split", F.when(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8) < limit, "test").otherwise("train"))
 
 
 def group_bucket(key: str, buckets: int, seed: int = 42):
@@ -82,12 +83,6 @@ def group_bucket(key: str, buckets: int, seed: int = 42):
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets))
 
 
-def arithmetic_group_split(df: DataFrame, test_share: float = 0.2, key: str = "account_id") -> DataFrame:
-    """As ``group_split`` but with an integer formula any SQL engine can repeat."""
-    bucket = F.pmod(F.col(key) * 7919 + 104729, F.lit(10007))
-    return df.withColumn("split", F.when(bucket < test_share * 10007, "test").otherwise("train"))
-
-
 def leakage(df: DataFrame, key: str = "account_id") -> DataFrame:
     """Number of keys present in more than one split (must be 0)."""
     per_key = df.groupBy(key).agg(F.min("split").alias("a"), F.max("split").alias("b"))
@@ -95,5 +90,5 @@ def leakage(df: DataFrame, key: str = "account_id") -> DataFrame:
 
 
 def hash_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """A reproducible sample of ``n`` rows: the first by a hash of the keys (a distributed top-k, no full sort)."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    """A reproducible sample of ``n`` rows: the first by the MD5 of the keys (a distributed top-k, no full sort)."""
+    return df.orderBy(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))), *keys).limit(n)
