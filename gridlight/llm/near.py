@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -181,14 +182,18 @@ def compared(nodes: DataFrame, texts: DataFrame, least: int, block: int) -> Data
 def loose_edges(texts: DataFrame, similarity: float, recall: float, small: int, block: int) -> DataFrame:
     """Tree edges of texts that look alike, from as many chosen-path runs as the recall asks for."""
     least = math.floor(POSITIONS * max(0.0, similarity - 4.5 * math.sqrt(similarity * (1 - similarity) / POSITIONS)))
-    found, runs, depth = [], 0, 1
-    while runs < (needed := runs_needed(similarity, recall, depth)):
+    found, runs, depth, known = [], 0, 1, None
+    while runs < (all_runs := runs_needed(similarity, recall, depth)):
+        needed = all_runs if runs else min(2, all_runs)    # the first two runs already connect most of what is alike
         starts = F.explode(F.array(*[F.lit(run * 7_919 + 1).cast("bigint") for run in range(runs, needed)]))
         nodes = texts.select(starts.alias("path"), "id", F.lit(1 << 62).alias("was"), "sketch")
         level = 1
         while True:
             below = written(children(nodes, similarity), "nodes")
-            sizes = below.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("mark")).where("n > 1")
+            # a node whose texts are all in one loose group by now cannot add to it
+            label = F.coalesce("root", "id") if known is not None else F.col("id")
+            sizes = (below if known is None else below.join(known, "id", "left")).groupBy("path").agg(
+                F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.min(label).alias("low"), F.max(label).alias("high")).where("n > 1 AND low < high")
             # nodes of all runs with the same few texts are compared once; larger ones go their own ways
             sizes = sizes.groupBy("n", F.when(F.col("n") <= small, F.col("mark")).otherwise(F.col("path")).alias("mark")).agg(F.min("path").alias("path"))
             sizes = written(sizes.select("path", "n"), "sizes")
@@ -201,10 +206,9 @@ def loose_edges(texts: DataFrame, similarity: float, recall: float, small: int,
                 break
             nodes, level = rest.join(texts.select("id", "sketch"), "id").select("path", "id", "was", "sketch"), level + 1
         runs = needed
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.distinct()
+        if runs < runs_needed(similarity, recall, depth):
+            known = components(reduce(DataFrame.union, found))
+    return reduce(DataFrame.union, found).distinct()
 
 
 def runs_needed(similarity: float, recall: float, depth: int) -> int:
