@@ -93,6 +93,12 @@ def repeated_runs(docs: DataFrame, min_words: int = 25, always: int = 20, id_col
     return stretches.groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs"))
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is worked out once: a generator of one row keeps the optimizer from writing its expression
+    into later ones, where it would be repeated for every element of an array."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def without_repeats(docs: DataFrame, min_words: int = 25, always: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with later repeated runs of lines taken out of the text, and ``_words_removed``.
 
@@ -105,12 +111,12 @@ def without_repeats(docs: DataFrame, min_words: int = 25, always: int = 20, id_c
     keyed = keyed.where("_gl_maybe")
     joined = keyed.join(runs, keyed[id_col].eqNullSafe(runs["_gl_doc"]) & (F.col("_gl_hash") == F.col("_gl_th")), "left")
     units = F.expr(pieces(f"`{text_col}`"))
-    cut = joined.withColumn("_gl_units", F.when(F.col("_gl_runs").isNotNull(), units))
-    places = "transform(filter(transform(_gl_units, (u, i) -> struct(i AS i, btrim(u, ' \\t\\r\\n') AS t)), x -> x.t <> ''), x -> x.i)"
-    cut = cut.withColumn("_gl_places", F.expr(places))
-    cut = cut.withColumn("_gl_gone", F.expr("transform(_gl_runs, r -> struct(_gl_places[r.start] AS a, _gl_places[r.stop] AS b))"))
+    cut = held(joined, "_gl_units", F.when(F.col("_gl_runs").isNotNull(), units))
+    cut = held(cut, "_gl_places", F.expr("transform(filter(transform(_gl_units, (u, i) -> struct(i AS i, btrim(u, ' \\t\\r\\n') AS t)), x -> x.t <> ''), x -> x.i)"))
+    cut = held(cut, "_gl_gone", F.expr("transform(_gl_runs, r -> struct(_gl_places[r.start] AS a, _gl_places[r.stop] AS b))"))
     kept = "array_join(filter(_gl_units, (u, i) -> NOT exists(_gl_gone, g -> i BETWEEN g.a AND g.b)), '')"
     gone = "aggregate(filter(_gl_units, (u, i) -> exists(_gl_gone, g -> i BETWEEN g.a AND g.b)), 0L, (n, u) -> n + CASE WHEN btrim(u, ' \\t\\r\\n') = '' THEN 0 ELSE length(btrim(u, ' \\t\\r\\n')) - length(replace(btrim(u, ' \\t\\r\\n'), ' ', '')) + 1 END)"
-    done = cut.withColumn("_words_removed", F.when(F.col("_gl_runs").isNull(), F.lit(0)).otherwise(F.expr(gone)))
-    done = done.withColumn(text_col, F.when(F.col("_gl_runs").isNull(), F.col(text_col)).otherwise(F.expr(kept)))
+    none = F.col("_gl_runs").isNull()
+    done = held(cut, "_gl_new", F.struct(F.when(none, F.col(text_col)).otherwise(F.expr(kept)).alias("text"), F.when(none, F.lit(0)).otherwise(F.expr(gone)).cast("int").alias("removed")))
+    done = done.withColumn("_words_removed", F.col("_gl_new.removed")).withColumn(text_col, F.col("_gl_new.text"))
     return done.select(*docs.columns, "_words_removed").unionByName(same)
