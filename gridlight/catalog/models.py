@@ -47,7 +47,7 @@ def fitted(t):
 @query("i4_i6_i7_model_table", NEEDS)
 def model_table(t):
     train, test = fitted(t)
-    models = ml.fit_models(train, C.SOLAR_MODEL_FEATURES, ml.regressors("Efficiency", trees=20))
+    models = ml.fit_models(train, C.SOLAR_MODEL_FEATURES, ml.regressors("Efficiency"))
     rows = ml.evaluate_models(models, test, "Efficiency")
     physics = ME.forecast_metrics(test, y="Efficiency", p="Physics_Pred").select(F.lit("Physics").alias("model"), "mae", "rmse", "r2", "mape")
     return ml.comparison_table(rows.unionByName(ml.overfit_verdict(physics.withColumn("cv_mae", F.lit(None).cast("double")))))
@@ -56,8 +56,7 @@ def model_table(t):
 @query("i3_grid_search", NEEDS)
 def grid_search(t):
     train, test = fitted(t)
-    models = {k: v for k, v in ml.regressors("Efficiency", trees=10).items() if k in ("Ridge", "RandomForest")}
-    found = ml.grid_search(train, C.SOLAR_MODEL_FEATURES, "Efficiency", models, folds=3)
+    found = ml.grid_search(train, C.SOLAR_MODEL_FEATURES, "Efficiency", ml.regressors("Efficiency"))
     return ml.evaluate_models({k: m for k, (m, _) in found.items()}, test, "Efficiency", {k: e for k, (_, e) in found.items()})
 
 
@@ -77,7 +76,7 @@ def mutual_information(t):
 @query("i9_forest_importances", NEEDS)
 def importances(t):
     train, _ = fitted(t)
-    models = ml.fit_models(train, C.SOLAR_MODEL_FEATURES, {"RandomForest": ml.regressors("Efficiency", trees=20)["RandomForest"]})
+    models = ml.fit_models(train, C.SOLAR_MODEL_FEATURES, {"RandomForest": ml.regressors("Efficiency")["RandomForest"]})
     return ml.importances(t.spark, models["RandomForest"], C.SOLAR_MODEL_FEATURES)
 
 

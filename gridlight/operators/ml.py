@@ -50,9 +50,15 @@ def regressors(label: str, trees: int = 100, seed: int = 42) -> dict:
 
 
 def grids(models: dict) -> dict:
-    """Search space per family."""
+    """Search space per family.
+
+    Depth 30 is MLlib's largest and stands for trees without a limit.  MLlib has no least size of a node that is split; at
+    least 3 rows in either child keep nodes of fewer than 5 rows whole, as the wider of the two sizes (2 and 5) does.
+    """
     build = lambda m, space: reduce(lambda g, kv: g.addGrid(m.getParam(kv[0]), kv[1]), space.items(), ParamGridBuilder()).build()
-    space = {"Ridge": {"regParam": [0.1, 1.0, 10.0]}, "Lasso": {"regParam": [0.01, 0.1]}, "RandomForest": {"maxDepth": [5, 8]}, "GradientBoosting": {"maxDepth": [3, 4]}}
+    space = {"Ridge": {"regParam": [0.1, 1.0, 10.0]}, "Lasso": {"regParam": [0.001, 0.01, 0.1]},
+             "RandomForest": {"numTrees": [100, 200], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 3]},
+             "GradientBoosting": {"maxIter": [100, 200], "stepSize": [0.05, 0.1], "maxDepth": [4, 6, 8]}}
     return {name: build(m, space[name]) for name, m in models.items() if name in space}
 
 

@@ -257,3 +257,25 @@ def test_nearest_grid_point_however_far(spark):
     sites = [(i, 6 + rng.random() * 1.2, 79 + rng.random() * 1.2) for i in range(40)] + [(100, 40.0, 10.0), (101, -60.0, 170.0)]
     got = {r.k: r.v for r in SO.nearest_cell(spark.createDataFrame(sites, "k int, lat double, lon double"), spark.createDataFrame(grid, "lat double, lon double, v int"), ["k"], ["v"], 0.05).collect()}
     assert got == {k: min(grid, key=lambda g: (g[0] - y) ** 2 + (g[1] - x) ** 2)[2] for k, y, x in sites}
+
+
+def test_registered_models_are_the_whole_job(spark, tables, monkeypatch):
+    from gridlight.catalog import models as MO
+    seen = {}
+    monkeypatch.setattr(MO, "fitted", lambda t: (None, None))
+    monkeypatch.setattr(ml, "grid_search", lambda train, features, label, models, folds=5, **k: seen.update(models=models, folds=folds) or {})
+    monkeypatch.setattr(ml, "evaluate_models", lambda *a: None)
+    MO.grid_search(tables)
+    assert set(seen["models"]) == {"Ridge", "Lasso", "RandomForest", "GradientBoosting"} and seen["folds"] == 5
+    space = {k: [{p.name: v for p, v in g.items()} for g in grid] for k, grid in ml.grids(seen["models"]).items()}
+    assert {k: len(v) for k, v in space.items()} == {"Ridge": 3, "Lasso": 3, "RandomForest": 12, "GradientBoosting": 12}
+    assert {(g["numTrees"], g["maxDepth"]) for g in space["RandomForest"]} == {(n, d) for n in (100, 200) for d in (10, 20, 30)}
+    assert {(g["maxIter"], g["stepSize"], g["maxDepth"]) for g in space["GradientBoosting"]} == {(n, r, d) for n in (100, 200) for r in (0.05, 0.1) for d in (4, 6, 8)}
+    fits = []
+    monkeypatch.setattr(ml, "fit_models", lambda train, features, models: fits.append(models) or models)
+    monkeypatch.setattr(ml, "importances", lambda *a: None)
+    monkeypatch.setattr(ME, "forecast_metrics", lambda *a, **k: spark.createDataFrame([], "mae double, rmse double, r2 double, mape double"))
+    monkeypatch.setattr(ml, "evaluate_models", lambda *a: spark.createDataFrame([], "model string, mae double, rmse double, r2 double, mape double, cv_mae double, gap double, verdict string"))
+    MO.model_table(tables)
+    MO.importances(tables)
+    assert [m["RandomForest"].getNumTrees() for m in fits] == [100, 100] and fits[0]["GradientBoosting"].getMaxIter() == 50
