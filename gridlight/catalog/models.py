@@ -132,7 +132,7 @@ WGT = f"CASE WHEN {U}<0.36787944 THEN 0e0 WHEN {U}<0.73575888 THEN 1e0 WHEN {U}<
 
 @query("i18_bootstrap_interval", ["forecasts"], f"WITH x AS (SELECT MONTH, d, sum({WGT}*abs(y_true-y_pred))/sum({WGT}) m FROM forecasts CROSS JOIN (SELECT unnest(range(0,40)) d) GROUP BY 1,2), a AS (SELECT MONTH, avg(abs(y_true-y_pred)) mae FROM forecasts GROUP BY 1) SELECT MONTH, round(any_value(mae),6) mae, round(quantile_cont(m,0.025),6) low, round(quantile_cont(m,0.5),6) median, round(quantile_cont(m,0.975),6) high FROM x JOIN a USING (MONTH) GROUP BY 1")
 def bootstrap(t):
-    return rounded(ml.bootstrap_interval(t("forecasts"), ["MONTH"], draws=40), ["mae", "low", "median", "high"], 6)
+    return rounded(ml.bootstrap_interval(t("forecasts"), ["MONTH"]), ["mae", "low", "median", "high"], 6)
 
 
 @query("i20_loss_confidence", ["forecasts"], "SELECT account_id, round(greatest(0.3e0,least(0.95e0,1-avg(abs(y_true-y_pred))*20/1000)),6) confidence FROM forecasts GROUP BY 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -225,23 +226,30 @@ def walk_forward_validation(folds: DataFrame, features: list[str], label: str, n
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
+def poisson_weight(u: Column) -> Column:
+    """The inverse of the Poisson distribution of mean 1, as far as a double can tell it from 1."""
+    term = below = math.exp(-1.0)
+    out, k = F.when(u < below, 0.0), 0
+    while below < 1.0 and term > 2.0 ** -54:
+        k += 1
+        term /= k
+        below += term
+        out = out.when(u < below, float(k))
+    return out.otherwise(float(k + 1))
+
+
 def bootstrap_interval(predictions: DataFrame, by: list[str], draws: int = 100, y: str = "y_true", p: str = "y_pred") -> DataFrame:
     """Interval of each group's MAE by Poisson bootstrap.
 
-    A row's weight in a draw comes from its key and the draw number, so every row
-    is used where it lies: weighted sums per draw are combined map-side and no
-    resample is ever built.
+    A row's weight in a draw comes from the MD5 of its key and the draw number (its first 52 bits over 2^52), so every row
+    is used where it lies: weighted sums per draw are combined map-side and no resample is ever built.
     """
-    err = F.abs(F.col(y) - F.col(p))
-    key = F.col("account_id") * 1009 + F.col("YEAR") * 31 + F.col("MONTH")
-    u = lambda d: F.pmod(key * 7919 + d * 104729, F.lit(10007)).cast("double") / 10007.0
-    weight = lambda v: (F.when(v < 0.36787944, 0).when(v < 0.73575888, 1).when(v < 0.91969860, 2).when(v < 0.98101184, 3).otherwise(4)).cast("double")
-    aggs = [x for d in range(draws) for x in (F.sum(weight(u(F.lit(d))) * err).alias(f"e{d}"), F.sum(weight(u(F.lit(d)))).alias(f"w{d}"))]
-    wide = predictions.groupBy(*by).agg(F.avg(err).alias("mae"), *aggs)
-    maes = F.array_compact(F.array(*[F.try_divide(F.col(f"e{d}"), F.col(f"w{d}")) for d in range(draws)]))
-    rows = wide.select(*by, "mae", F.explode(maes).alias("m"))
+    drawn = predictions.withColumn("_err", F.abs(F.col(y) - F.col(p))).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", "account_id", "YEAR", "MONTH", "_d").cast("binary")), 1, 13), 16, 10).cast("long")
+    weighted = drawn.withColumn("_u", bits / F.lit(2.0 ** 52)).withColumn("_w", poisson_weight(F.col("_u")))
+    sums = weighted.groupBy(*by, "_d").agg(F.avg("_err").alias("mae"), F.try_divide(F.sum(F.col("_w") * F.col("_err")), F.sum("_w")).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return rows.groupBy(*by).agg(F.max("mae").alias("mae"), q.alias("q")).select(*by, "mae", F.get("q", 0).alias("low"), F.get("q", 1).alias("median"), F.get("q", 2).alias("high"))
+    return sums.groupBy(*by).agg(F.max("mae").alias("mae"), q.alias("q")).select(*by, "mae", F.get("q", 0).alias("low"), F.get("q", 1).alias("median"), F.get("q", 2).alias("high"))
 
 
 def loss_confidence(loss: Column) -> Column:

@@ -279,3 +279,43 @@ def test_registered_models_are_the_whole_job(spark, tables, monkeypatch):
     MO.model_table(tables)
     MO.importances(tables)
     assert [m["RandomForest"].getNumTrees() for m in fits] == [100, 100] and fits[0]["GradientBoosting"].getMaxIter() == 50
+
+
+def test_bootstrap_draws_are_independent_of_the_keys_remainder(spark, tables):
+    """Rows whose keys are equal modulo 10007 had equal weights in every draw, so their errors never evened out."""
+    import hashlib
+    import math
+    from gridlight.catalog import models as MO
+    keys = [(i * 10007, 2000 + i % 3, 1 + i % 2, float(i % 2 and 10), 0.0) for i in range(400)]
+
+    def weight(u):
+        k, term = 0, math.exp(-1)
+        below = term
+        while u >= below:
+            k += 1
+            term /= k
+            below += term
+        return k
+
+    shifted = [(a, y, m, e + i % 7, p) for i, (a, y, m, e, p) in enumerate(keys)]
+    got = ml.bootstrap_interval(spark.createDataFrame(shifted, "account_id long, YEAR int, MONTH int, y_true double, y_pred double"), ["MONTH"]).orderBy("MONTH").collect()
+    most = 0
+    for r in got:
+        rows = [(a, y, m, e) for a, y, m, e, _ in shifted if m == r.MONTH]
+        means = []
+        for d in range(100):
+            w = [weight(int(hashlib.md5(f"{a}|{y}|{m}|{d}".encode()).hexdigest()[:13], 16) / 2 ** 52) for a, y, m, _ in rows]
+            most = max(most, *w)
+            means.append(sum(x * e for x, (*_, e) in zip(w, rows)) / sum(w))
+        means.sort()
+        at = lambda q: means[int(q * 99)] + (q * 99 - int(q * 99)) * (means[min(99, int(q * 99) + 1)] - means[int(q * 99)])
+        assert (r.low, r.median, r.high) == (pytest.approx(at(0.025)), pytest.approx(at(0.5)), pytest.approx(at(0.975)))
+    assert len(got) == 2 and most > 4
+    called = {}
+    original = ml.bootstrap_interval
+    try:
+        ml.bootstrap_interval = lambda df, by, draws=100: called.update(draws=draws) or original(df, by, draws)
+        MO.bootstrap(tables)
+    finally:
+        ml.bootstrap_interval = original
+    assert called["draws"] == 100
