@@ -141,6 +141,21 @@ def test_language_model_of_odd_tables(spark, odd_docs):
     assert pitman_yor.log10_scores(odd_docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_seating_takes_every_words_own_count(spark):
+    """A rare word beside a frequent one whose hashes agreed in 21 bits was seated with the count of the frequent one."""
+    from gridlight.llm.hashes import mixed, word_hashes
+    names = [f"n{i}" for i in range(8000)]
+    cell = mixed(word_hashes([" ".join(names)])[0] >> np.uint64(24)) % np.uint64(1 << 21)
+    order = np.argsort(cell, kind="stable")
+    at = int(np.flatnonzero(np.diff(cell[order]) == 0)[0])
+    often, rare = names[order[at]], names[order[at + 1]]
+    texts = [" ".join([often] * 500)] * 80 + [f"{c}{i} {w}" for c, w in (("c", rare), ("d", "plain")) for i in range(150) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    score = {r.doc_id: r.score for r in pitman_yor.log10_scores(docs, F.lit(True)).collect()}
+    mean = lambda w: np.mean([score[i] for i, t in enumerate(texts) if t.endswith(" " + w) and not t.startswith("n")])
+    assert mean(rare) == pytest.approx(mean("plain"), abs=0.06)
+
+
 def test_seating_is_sampled_from_its_distribution():
     """Tables of one type: the sampled distribution is that of strength, discount and base."""
     c, d, s, base = 6, 0.5, 1.0, 0.3
