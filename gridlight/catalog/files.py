@@ -30,14 +30,14 @@ def month_files(t):
     heads = [["Account No", "Import Total (kWh)", "EXPORT TOTAL"], ["Total export", "ACCOUNT_NO", "total import"], ["IMPORT_TOTAL", "account"]]
     manifest, paths = None, []
     for part, head in enumerate(heads):
-        rows = t("readings").where((F.col("YEAR") == 1996) & (F.col("MONTH") % 3 == part)).groupBy("TRANSFORMER_CODE", "ACCOUNT_NO").agg(F.sum("IMPORT_kWh").alias("i"), F.sum("EXPORT_kWh").alias("e"))
+        rows = t("readings").where(F.col("MONTH") % 3 == part).groupBy("YEAR", "TRANSFORMER_CODE", "ACCOUNT_NO").agg(F.sum("IMPORT_kWh").alias("i"), F.sum("EXPORT_kWh").alias("e"))
         of = lambda h: F.col("ACCOUNT_NO" if "account" in h.lower() else "i" if "import" in h.lower() else "e").alias(h)
         path = folder(t, f"months-{part}")
-        rows.select("TRANSFORMER_CODE", *[of(h) for h in head]).repartition("TRANSFORMER_CODE").write.partitionBy("TRANSFORMER_CODE").csv(path, header=True)
-        files = t.spark.read.text(f"{path}/*/*.csv").select(F.col("_metadata.file_path").alias("path")).distinct()
-        files = files.select("path", F.regexp_extract("path", "TRANSFORMER_CODE=([^/]+)", 1).alias("TRANSFORMER_CODE"), F.lit(1 + part).alias("MONTH"), F.lit(1996).alias("YEAR"))
+        rows.select("YEAR", "TRANSFORMER_CODE", *[of(h) for h in head]).repartition("YEAR", "TRANSFORMER_CODE").write.partitionBy("YEAR", "TRANSFORMER_CODE").csv(path, header=True)
+        files = t.spark.read.text(f"{path}/*/*/*.csv").select(F.col("_metadata.file_path").alias("path")).distinct()
+        files = files.select("path", F.regexp_extract("path", "TRANSFORMER_CODE=([^/]+)", 1).alias("TRANSFORMER_CODE"), F.lit(1 + part).alias("MONTH"), F.regexp_extract("path", "YEAR=([^/]+)", 1).cast("int").alias("YEAR"))
         manifest = files if manifest is None else manifest.unionByName(files)
-        paths.append(f"{path}/*/*.csv")
+        paths.append(f"{path}/*/*/*.csv")
     out = RD.read_month_files(t.spark, manifest, paths)
     return out.select("ACCOUNT_NO", "TRANSFORMER_CODE", "MONTH", "YEAR", F.round("IMPORT_kWh", 2).alias("import_kwh"), F.round("EXPORT_kWh", 2).alias("export_kwh"), "problem")
 

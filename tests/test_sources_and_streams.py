@@ -146,3 +146,21 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     df = cut_lineage(spark.range(5))
     assert df.count() == 5 and spark.sparkContext.getCheckpointDir()
     assert shared_folder(spark)
+
+
+def test_month_files_of_all_years(spark, tables):
+    from gridlight.catalog import files
+    got = {(r.ACCOUNT_NO, r.TRANSFORMER_CODE, r.YEAR, r.MONTH): (r.import_kwh, r.export_kwh, r.problem) for r in files.month_files(tables).collect()}
+    part = F.col("MONTH") % 3
+    want = tables("readings").groupBy("ACCOUNT_NO", "TRANSFORMER_CODE", "YEAR", part.alias("part")).agg(F.sum("IMPORT_kWh").alias("i"), F.sum("EXPORT_kWh").alias("e")).collect()
+    assert len(got) == len(want) and len({k[2] for k in got}) == len({r.YEAR for r in want}) > 1
+    for r in want:
+        i, e, problem = got[r.ACCOUNT_NO, r.TRANSFORMER_CODE, r.YEAR, 1 + r.part]
+        assert (i, e, problem) == (pytest.approx(r.i, abs=0.0051), pytest.approx(0.0 if r.part == 2 else r.e, abs=0.0051), None)
+
+
+def test_walk_forward_ends_with_a_history_of_24_months(spark):
+    from gridlight.operators import splits as SP
+    rows = spark.createDataFrame([(1, 2020 + m // 12, 1 + m % 12) for m in range(24)], "account_id long, YEAR int, MONTH int")
+    got = {(r.fold, r.role): r["count"] for r in SP.walk_forward(rows, 5, 6).groupBy("fold", "role").count().collect()}
+    assert got == {(k, role): n for k in (1, 2, 3) for role, n in (("train", 6 * k), ("test", 6))}
