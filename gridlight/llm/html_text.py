@@ -20,27 +20,51 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
           "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = frozenset("ul ol dl table select body html article section div".split())
 # Parts of a page that are not its article, by element and by the words of id, class and role.
-NOT_TEXT = frozenset("head script style noscript template svg canvas iframe object audio video nav footer aside form button select textarea dialog menu title".split())
+NOT_TEXT = frozenset("head script style noscript template svg canvas iframe object audio video nav footer aside button select textarea dialog menu title".split())
 NOT_ARTICLE = frozenset("""ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs
     footer cookie cookies consent notice notices alert popup modal overlay comment comments disqus replies respond share sharing social related recommended newsletter
     subscribe subscription signup login search pagination pager masthead toolbar widget complementary contentinfo dialog skip""".split())
 ARTICLE = frozenset(("article", "main"))
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*>?|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>?", re.S)
-ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*))")
-HIDDEN = re.compile(r"\bhidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s>]*)))?")
+UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+# What stands behind these in a name is said about the element, not what it is: has-sidebar, no-comments.
+ABOUT = frozenset("has have no not with without".split())
+
+
+def hidden(attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true" or bool(UNSEEN.search(attrs.get("style", "")))
+
+
+def marked_as_other(attrs: dict[str, str]) -> bool:
+    """Whether id, class or role name a part that is not the article."""
+    for mark in " ".join(attrs.get(name, "") for name in ("id", "class", "role")).lower().split():
+        for piece in re.split(r"[^a-z0-9]+", mark):
+            if piece in ABOUT:
+                break
+            if piece in NOT_ARTICLE:
+                return True
+    return False
 
 
 class Page:
     """The tree of a page: for every node its parent, tag, counts of characters and tags and of those in links; and the
-    blocks of text in page order."""
+    blocks of text in page order.
+
+    Elements without text of the page are dropped as they come.  Forms, and elements that id, class or role mark as another
+    part, are dropped at the end, unless they hold an article or main element or, where no such element stands outside all
+    marked ones, more than half of the text."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.dropped, self.linked = [-1], ["#root"], [False], [False]
+        self.parent, self.tag, self.dropped, self.linked, self.doubtful = [-1], ["#root"], [False], [False], [False]
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
-        self.blocks: list[tuple[int, str]] = []
+        self.parts: list[tuple[int, list[tuple[int, str]]]] = []
         self.stack, self.open, self.held, self.block = [0], Counter(), [], 0
         self.read(source)
         self.flush()
+        self.drop_doubtful()
+        shown = ((block, " ".join("".join(x for node, x in held if not self.dropped[node]).split())) for block, held in self.parts)
+        self.blocks = [(block, text) for block, text in shown if text]
         for i in range(len(self.tag) - 1, 0, -1):
             p = self.parent[i]
             if not self.dropped[i]:
@@ -51,16 +75,33 @@ class Page:
 
     def flush(self) -> None:
         """End the current block of text."""
-        if text := " ".join("".join(self.held).split()):
-            self.blocks.append((self.block, text))
+        if self.held:
+            self.parts.append((self.block, self.held))
         self.held = []
 
+    def drop_doubtful(self) -> None:
+        if True not in self.doubtful:
+            return
+        chars, articles = self.chars[:], [not d and t in ARTICLE for d, t in zip(self.dropped, self.tag)]
+        for i in range(len(self.tag) - 1, 0, -1):
+            if not self.dropped[i]:
+                chars[self.parent[i]] += chars[i]
+                articles[self.parent[i]] |= articles[i]
+        marked, free = [False] * len(self.tag), False
+        for i in range(1, len(self.tag)):
+            marked[i] = marked[self.parent[i]] or self.doubtful[i] and self.tag[i] != "form"
+            free |= self.tag[i] in ARTICLE and not marked[i] and not self.dropped[i]
+        for i in range(1, len(self.tag)):
+            p = self.parent[i]
+            if not self.dropped[i] and (self.dropped[p] or self.doubtful[i] and not articles[i] and (free or 2 * chars[i] <= chars[0])):
+                self.dropped[i] = True
+
     def text(self, raw: str, decode: bool = True) -> None:
         at = self.stack[-1]
         if not raw or self.dropped[at]:
             return
         decoded = html.unescape(raw) if decode and "&" in raw else raw
-        self.held.append(decoded)
+        self.held.append((at, decoded))
         n = len(decoded) if not decoded[:1].isspace() and not decoded[-1:].isspace() else len(decoded.strip())
         self.chars[at] += n
         if self.linked[at]:
@@ -68,18 +109,19 @@ class Page:
 
     def push(self, tag: str, attrs: str) -> int:
         at, node = self.stack[-1], len(self.tag)
-        drop = self.dropped[at] or tag in NOT_TEXT
+        drop, doubt = self.dropped[at] or tag in NOT_TEXT, tag == "form"
         if not drop and tag == "header" and not any(self.open[t] for t in ARTICLE):
             drop = True
         if not drop and attrs and tag not in ("html", "body"):
-            if HIDDEN.search(attrs):
-                drop = True
-            elif tag not in ARTICLE:
-                marks = " ".join(a or b or c for name, a, b, c in ATTR.findall(attrs) if name.lower() in ("id", "class", "role")).lower()
-                drop = bool(marks) and not NOT_ARTICLE.isdisjoint(re.split(r"[^a-z0-9]+", marks))
+            given: dict[str, str] = {}
+            for name, a, b, c in ATTR.findall(attrs):    # the first of equal names counts
+                given.setdefault(name.lower(), a or b or c)
+            drop = hidden(given)
+            doubt |= tag not in ARTICLE and marked_as_other(given)
         self.parent.append(at)
         self.tag.append(tag)
         self.dropped.append(drop)
+        self.doubtful.append(doubt)
         self.linked.append(self.linked[at] or tag == "a")
         for counts in (self.chars, self.tags, self.link_chars, self.link_tags):
             counts.append(0)

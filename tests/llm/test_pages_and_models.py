@@ -89,6 +89,22 @@ def test_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "A long text of an article that says a lot, and it goes on and on."
+
+
+@pytest.mark.parametrize("attrs", ['class="overflow-hidden relative"', 'aria-hidden="false"', 'data-hidden="0"', 'title="the hidden gem"', 'data-style="display:none"', 'class="content has-sidebar"',
+                                   "class=no-sidebar", 'class="with-ads"', 'class="no-comments"', 'class="related-topic"', 'class="ad-free login"'])
+def test_wrappers_keep_their_article(attrs):
+    for inner in (f"<p>{LONG}</p><p>{LONG}</p>", f"<article><p>{LONG}</p><p>{LONG}</p></article>"):
+        assert html_text.main_text(f"<body><div {attrs}>{inner}</div><div class=footer>ours</div></body>") == f"{LONG}\n\n{LONG}"
+        assert html_text.main_text(f"<body><form><div {attrs}>{inner}</div><input></form></body>") == f"{LONG}\n\n{LONG}"
+
+
+@pytest.mark.parametrize("attrs", ["hidden", 'hidden=""', "aria-hidden=true", "style='color:red; display : none'", 'class="cookie-notice"', 'id=comments', "class='ad x'"])
+def test_parts_that_are_no_article_go(attrs):
+    assert html_text.main_text(f"<body><div><p>{LONG}</p><p>{LONG}</p><div {attrs}>Other words</div> <span {attrs}>more</span></div></body>") == f"{LONG}\n\n{LONG}"
+
+
 def test_articles_of_all_pages(spark, tables):
     """The pages of the tables have one article element, whose text is easily cut out by hand."""
     import html
