@@ -20,14 +20,18 @@ from gridlight.llm.tables import map_columns
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 RUN = re.compile(r"[+(]?\d[\d ().\-/]*\d")
-NUMBERS = re.compile(r"""(?<![\d.])(?:
+NUMBERS = re.compile(r"""(?<!\d)(?<!\d\.)(?:
     (?P<ymd>\d{4}([-/.])\d{1,2}\2\d{1,2})(?![\d]|[-/.]\d) | (?P<dmy>\d{1,2}([-/.])\d{1,2}\4\d{4})(?![\d]|[-/.]\d)
   | (?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\d]|\.\d)
   | (?P<card>\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)
   | (?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])
-  | (?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\d))""", re.X)
+  | (?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}|(?<!\d[ ])\d{3}[ ]\d{3}[ ]\d{4}(?![ ]\d))(?!\d))""", re.X)
 EMAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+# Letters and digits of an IBAN by country.
+IBAN_LENGTH = {country: int(n) for n, countries in (x.split(":") for x in """15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV
+    22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM
+    28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU""".split()) for country in countries.split(",")}
 SECRET = re.compile(r"\b[0-9a-fA-F]{32,128}\b")
 
 
@@ -148,10 +152,34 @@ def day(raw: str, key: bytes, back: bool) -> str | None:
     return sign.join(part[x] for x in order)
 
 
+def iban_number(value: str) -> int:
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4]))
+
+
+def is_iban(value: str) -> bool:
+    return 15 <= len(value) <= 34 and iban_number(value) % 97 == 1
+
+
+def ibans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of valid IBANs.  What looks like one may have taken in words behind it: of its beginnings that end with a
+    group, the one of the country's length is tried first, then all from the longest on."""
+    found, at = [], 0
+    while m := IBAN.search(text, at):
+        raw, at = m[0], m.start() + 2
+        cuts = [i for i in range(len(raw), 0, -1) if i == len(raw) or raw[i] == " "]
+        size = IBAN_LENGTH.get(raw[:2])
+        cuts.sort(key=lambda i: i - raw.count(" ", 0, i) != size)
+        for i in cuts:
+            if is_iban(raw[:i].replace(" ", "")):
+                found.append((m.start(), m.start() + i))
+                at = m.start() + i
+                break
+    return found
+
+
 def iban(raw: str, key: bytes, back: bool) -> str | None:
-    value = raw.replace(" ", "")
-    number = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4]))
-    if not 15 <= len(value) <= 34 or number(value) % 97 != 1:
+    value, number = raw.replace(" ", ""), iban_number
+    if not is_iban(value):
         return None
     rest = spelled(value[4:], key, f"iban{value[:2]}", back)
     return in_shape(raw, f"{value[:2]}{98 - number(value[:2] + '00' + rest) % 97:02d}{rest}")
@@ -182,7 +210,7 @@ def values_of(text: str, key: bytes, kinds: frozenset[str] = frozenset(KINDS), b
     found = []
     if "@" in text:
         found += [(m.start(), m.end(), "email", m[0]) for m in EMAIL.finditer(text)]
-    found += [(m.start(), m.end(), "iban", m[0]) for m in IBAN.finditer(text)]
+    found += [(a, b, "iban", text[a:b]) for a, b in ibans(text)]
     found += [(m.start(), m.end(), "secret", m[0]) for m in SECRET.finditer(text)]
     taken = [(a, b) for a, b, _, _ in found]
     for run in RUN.finditer(text):

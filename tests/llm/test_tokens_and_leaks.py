@@ -100,6 +100,28 @@ def test_pseudonyms_keep_the_format_and_come_back(kind, raw):
     assert pii.replaced(new, pii.values_of(new, KEY, back=True)) == text
 
 
+@pytest.mark.parametrize("kind,raw,text", [("iban", "AT61 1904 3002 3457 3201", "{} BIC"), ("iban", "ES9121000418450200051332", "{} EUR"), ("iban", "BE68 5390 0754 7034", "{} NOW"),
+                                           ("iban", "BE68 5390 0754 7034", "{} 12 EUR"), ("iban", "DE89370400440532013000", "IBAN {} 2024 PAID"), ("iban", "AT61 1904 3002 3457 3201", "AB12 3456 7890 {} X"),
+                                           ("phone", "555-123-4567", "Tel.{}"), ("card", "4111 1111 1111 1111", "Card.{}"), ("ssn", "123-45-6789", "No.{}."), ("phone", "555 123 4567", "call {} now"),
+                                           ("phone", "555 123 4567", "{}")])
+def test_values_beside_other_words(kind, raw, text):
+    given = text.format(raw)
+    values = pii.values_of(given, b"k")
+    assert [(k, given[a:b]) for a, b, k, _ in values] == [(kind, raw)]
+    made = pii.replaced(given, values)
+    assert raw not in made and pii.replaced(made, pii.values_of(made, b"k", back=True)) == given
+
+
+def test_ibans_one_after_the_other():
+    text = "AT61 1904 3002 3457 3201 BE68 5390 0754 7034 DE89 3704 0044 0532 0130 00"
+    assert [text[a:b] for a, b in pii.ibans(text)] == ["AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"]
+
+
+@pytest.mark.parametrize("text", ["1.555-123-4567", "12 555 123 4567", "555 123 4567 8"])
+def test_parts_of_longer_numbers_stay(text):
+    assert not pii.values_of(text, b"k")
+
+
 def test_permutation_is_one_to_one():
     for size in (1, 2, 10, 257, 1000):
         made = [pii.permuted(v, size, KEY, "t") for v in range(size)]
