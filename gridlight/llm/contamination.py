@@ -71,19 +71,19 @@ def find_items(docs: DataFrame, benchmark: DataFrame, size: int = 10, part_chars
     inside any occurrence of a window), items (ids as strings, sorted, of the items whose windows occur) and spans (start and
     end of each hit passage in the original text).
 
-    The windows reach the workers as broadcast parts of about ``part_chars`` characters, chosen by hash; a larger
-    benchmark is scanned part by part, each over whole texts.  A null or empty text has no words; items with a null id
+    The windows and the ids of their items reach the workers as broadcast parts of about ``part_chars`` characters, chosen
+    by the hash of both, so that a window of very many items is in several parts with some of them in each; a larger benchmark
+    is scanned part by part, each over whole texts.  A null or empty text has no words; items with a null id
     hit words but are not listed; repeated documents and items change nothing; columns not carried are left out."""
     spark, carry = docs.sparkSession, carry or ["doc_id"]
-    wins = windows(benchmark, size, item_col, item_text_col).groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    wins = written(wins, "windows")
-    chars = wins.agg(F.sum(F.length("win"))).first()[0] or 0
+    wins = written(windows(benchmark, size, item_col, item_text_col), "windows")
+    chars = wins.agg(F.sum(F.length("win") + F.coalesce(F.length("item"), F.lit(0)))).first()[0] or 0
     parts = max(1, -(-chars // part_chars))
     text = [] if text_col in carry else [text_col]    # kept beside the results while there are more parts
     schema = f"{prefix}n_words bigint, {prefix}hit array<int>, {prefix}items array<string>, {prefix}spans array<struct<start:int,end:int>>"
     found = docs
     for part in range(parts):
-        chosen = wins.where(F.pmod(F.xxhash64("win"), F.lit(parts)) == part)
+        chosen = wins.where(F.pmod(F.xxhash64("win", "item"), F.lit(parts)) == part).groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items"))
         patterns = spark.sparkContext.broadcast([(r.win, r.items) for r in chosen.collect()])
         before = [f"{prefix}hit", f"{prefix}items"] if part else []
 

@@ -75,6 +75,16 @@ def test_windows_by_brute_force(spark, part_chars):
         assert [w for s in r.spans for w in split(r.text[s.start:s.end])] == [words[i] for i in sorted(hit)]
 
 
+def test_parts_hold_few_ids_although_items_share_a_prompt(spark, monkeypatch):
+    prompt = " ".join(f"p{i}" for i in range(20))
+    items = spark.createDataFrame([(f"{i:040d}", prompt) for i in range(150)], "item_id string, text string")
+    sizes, plain = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sizes.append(sum(len(w) + sum(map(len, of)) for w, of in value)) or plain(self, value))
+    (got,) = contamination.find_items(spark.createDataFrame([(1, f"x {prompt} y")], "doc_id int, text string"), items, part_chars=30_000).collect()
+    assert got["items"] == [f"{i:040d}" for i in range(150)] and got.hit == list(range(1, 21))
+    assert max(sizes) < 45_000
+
+
 def test_leaks_of_odd_tables(spark, odd_docs):
     none = spark.createDataFrame([], "item_id int, text string")
     assert contamination.find_items(odd_docs, none).where(F.size("hit") > 0).count() == 0
