@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlight.llm import ann, contamination, fim, html_text, lines, near, pii, pitman_yor, tokenize, toxicity, warc
+from gridlight.llm import ann, contamination, fim, html_text, lines, near, pii, pitman_yor, secret_scan, tokenize, toxicity, warc
 from gridlight.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,44 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BI
        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
        sha256(t) AS restored_sha256
 FROM p"""
+
+
+@query
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text: the three base kinds, and windows of high entropy."""
+    spans = secret_scan.found(table(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    return spans.select("doc_id", *[F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in secret_scan.LEAST],
+                        F.sha2(secret_scan.listed(of(*secret_scan.LEAST)), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
+def secret_scan_sql() -> str:
+    """Places by running sums over split texts; entropy of each window from a histogram of its own."""
+    name = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    assign = name + """["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    classes = secret_scan.CLASSES
+    kinds = [("assign", assign), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")] + [(c.kind, c.pattern) for c in classes]
+    found = " UNION ALL ".join(f"SELECT id, {k} AS k, unnest(regexp_extract_all(t, '{p}')) AS v, unnest(string_split_regex(t, '{p}')[:-2]) AS before, generate_subscripts(regexp_extract_all(t, '{p}'), 1) AS i FROM d" for k, (_, p) in enumerate(kinds))
+    allowed = " OR ".join([*(f"regexp_matches(v, '{p}')" for p in secret_scan.ALLOWED), *(f"ends_with(lower(right(before, 12)), '{e}')" for e in secret_scan.ALLOWED_BEFORE)])
+    tables = " ".join(f"WHEN {k + 3} THEN {c.table}" for k, c in enumerate(classes))
+    most, wide = (" ".join(f"WHEN {k + 3} THEN {v(c)}" for k, c in enumerate(classes)) for v in (lambda c: c.most, lambda c: c.window))
+    names = " ".join(f"WHEN {k} THEN '{n}'" for k, (n, _) in enumerate(kinds))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+m AS (SELECT id, k, v, before, sum(length(before) + length(v)) OVER (PARTITION BY id, k ORDER BY i) - length(v) AS start FROM f),
+base AS (SELECT id, k, start, start + length(v) AS stop FROM m
+         WHERE k = 0 AND length(regexp_extract(v, '{assign}', 2)) >= 6 OR k = 1 AND length(v) >= 20 OR k = 2 AND length(v) >= 24),
+w AS (SELECT id, k, start, v, CASE k {wide} END AS n FROM m WHERE k > 2 AND regexp_matches(v, '{secret_scan.MIXED}') AND NOT ({allowed})),
+h AS (SELECT id, k, start + i - 1 AS a, start + i - 1 + n AS b, list_sum(list_transform(map_values(list_histogram(string_split(v[i:i + n - 1], ''))), lambda c: (CASE k {tables} END)[CAST(c AS BIGINT) + 1])) AS s
+      FROM (SELECT *, unnest(range(1, length(v) - n + 2)) AS i FROM w)),
+g AS (SELECT *, a > max(b) OVER (PARTITION BY id, k ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS new FROM (SELECT id, k, a, b FROM h WHERE s <= CASE k {most} END)),
+r AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY id, k ORDER BY a) AS island FROM g),
+x AS (SELECT id, k, start, stop FROM base UNION ALL SELECT id, k, min(a), max(b) FROM r GROUP BY id, k, island),
+o AS (SELECT id, k, start, CASE k {names} END || ':' || start::BIGINT || ':' || stop::BIGINT AS span FROM x),
+z AS (SELECT id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c, string_agg(span, ',' ORDER BY start, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY start, k) AS spans FROM o GROUP BY id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN z ON z.id = d.id"""
+
+
+ORACLES["op12_secret_scan"] = secret_scan_sql()
