@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlight.llm import ann, contamination, fim, html_text, lines, near, pii, pitman_yor, secret_scan, tokenize, toxicity, warc
+from gridlight.llm import ann, contamination, fim, html_text, lines, near, pii, pitman_yor, resampling, secret_scan, tokenize, toxicity, warc
 from gridlight.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,3 +222,30 @@ FROM d LEFT JOIN z ON z.id = d.id"""
 
 
 ORACLES["op12_secret_scan"] = secret_scan_sql()
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A twentieth of the documents drawn towards the benchmark's word n-grams."""
+    drawn = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# The checksum of every distinct run of words is worked out byte by byte, with a table made from the polynomial.
+ORACLES["op13_importance_resampling"] = r"""
+WITH polynomial AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY b) AS tab FROM range(256) r(b)),
+w AS (SELECT 0 AS side, row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+      UNION ALL SELECT 1, row_number() OVER (), NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (SELECT side, id, array_to_string(ws[i:i + n - 1], ' ') AS f, count(*) AS c FROM w, unnest([1, 2, 3]) k(n), unnest(range(1, len(ws) - n + 2)) t(i) GROUP BY ALL),
+x AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+b AS (SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))),
+             lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1]))) % 10000 AS bucket FROM x, polynomial),
+n AS (SELECT bucket, coalesce(sum(c) FILTER (side = 0), 0) AS s, coalesce(sum(c) FILTER (side = 1), 0) AS t FROM f JOIN b USING (f) GROUP BY bucket),
+a AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM n),
+g AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * CAST(s_all + 10000 AS DOUBLE) / ((CAST(s AS DOUBLE) + 1) * CAST(t_all + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM n, a),
+v AS (SELECT id, sum(c) AS n_features, sum(c * gain) AS weight FROM f JOIN b USING (f) JOIN g USING (bucket) WHERE side = 0 GROUP BY id),
+d AS (SELECT doc_id, len(ws) AS n, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST(CAST('0x' || sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS DOUBLE) AS h
+      FROM w LEFT JOIN v USING (id) WHERE side = 0),
+e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5e0) / 4294967296e0))) AS BIGINT) AS score FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY n >= 20) AS able FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN n >= 20 AND place <= able * 5 // 100 THEN place END AS rank FROM r"""
