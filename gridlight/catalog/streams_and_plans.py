@@ -10,7 +10,6 @@ from gridlight.catalog.households import FC_SQL, requests, sites
 from gridlight.catalog.solar_and_finance import solar_frame
 from gridlight.catalog.tables_and_bills import LEDGER_SQL, r, rounded
 from gridlight.plans import assessment as AS, consumption as CO, integrated as IN, solar_training as ST
-from gridlight.session import shared_folder
 from gridlight.streaming import jobs as J
 
 def event_stream(t):
@@ -35,14 +34,41 @@ def error_monitor(t):
     return plain_times(J.run_to_end(job, event_stream(t), event_rows(t), "error_monitor", "1 day")).withColumn("mae", r("mae", 6))
 
 
+@query("j1_drift_alerts", [], """WITH e AS (SELECT date_trunc('day', ts) AS s, event_type, abs(value - CAST(json_extract_string(props,'$.k') AS DOUBLE)) er FROM events),
+m AS (SELECT s, event_type, avg(er) mae, count(*) n FROM e GROUP BY 1,2 HAVING s + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)),
+d AS (SELECT *, count(*) OVER b nb, avg(mae) OVER a ra, avg(mae) OVER b rb, stddev_pop(mae) OVER b sb FROM m
+ WINDOW a AS (PARTITION BY event_type ORDER BY s ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), b AS (PARTITION BY event_type ORDER BY s ROWS BETWEEN 11 PRECEDING AND 6 PRECEDING)),
+z AS (SELECT *, (ra-rb)/nullif(sb,0) z FROM d WHERE nb=6)
+SELECT s AS start, event_type, n AS n_samples, round(mae,6) mae, round(ra,6) recent_mae, round(rb,6) baseline_mae, round(z,4) z_score, CASE WHEN abs(z)>1.5 THEN 'high' ELSE 'medium' END severity FROM z WHERE abs(z)>1""")
+def drift_alerts(t):
+    """Alerts of every finished day that is off by more than one deviation, the events landing in four runs of one query."""
+    rows = event_rows(t)
+    folder, base = J.new_base(t.spark, "events"), J.new_base(t.spark, "drift")
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    quarter = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(first))) * 4 / (F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)) + 1))
+    k = F.get_json_object("props", "$.k").cast("double")
+    for part in range(4):
+        rows.where(quarter == part).write.mode("append").parquet(folder)
+        monitor = J.error_monitor(J.read_stream(t.spark, folder, rows.schema), F.col("value"), k, keys=["event_type"])
+        J.drift_on_batches(monitor, base, f"{base}/checkpoint", ["event_type"], threshold=1.0).start().awaitTermination()
+    out = plain_times(t.spark.read.parquet(f"{base}/alerts"))
+    out = out.withColumns({c: r(c, 6) for c in ("mae", "recent_mae", "baseline_mae")}).withColumn("z_score", r("z_score"))
+    return out.select("start", "event_type", "n_samples", "mae", "recent_mae", "baseline_mae", "z_score", "severity")
+
+
 @query("j2_streaming_ledger", ["readings"], LEDGER_SQL + " SELECT account_id, YEAR, MONTH, round(net,2) net_kwh, round(bill+1e-7,2) bill_lkr, round(used,2) credits_used, round(balance+1e-7,2) credit_balance FROM l")
 def streaming_ledger(t):
-    # the readings as a landed table, read back as a stream
-    folder = f"{shared_folder(t.spark).rstrip('/')}/readings-{J.uuid.uuid4().hex}"
+    """All readings, landed in four runs of one query: the years up to 1994, the later ones, then a second reading of
+    every June, and at last the months of March that a fifth of the accounts sent late."""
     rows = t("readings").select("account_id", "YEAR", "MONTH", "IMPORT_kWh", (F.col("EXPORT_kWh") * 3).alias("EXPORT_kWh"), "CAL_TARIFF")
-    rows.write.parquet(folder)
-    out = J.run_to_table(J.streaming_ledger(J.read_stream(t.spark, folder, rows.schema)), "ledger")
-    out = rounded(out, ["net_kwh", "credits_used"], 2)
+    late = (F.col("MONTH") == 3) & (F.col("account_id") % 5 == 0)
+    share = lambda x: rows.withColumns({c: F.when(F.col("MONTH") == 6, F.col(c) * x).otherwise(F.col(c)) for c in ("IMPORT_kWh", "EXPORT_kWh")})
+    parts = [share(0.25).where(~late & (F.col("YEAR") <= 1994)), share(0.25).where(~late & (F.col("YEAR") > 1994)), share(0.75).where(F.col("MONTH") == 6), rows.where(late)]
+    folder, base = J.new_base(t.spark, "readings"), J.new_base(t.spark, "ledger")
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        log = J.run_to_table(J.streaming_ledger(J.read_stream(t.spark, folder, rows.schema)), "ledger", base=base, rocksdb=True)
+    out = rounded(J.latest_revisions(log), ["net_kwh", "credits_used"], 2)
     return out.withColumns({c: F.round(F.col(c) + 1e-7, 2) for c in ("bill_lkr", "credit_balance")})
 
 

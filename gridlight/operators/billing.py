@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridlight import constants as C
 from gridlight.functions import tariff as TF
@@ -51,15 +51,21 @@ def net_metering_ledger(readings: DataFrame, keys: list[str], consumption: str =
     and the floor of each month are computed before the fold, inside code generation.
     """
     monthly = readings.groupBy(*keys, "MONTH", F.col(tariff).alias("t")).agg(F.sum(consumption).alias("c"), F.sum(generation).alias("g"))
-    net = F.col("c") - F.col("g")
-    priced = monthly.withColumns({
-        "net": net,
-        "gross": TF.money(TF.bill(F.greatest(net, F.lit(0.0)), F.col("t"))["total_bill_lkr"]),
-        "credit": F.greatest(-net, F.lit(0.0)) * TF.highest_block_rate(F.col("t")),
-        "floor": TF.fixed_charge(F.col("t"))})
+    priced = monthly.withColumns(month_terms(F.col("c"), F.col("g"), F.col("t")))
     months = priced.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
         "MONTH", "c", "g", "net", "gross", "credit", "floor"))).alias("months"))
+    return months.select(*keys, F.inline(ledger_rows(F.col("months"))))
 
+
+def month_terms(c: Column, g: Column, tariff: Column) -> dict[str, Column]:
+    """What the ledger needs of a month beside its sums: none of it depends on the balance."""
+    net = c - g
+    return {"net": net, "gross": TF.money(TF.bill(F.greatest(net, F.lit(0.0)), tariff)["total_bill_lkr"]),
+            "credit": F.greatest(-net, F.lit(0.0)) * TF.highest_block_rate(tariff), "floor": TF.fixed_charge(tariff)}
+
+
+def ledger_rows(months: Column) -> Column:
+    """The ledger of a year as an array: ``months`` holds (MONTH, c, g, net, gross, credit, floor) in their order."""
     def step(acc, m):
         balance = acc["balance"]
         importing = m["net"] >= 0
@@ -74,8 +80,7 @@ def net_metering_ledger(readings: DataFrame, keys: list[str], consumption: str =
         return F.struct(after.alias("balance"), F.concat(acc["rows"], F.array(row)).alias("rows"))
 
     start = F.struct(F.lit(0.0).alias("balance"), F.array().cast(f"array<struct<{_as_struct(LEDGER_ROW)}>>").alias("rows"))
-    ledger = F.aggregate(F.col("months"), start, step, lambda acc: acc["rows"])
-    return months.select(*keys, F.inline(ledger))
+    return F.aggregate(months, start, step, lambda acc: acc["rows"])
 
 
 def _as_struct(ddl: str) -> str:

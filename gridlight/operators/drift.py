@@ -27,6 +27,19 @@ def prediction_drift(history: DataFrame, by: list[str], order: list[str], window
     return out.withColumns({"drift_detected": hit, "severity": F.when(hit, F.when(F.abs(F.col("z_score")) > threshold * 1.5, "high").otherwise("medium"))})
 
 
+def each_drift(history: DataFrame, by: list[str], at: str, window: int = C.DRIFT_WINDOW, threshold: float = C.DRIFT_THRESHOLD) -> DataFrame:
+    """``prediction_drift`` as it stands after every run: each run with the ``window - 1`` before it against the ``window`` runs
+    before those.  All columns stay; a run with fewer runs before it has no z-score and no drift."""
+    order = Window.partitionBy(*by).orderBy(at)
+    recent, base = order.rowsBetween(1 - window, 0), order.rowsBetween(1 - 2 * window, -window)
+    out = history.withColumns({"_n": F.count(F.lit(1)).over(base), "recent_mae": F.avg("mae").over(recent), "baseline_mae": F.avg("mae").over(base),
+                               "_s": F.stddev_pop("mae").over(base)})
+    z = F.when(F.col("_n") == window, F.try_divide(F.col("recent_mae") - F.col("baseline_mae"), F.nullif(F.col("_s"), F.lit(0.0))))
+    out = out.withColumn("z_score", z).drop("_n", "_s")
+    hit = F.coalesce(F.abs(F.col("z_score")) > threshold, F.lit(False))
+    return out.withColumns({"drift_detected": hit, "severity": F.when(hit, F.when(F.abs(F.col("z_score")) > threshold * 1.5, "high").otherwise("medium"))})
+
+
 def feature_drift(df: DataFrame, by: list[str], features: list[str], is_recent: Column, is_baseline: Column, alpha: float = 0.05) -> DataFrame:
     """Two-sample KS test of every feature, recent rows against baseline rows."""
     items = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from gridlight import constants as C
-from gridlight.functions import tariff as TF
-from gridlight.operators.drift import prediction_drift
+from gridlight.operators import billing as BL
+from gridlight.operators.drift import each_drift
 from gridlight.session import cut_lineage, shared_folder
 
 
@@ -24,16 +24,40 @@ def read_stream(spark: SparkSession, folder: str, schema, pattern: str | None =
     return reader.parquet(folder)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_store(spark: SparkSession, provider: str | None) -> Iterator[None]:
+    """Queries started inside keep their state in ``provider``; the session's setting is as before afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    if provider:
+        spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        if provider and before is None:
+            spark.conf.unset(name)
+        elif provider:
+            spark.conf.set(name, before)
+
+
+def new_base(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", base: str | None = None, rocksdb: bool = False) -> DataFrame:
     """Process everything available and return what was written.
 
-    Output and checkpoint live in the shared folder, so a restarted query goes on
-    exactly where it stopped.
+    Output and checkpoint live in the shared folder (``base``, by default a new one), so a query that is run again with the
+    same ``base`` goes on exactly where it stopped.
     """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    query = (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
-             .option("path", f"{base}/out").trigger(availableNow=True).start())
+    base = base or new_base(spark, name)
+    with state_store(spark, ROCKSDB if rocksdb else None):
+        query = (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
+                 .option("path", f"{base}/out").trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
@@ -65,50 +89,106 @@ def error_monitor(events: DataFrame, actual: Column, predicted: Column, window:
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *(keys or []), "mae", "n_samples")
 
 
-def drift_on_batches(monitor: DataFrame, history_path: str, alerts_path: str, checkpoint: str, series: list[str], window: int = C.DRIFT_WINDOW):
-    """Append each finished window to the history and write the drift alerts of the series it touched."""
+def drift_on_batches(monitor: DataFrame, folder: str, checkpoint: str, series: list[str], window: int = C.DRIFT_WINDOW, threshold: float = C.DRIFT_THRESHOLD):
+    """Drift of every finished window against the windows before it, epoch by epoch; start the returned writer.
+
+    ``folder/alerts`` gets the alerts of each epoch.  ``folder/history`` holds the last ``2 * window - 1`` windows of every series,
+    which is all that later windows are compared with, as one folder an epoch: an epoch reads the one before it and replaces
+    its own, so an epoch that is run again after a failure changes nothing, and older ones are deleted.
+    """
+    spark = monitor.sparkSession
+    schema = monitor.schema
+    keep = 2 * window - 1
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/history/epoch=-1")
+
     def batch(df: DataFrame, epoch: int) -> None:
-        df.write.mode("append").parquet(history_path)
-        touched = df.select(*series).distinct()
-        history = df.sparkSession.read.parquet(history_path).dropDuplicates([*series, "start"]).join(touched, series, "left_semi")
-        alerts = prediction_drift(history, series, ["start"], window).where("drift_detected").withColumn("epoch", F.lit(epoch))
-        alerts.write.mode("append").parquet(alerts_path)
+        session = df.sparkSession
+        before = max(e for e in stored_epochs(session, f"{folder}/history") if e < epoch)
+        new = df.withColumn("_new", F.lit(True))
+        old = session.read.schema(schema).parquet(f"{folder}/history/epoch={before}").withColumn("_new", F.lit(False))
+        both = cut_lineage(old.unionByName(new))
+        judged = each_drift(both, series, "start", window, threshold)
+        judged.where("_new AND drift_detected").drop("_new").write.mode("overwrite").parquet(f"{folder}/alerts/epoch={epoch}")
+        rank = F.row_number().over(Window.partitionBy(*series).orderBy(F.col("start").desc()))
+        both.withColumn("_rank", rank).where(F.col("_rank") <= keep).select(*schema.names).write.mode("overwrite").parquet(f"{folder}/history/epoch={epoch}")
+        for e in stored_epochs(session, f"{folder}/history"):
+            if e < before:    # the one before stays: this epoch may be run again
+                drop_folder(session, f"{folder}/history/epoch={e}")
     return monitor.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True)
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def stored_epochs(spark: SparkSession, folder: str) -> list[int]:
+    fs, path = _file_system(spark, folder)
+    names = [f.getPath().getName() for f in fs.listStatus(path)]
+    done = [n for n in names if n.startswith("epoch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    return sorted(int(n.removeprefix("epoch=")) for n in done)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    fs, path = _file_system(spark, folder)
+    fs.delete(path, True)
+
+
 # ---- J2 --------------------------------------------------------------------------------
 
-LEDGER_SCHEMA = "account_id long, YEAR int, MONTH int, net_kwh double, bill_lkr double, credits_used double, credit_balance double"
+MONTHS = "array<struct<MONTH:int,t:string,c:double,g:double>>"
+
+
+class YearMonths(StatefulProcessor):
+    """Keeps the summed months of every year of an account and sends each year that has changed, whole.
+
+    State: a map from year to its months (a few numbers a month) and the number of the last revision.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.years = handle.getMapState("years", "YEAR int", f"months {MONTHS}")
+        self.revision = handle.getValueState("revision", "n bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        changed = {}
+        for r in rows:
+            if r.YEAR not in changed:
+                stored = self.years.getValue((r.YEAR,)) if self.years.containsKey((r.YEAR,)) else ([],)
+                changed[r.YEAR] = {(m[0], m[1]): (m[2], m[3]) for m in stored[0]}
+            months, at = changed[r.YEAR], (r.MONTH, r.CAL_TARIFF)
+            c, g = months.get(at, (0.0, 0.0))
+            months[at] = (c + r.IMPORT_kWh, g + r.EXPORT_kWh)
+        n = (self.revision.get()[0] if self.revision.exists() else 0) + 1
+        self.revision.update((n,))
+        for year, months in changed.items():
+            whole = sorted(((month, t, c, g) for (month, t), (c, g) in months.items()), key=lambda m: (m[0], m[2], m[3]))    # as in the batch ledger
+            self.years.updateValue((year,), (whole,))
+            yield Row(account_id=key[0], YEAR=year, revision=n, months=whole)
+
+    def close(self) -> None:
+        pass
 
 
 def streaming_ledger(readings: DataFrame) -> DataFrame:
-    """Net-metering ledger that carries each account's balance from batch to batch.
+    """Net-metering ledger as months arrive, in any order: a late month, or a second reading of a month, replays its year.
 
-    Bill, credit and floor of a month are columns; the state is the balance and its
-    year, and the Python part only applies a batch's few months in order.
+    The state only collects months; bills and balances of a changed year are worked out in columns, by the same
+    fold as the batch ledger.  Each change gives all rows of the year again under a higher ``revision`` of the account;
+    ``latest_revisions`` keeps the valid ones.  Readings of a month are added up, so double months count like in the batch
+    ledger; readings without account, year, month or amounts belong to no month and are left out.  The job needs the
+    RocksDB state store (``run_to_table(..., rocksdb=True)``).
     """
-    net = F.col("IMPORT_kWh") - F.col("EXPORT_kWh")
-    tariff = F.col("CAL_TARIFF")
-    priced = readings.select("account_id", "YEAR", "MONTH", net.alias("net"), TF.money(TF.bill(F.greatest(net, F.lit(0.0)), tariff)["total_bill_lkr"]).alias("gross"),
-                             (F.greatest(-net, F.lit(0.0)) * TF.highest_block_rate(tariff)).alias("credit"), TF.fixed_charge(tariff).alias("floor"))
-
-    def advance(key, frames, state):
-        year, balance = state.get if state.exists else (0, 0.0)
-        out = []
-        for row in pd.concat(list(frames)).sort_values(["YEAR", "MONTH"]).itertuples(index=False):
-            if row.YEAR != year:
-                year, balance = int(row.YEAR), 0.0          # credits lapse at year end
-            used = 0.0
-            if row.net >= 0:
-                due = max(row.floor, row.gross - balance) if balance > 0 else row.gross
-                used, balance = row.gross - due, max(0.0, balance - (row.gross - due))
-            else:
-                due, balance = row.floor, balance + row.credit
-            out.append((key[0], row.YEAR, row.MONTH, row.net, due, used, balance))
-        state.update((year, float(balance)))
-        yield pd.DataFrame(out, columns=["account_id", "YEAR", "MONTH", "net_kwh", "bill_lkr", "credits_used", "credit_balance"])
-
-    return priced.groupBy("account_id").applyInPandasWithState(advance, LEDGER_SCHEMA, "year int, balance double", "append", GroupStateTimeout.NoTimeout)
+    whole = readings.dropna(subset=["account_id", "YEAR", "MONTH", "IMPORT_kWh", "EXPORT_kWh"]).select("account_id", "YEAR", "MONTH", "IMPORT_kWh", "EXPORT_kWh", "CAL_TARIFF")
+    years = whole.groupBy("account_id").transformWithState(YearMonths(), f"account_id long, YEAR int, revision long, months {MONTHS}", "append", "none")
+    terms = lambda m: F.struct(m["MONTH"].alias("MONTH"), m["c"].alias("c"), m["g"].alias("g"), *[x.alias(n) for n, x in BL.month_terms(m["c"], m["g"], m["t"]).items()])
+    rows = years.select("account_id", "YEAR", "revision", F.inline(BL.ledger_rows(F.transform("months", terms))))
+    return rows.select("account_id", "YEAR", F.col("month").alias("MONTH"), "net_kwh", "bill_lkr", "credits_used", "credit_balance", "revision")
+
+
+def latest_revisions(log: DataFrame) -> DataFrame:
+    """The valid rows of the ledger's log: those of the last revision of each account and year."""
+    last = F.max("revision").over(Window.partitionBy("account_id", "YEAR"))
+    return log.withColumn("_last", last).where(F.col("revision") == F.col("_last")).drop("revision", "_last")
 
 
 # ---- J3 --------------------------------------------------------------------------------

@@ -112,21 +112,30 @@ def test_model_round_trip(spark, tmp_path):
     assert a == pytest.approx(b)
 
 
-def test_streaming_ledger_carries_the_balance_between_batches(spark, tmp_path):
-    import time
-    cols = "account_id long, YEAR int, MONTH int, IMPORT_kWh double, EXPORT_kWh double, CAL_TARIFF string"
-    batches = [[(1, 2025, 1, 100.0, 150.0, "D1")], [(1, 2025, 3, 50.0, 0.0, "D1"), (1, 2025, 2, 120.0, 0.0, "D1")], [(1, 2026, 1, 60.0, 0.0, "D1")]]
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, cols).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        time.sleep(1.1)          # files are taken in the order of their times
-    stream = J.read_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, files_per_trigger=1)
-    got = {(r.YEAR, r.MONTH): r for r in J.run_to_table(J.streaming_ledger(stream), "t").collect()}
+LEDGER_COLS = "account_id long, YEAR int, MONTH int, IMPORT_kWh double, EXPORT_kWh double, CAL_TARIFF string"
+
+
+def test_streaming_ledger_replays_years(spark, tmp_path):
+    """Months in order, out of order, twice, late, and of another year, over five runs of one query."""
     from gridlight.operators.billing import net_metering_ledger
-    want = net_metering_ledger(spark.createDataFrame(sum(batches, []), cols), ["account_id", "YEAR"]).collect()
-    assert len(got) == 4
-    for w in want:
-        g = got[w.YEAR, w.month]
-        assert (g.bill_lkr, g.credit_balance) == (pytest.approx(w.bill_lkr), pytest.approx(w.credit_balance))
+    batches = [[(1, 2025, 1, 100.0, 150.0, "D1"), (2, 2025, 1, 10.0, 90.0, "GP1"), (2, 2025, 2, 300.0, 0.0, "GP1")], [(1, 2025, 4, 50.0, 0.0, "D1"), (1, 2025, 2, 120.0, 0.0, "D1")],
+               [(1, 2026, 1, 60.0, 0.0, "D1"), (2, 2025, 2, 40.0, 0.0, "GP1"), (2, 2025, 3, 200.0, 0.0, None)], [(1, 2025, 3, 5.0, 400.0, "D1"), (None, 2025, 1, 1.0, 1.0, "D1"), (1, 2025, None, 1.0, 1.0, "D1")],
+               [(1, 2026, 2, 80.0, 0.0, "D1")]]
+    folder, base = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in batches:
+        part = spark.createDataFrame(rows, LEDGER_COLS)
+        part.write.mode("append").parquet(folder)
+        log = J.run_to_table(J.streaming_ledger(J.read_stream(spark, folder, part.schema)), "t", base=base, rocksdb=True)
+    all_rows = [x for x in sum(batches, []) if None not in x[:3]]
+    want = {(r.account_id, r.YEAR, r.month): r for r in net_metering_ledger(spark.createDataFrame(all_rows, LEDGER_COLS), ["account_id", "YEAR"]).collect()}
+    got = {(r.account_id, r.YEAR, r.MONTH): r for r in J.latest_revisions(log).collect()}
+    assert got.keys() == want.keys() and len(got) == 9
+    for key, w in want.items():
+        assert [got[key][c] for c in ("net_kwh", "bill_lkr", "credits_used", "credit_balance")] == [pytest.approx(w[c]) for c in ("net_kwh", "bill_lkr", "credits_used", "credit_balance")]
+    revisions = {(r.account_id, r.YEAR): r.n for r in log.groupBy("account_id", "YEAR").agg(F.countDistinct("revision").alias("n")).collect()}
+    assert revisions == {(1, 2025): 3, (1, 2026): 2, (2, 2025): 2}    # only years that changed are sent again
+    # the late March earned credit that April used
+    assert got[1, 2025, 4].credits_used > 0 and got[1, 2026, 1].credit_balance == 0
 
 
 def test_error_monitor_drops_late_rows_and_alerts(spark, tmp_path):
@@ -135,10 +144,38 @@ def test_error_monitor_drops_late_rows_and_alerts(spark, tmp_path):
     spark.createDataFrame(rows, "ts timestamp, series string, y double, p double").write.parquet(str(tmp_path / "in"))
     stream = J.read_stream(spark, str(tmp_path / "in"), "ts timestamp, series string, y double, p double")
     monitor = J.error_monitor(stream, F.col("y"), F.col("p"), keys=["series"])
-    q = J.drift_on_batches(monitor, str(tmp_path / "h"), str(tmp_path / "al"), str(tmp_path / "cp"), ["series"]).start()
-    q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "h")).count() == 12
-    assert [r.severity for r in spark.read.parquet(str(tmp_path / "al")).collect()] == ["high"]
+    J.drift_on_batches(monitor, str(tmp_path / "d"), str(tmp_path / "cp"), ["series"]).start().awaitTermination()
+    assert [(r.severity, r.start) for r in spark.read.parquet(str(tmp_path / "d/alerts")).collect()] == [("high", t0 + dt.timedelta(days=11))]
+
+
+def test_drift_history_is_bounded_and_a_replayed_epoch_changes_nothing(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "start timestamp, series string, mae double, n_samples long"
+    maes = [1.0, 1.2, 0.9, 1.1, 5.0, 5.5, 1.0, 1.1, 0.9, 9.0, 9.5, 1.0]
+    rows = [(t0 + dt.timedelta(days=d), s, m * (1 + (s == "b")), 3) for d, m in enumerate(maes) for s in "ab"]
+    folder, landed = str(tmp_path / "d"), str(tmp_path / "in")
+    batch = []
+
+    class Stream:    # hands the epoch's function out, so that an epoch can be run twice
+        def __getattr__(self, name):
+            return lambda *a, **k: batch.append(a[0]) or self if name == "foreachBatch" else self
+    df = spark.createDataFrame(rows, schema)
+
+    class Monitor:
+        sparkSession, schema, writeStream = spark, df.schema, Stream()
+    J.drift_on_batches(Monitor(), folder, landed, ["series"], window=2)
+    parts = [df.where((F.col("start") >= t0 + dt.timedelta(days=a)) & (F.col("start") < t0 + dt.timedelta(days=b))) for a, b in ((0, 3), (3, 4), (4, 9), (9, 12))]
+    seen = []
+    for epoch, part in enumerate(parts):
+        for _ in range(1 + epoch % 2):    # every second epoch is run again, as after a failure
+            batch[0](part, epoch)
+        seen.append(spark.read.parquet(f"{folder}/history/epoch={epoch}").groupBy("series").count().collect())
+    assert all(r["count"] == 3 for rows in seen for r in rows) and J.stored_epochs(spark, f"{folder}/history") == [2, 3]
+    from gridlight.operators.drift import each_drift
+    want = each_drift(df, ["series"], "start", 2).where("drift_detected")
+    cols = ["series", "start", "mae", "z_score", "severity"]
+    got = spark.read.parquet(f"{folder}/alerts")
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect())) and got.count() > 2
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):
