@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridlight import constants as C
 from gridlight.functions import numeric as N
 from gridlight.operators.clean import numeric_columns
-from gridlight.operators.ordered import exact_quantiles, histogram
+from gridlight.operators.ordered import exact_quantiles, known, same
 
 
 def _long(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
@@ -28,19 +28,16 @@ def missing_report(df: DataFrame, by: list[str] | None = None, cols: list[str] |
 def outlier_report(df: DataFrame, by: list[str] | None = None, cols: list[str] | None = None, spread: float = 3.0) -> DataFrame:
     """Values beyond ``spread`` IQRs per numeric column.
 
-    Counted on the (value, count) rows the quantiles are built from, not on the
-    readings: the bounds, one row per group and column, meet the folded values, and
-    how they are joined is left to the optimizer, which sees the sizes at run time.
+    The bounds, one row per group and column, meet the readings where these are, and only counts are exchanged.
     """
     by = by or []
     cols = cols or [c for c in numeric_columns(df) if c not in by]
-    long = _long(df, by, cols)
+    long = _long(df, by, cols).where(F.col("x").isNotNull())
     q = exact_quantiles(long, [*by, "name"], "x", {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
-    bounds = q.select(*by, "name", (F.col("q1") - spread * iqr).alias("lo"), (F.col("q3") + spread * iqr).alias("hi"))
-    hit = (F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))
-    counts = histogram(long, [*by, "name"], "x").join(bounds, [*by, "name"])
-    return counts.groupBy(*by, F.col("name").alias("column")).agg(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("outliers"))
+    bounds = known(q.select(*by, "name", (F.col("q1") - spread * iqr).alias("lo"), (F.col("q3") + spread * iqr).alias("hi")))
+    hit = (F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi"))
+    return same(long, bounds, [*by, "name"]).groupBy(*by, F.col("name").alias("column")).agg(F.count_if(hit).alias("outliers"))
 
 
 def sign_counts(df: DataFrame, by: list[str] | None = None) -> DataFrame:
