@@ -29,7 +29,7 @@ def with_order_key(df: DataFrame, value: str, name: str = "_key") -> DataFrame:
 
     Zeros of both signs are 0, infinities lie beyond all numbers, and NaN is the largest, as in Spark's own order.  The
     steps are columns of their own, as in one expression each use of a step would work it out again."""
-    fraction = lambda x: (x * float(1 << 52)).cast("bigint")
+    fraction = lambda x: (x * float(1 << 52)).try_cast("bigint")
     v, a, e, power, least = F.col(value), F.col("_a"), F.col("_e"), F.col("_power"), 2.0 ** -1022
     steps = df.withColumn("_a", F.abs(v)).withColumn("_e", F.least(F.greatest(F.floor(F.log2("_a")).cast("double"), F.lit(-1022.0)), F.lit(1023.0))).withColumn("_power", F.pow(F.lit(2.0), "_e"))
     # the logarithm may be off by one next to a power of two

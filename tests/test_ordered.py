@@ -30,7 +30,7 @@ def test_key_is_the_number_behind_the_double(spark):
 CLOSE = st.sampled_from([6.80, 6.8000001, 6.8 + 2 ** -40, 6.81, 0.0, -0.0, -6.8, 1e300, -1e-300]) | st.floats(-1e6, 1e6)
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.none() | CLOSE), min_size=1, max_size=60))
 def test_quantiles_as_numpy(spark, rows):
     probs = {"low": 0.0, "q1": 0.25, "median": 0.5, "p90": 0.9, "high": 1.0}
@@ -73,7 +73,7 @@ def test_only_rows_of_the_ranks_go_on(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["a", "b"]), CLOSE, st.integers(0, 5)), min_size=1, max_size=40))
 def test_weighted_median_by_hand(spark, rows):
     got = {r.g: r.weighted_median for r in O.weighted_median(spark.createDataFrame([(g, x, float(w)) for g, x, w in rows], "g string, x double, w double"), ["g"], "x", "w").collect()}
@@ -88,7 +88,7 @@ def test_weighted_median_by_hand(spark, rows):
                 break
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.booleans(), CLOSE), min_size=1, max_size=60))
 def test_ks_by_hand(spark, rows):
     r = O.ks_statistic(spark.createDataFrame([(s, x) for s, x in rows], "s boolean, x double"), [], "x", F.col("s")).first()
