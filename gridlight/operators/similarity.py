@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridlight import constants as C
 from gridlight.functions import numeric as N
-from gridlight.operators.spatial import radius_join, top_k
+from gridlight.operators.spatial import radius_join, target_cells, top_k
+from gridlight.session import cut_lineage
 
 
 def candidate_profiles(profiles: DataFrame) -> DataFrame:
@@ -93,15 +97,67 @@ PAIR_COLUMNS = ["user_id", "account_id", "score", "distance_m", "last_user_month
                 "net_by_month"]
 
 
+# Radii at which a user may stop, as parts of the whole one, and how many candidates the first of them should hold per result.
+RINGS, PER_RESULT = (0.125, 0.25, 0.5, 1.0), 8
+
+
+def score_bound(distance_m: float, radius_m: float, weights: dict) -> float:
+    """No household at ``distance_m`` or farther scores more than this."""
+    return weights["geographic"] * max(0.0, 1 - distance_m / radius_m) + sum(w for k, w in weights.items() if k != "geographic")
+
+
+def with_first_ring(users: DataFrame, households: DataFrame, radius_m: float, enough: int) -> DataFrame:
+    """Adds ``_ring``, the number of the ring to begin with, from how many comparable households live in the user's cell."""
+    match = ["HAS_SOLAR", "CAL_TARIFF"]
+    cells = target_cells(households, "CUSTOMER_LAT", "CUSTOMER_LON", radius_m).groupBy("_cell_y", "_cell_x", *match).agg(F.count(F.lit(1)).alias("_near"))
+    placed = target_cells(users, "latitude", "longitude", radius_m).join(cells, ["_cell_y", "_cell_x", *match], "left")
+    ring = F.lit(len(RINGS) - 1)
+    for i in reversed(range(len(RINGS) - 1)):
+        ring = F.when(F.col("_near") * (math.pi * RINGS[i] ** 2) >= enough, i).otherwise(ring)
+    return placed.withColumn("_ring", ring).drop("_cell_y", "_cell_x", "_near")
+
+
 def similar_households(users: DataFrame, profiles: DataFrame, k: int = C.TOP_SIMILAR, min_score: float = C.MIN_SIMILARITY,
                        radius_m: float = C.SIMILARITY_RADIUS_M, weights: dict = C.SIMILARITY_WEIGHTS) -> DataFrame:
     """The ``k`` most similar households of every user, partitioned by user for what follows.
 
+    Threshold search: households are scored ring by ring, nearest first, each ring joined on cells of its own width.  A user
+    whose ``k``-th score beats the bound of all that lies farther out stops there; the others go on to the next ring, where only
+    what is beyond the last one is scored.  In a crowded city that leaves a small part of the pairs within the radius; where
+    households are few a user begins with the whole radius at once.
+
     The score limit is applied after the ranking: the best ``k`` at or above the
     limit are the best ``k`` overall that pass it, and a filter placed before the
     ranking would be pushed into the join with the whole score formula inlined.
     """
-    scored = similarity_scores(household_pairs(users, profiles, radius_m), radius_m, weights)
-    scored = scored.select(*PAIR_COLUMNS)
-    best = top_k(scored, ["user_id"], [F.round("score", 9).desc(), F.col("account_id")], k)
-    return best.where(F.col("score") >= min_score)
+    if abs(sum(weights.values()) - 1.0) > 1e-5:
+        raise ValueError("similarity weights must sum to 1")
+    households = cut_lineage(candidate_profiles(profiles))
+    everyone = cut_lineage(with_first_ring(user_vectors(users), households, radius_m, PER_RESULT * k))
+    begin = {r[0] for r in everyone.select("_ring").distinct().collect()}    # at most one row a ring
+    order = [F.round("score", 9).desc(), F.col("account_id")]
+    done, going, kept = [], None, None
+    for i, part in enumerate(RINGS):
+        active = everyone.where(F.col("_ring") == i).withColumn("_inner", F.lit(-1.0)) if i in begin else None
+        if going is not None:
+            active = going if active is None else active.unionByName(going)
+        if active is None:
+            continue
+        pairs = radius_join(active, households, part * radius_m, point_id="user_id", target_id="account_id", target=("CUSTOMER_LAT", "CUSTOMER_LON"), match=["HAS_SOLAR", "CAL_TARIFF"])
+        scored = similarity_scores(pairs.where(F.col("distance_m") > F.col("_inner")), radius_m, weights).select(*PAIR_COLUMNS)
+        best = top_k(scored if kept is None else scored.unionByName(kept), ["user_id"], order, k)
+        if part == RINGS[-1]:
+            done.append(best)
+            break
+        best = cut_lineage(best)
+        stop = best.where((F.col("rank") == k) & (F.round("score", 9) > score_bound(part * radius_m, radius_m, weights) + 1e-9)).select("user_id")
+        done.append(best.join(stop, "user_id", "left_semi"))
+        going = cut_lineage(active.join(stop, "user_id", "left_anti").withColumn("_inner", F.lit(part * radius_m)))
+        kept = best.join(stop, "user_id", "left_anti").drop("rank")
+        if going.isEmpty():
+            going = kept = None
+    columns = [*PAIR_COLUMNS, "rank"]
+    if not done:    # no users
+        done = [top_k(similarity_scores(household_pairs(users.limit(0), profiles, radius_m), radius_m, weights).select(*PAIR_COLUMNS), ["user_id"], order, k)]
+    found = reduce(DataFrame.unionByName, [d.select(*columns) for d in done])
+    return found.where(F.col("score") >= min_score)

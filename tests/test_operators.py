@@ -115,6 +115,33 @@ def test_similarity_by_hand(spark):
         SI.similarity_scores(u, weights={"geographic": 0.5})
 
 
+def test_threshold_search_in_a_dense_city(spark, monkeypatch):
+    """The same ten as by scoring every pair, from a small part of the pairs; lonely users and other tariffs go along."""
+    import random
+    from gridlight.operators.rollup import customer_profiles
+    from gridlight.operators.spatial import top_k
+    rng = random.Random(5)
+    rows = []
+    for a in range(2500):
+        # most of them within 2 km of (6.9, 79.9), a few in the country; rows repeat places and levels, so scores tie
+        spread = 0.016 if a % 50 else 0.2
+        lat, level, tariff = 6.9 + rng.uniform(-spread, spread), rng.choice([300, 310, 320, 400]), "GP1" if a % 5 == 0 else "D1"
+        lon = 79.9 + rng.uniform(-spread, spread)
+        rows += [reading(a, 2025, m, level + 5 * m, lat=lat, lon=lon, tariff=tariff) for m in (7, 8, 9, 10, 11, 12)]
+    asked = [(u, 6.9 + rng.uniform(-0.006, 0.006), 79.9 + rng.uniform(-0.006, 0.006), {9: 345.0, 10: 350.0, 11: 355.0}, "GP1" if u % 4 == 0 else "D1", "SP", 0) for u in range(20)]
+    asked += [(20, 6.9, 79.9, {9: 2000.0, 10: 10.0}, "D1", "TP", 0), (21, 7.08, 80.05, {9: 345.0, 10: 350.0}, "D1", "SP", 0), (22, 9.0, 81.0, {9: 345.0}, "D1", "SP", 0)]
+    u, profiles = users(spark, asked), customer_profiles(frame(spark, rows))
+    every = SI.similarity_scores(SI.household_pairs(u, profiles))
+    want = top_k(every, ["user_id"], [F.round("score", 9).desc(), F.col("account_id")], 10).where("score >= 0.4")
+    scored, plain = [], SI.similarity_scores
+    monkeypatch.setattr(SI, "similarity_scores", lambda pairs, *a: scored.append(pairs.count()) or plain(pairs, *a))
+    got = SI.similar_households(u, profiles)
+    key = lambda df: sorted((r.user_id, r["rank"], r.account_id, round(r.score, 9)) for r in df.collect())
+    assert key(got) == key(want) and {r.user_id for r in got.select("user_id").distinct().collect()} >= set(range(20))
+    assert sum(scored) < every.count() * 0.35 and len(scored) > 1
+    assert SI.similar_households(u.limit(0), profiles).count() == 0
+
+
 def test_undefined_shape_scores_a_half(spark):
     from gridlight.operators.rollup import customer_profiles
     flat = frame(spark, [reading(1, 2025, m, 300) for m in range(1, 13)])
