@@ -62,12 +62,10 @@ def bucket_counts(texts: DataFrame, text_col: str = "text", buckets: int = BUCKE
 
 def gains(docs: DataFrame, target: DataFrame, text_col: str = "text", target_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
     """``floor(1000 * ln((t + 1) * (S + buckets) / ((s + 1) * (T + buckets))))`` of each bucket: s of S runs of ``docs``, t of T of ``target``."""
-    spark = docs.sparkSession
-    rows = spark.range(buckets).select(F.col("id").alias("bucket"))
-    for side, counts in (("s", bucket_counts(docs, text_col, buckets)), ("t", bucket_counts(target, target_col, buckets))):
-        rows = rows.join(counts.withColumnRenamed("n", side), "bucket", "left").fillna(0, [side])
-    got = np.array(sorted(rows.collect()), np.int64).reshape(-1, 3)    # one row a bucket, whatever the tables hold
-    s, t = got[:, 1], got[:, 2]
+    s, t = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+    for side, texts, col in ((s, docs, text_col), (t, target, target_col)):
+        for r in bucket_counts(texts, col, buckets).collect():    # one row a bucket at most, whatever the tables hold
+            side[r.bucket] = r.n
     all_s, all_t = int(s.sum()), int(t.sum())
     ratio = (t + 1.0) * float(all_s + buckets) / ((s + 1.0) * float(all_t + buckets))
     return np.floor(1000 * np.log(ratio)).astype(np.int64)
