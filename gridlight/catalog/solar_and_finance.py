@@ -89,12 +89,12 @@ kp AS (SELECT g, t, c, k.account_id, k.YEAR, k.MONTH, Efficiency, sqrt(pow((g-So
 kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g,t,c ORDER BY round(d,9), account_id, YEAR, MONTH) rk FROM kp) WHERE rk<=3)"""
 
 
-def knn_sets(t):
+def knn_sets(t, metric="euclidean"):
     rows = solar_frame(t).dropna(subset=["Solar_Irradiance_GHI", "Efficiency"])
     # scaling, representatives and queries all start from these rows
     f = cut_lineage(SP.group_split(rows).select("account_id", "YEAR", "MONTH", *C.KNN_FEATURES, "Efficiency", "split"))
     test, train = f.where("split = 'test'"), f.where("split = 'train'")
-    return test, SO.nearest_rows(test, train, C.KNN_FEATURES, "Efficiency", ["account_id", "YEAR", "MONTH"])
+    return test, SO.nearest_rows(test, train, C.KNN_FEATURES, "Efficiency", ["account_id", "YEAR", "MONTH"], metric=metric)
 
 
 @query("c9_knn_neighbours", NEEDS, f"WITH {KNN} SELECT g AS Solar_Irradiance_GHI, t AS Temperature, c AS Cloud_Factor, rk AS rank, account_id, YEAR, MONTH, round(d,6) distance, Efficiency FROM kn")
@@ -115,6 +115,17 @@ def knn_details(t):
     return rounded(SO.knn_details(near, C.KNN_FEATURES, "Efficiency"), [f"match_{i}_distance" for i in (1, 2, 3)], 6)
 
 
+# the same rows by 1 - cosine of the standardised vectors
+COS = KNN.replace("sqrt(pow((g-Solar_Irradiance_GHI)/s1,2)+pow((t-Temperature)/s2,2)+pow((c-Cloud_Factor)/s3,2)) d FROM",
+                  "1-((g-m1)/s1*((Solar_Irradiance_GHI-m1)/s1)+(t-m2)/s2*((Temperature-m2)/s2)+(c-m3)/s3*((Cloud_Factor-m3)/s3))/sqrt(pow((g-m1)/s1,2)+pow((t-m2)/s2,2)+pow((c-m3)/s3,2))/sqrt(pow((Solar_Irradiance_GHI-m1)/s1,2)+pow((Temperature-m2)/s2,2)+pow((Cloud_Factor-m3)/s3,2)) d FROM")
+
+
+@query("c9_knn_cosine", NEEDS, f"WITH {COS} SELECT g AS Solar_Irradiance_GHI, t AS Temperature, c AS Cloud_Factor, rk AS rank, account_id, YEAR, MONTH, round(d,6) distance, Efficiency FROM kn")
+def knn_cosine(t):
+    _, near = knn_sets(t, "cosine")
+    return near.select(*C.KNN_FEATURES, "rank", "account_id", "YEAR", "MONTH", r("distance", 6).alias("distance"), "Efficiency")
+
+
 GEN = SF + """, ef AS (SELECT SITE_ID, MONTH, avg(Efficiency) e FROM sf GROUP BY 1,2), gf AS (SELECT system_id, MONTH, size_kw, greatest(e,0)*size_kw k FROM systems JOIN ef ON SITE_ID=system_id%25)"""
 
 

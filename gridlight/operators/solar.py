@@ -110,55 +110,87 @@ def _scaled(df: DataFrame, stats: Column, features: list[str]) -> DataFrame:
                            for i, f in enumerate(features)}).drop("_s")
 
 
-def nearest_rows(queries: DataFrame, train: DataFrame, features: list[str], target: str, tie: list[str], k: int = 3,
-                 levels: tuple[float, ...] | None = None) -> DataFrame:
-    """The ``k`` nearest training rows of every distinct query vector, ties by the ``tie`` columns.
+MOST_PIVOTS = 1024
+
+
+def _unit(df: DataFrame, z: list[str]) -> DataFrame:
+    """Vectors of length one; a vector of length zero has no direction and goes."""
+    df = df.withColumn("_length", F.sqrt(reduce(lambda a, b: a + b, [F.col(c) * F.col(c) for c in z]))).where(F.col("_length") > 0)
+    return df.withColumns({c: F.col(c) / F.col("_length") for c in z}).drop("_length")
+
+
+def _apart(p: Column, z: list[str]) -> Column:
+    """Distance of the row's vector and the array ``p``."""
+    return F.sqrt(reduce(lambda a, b: a + b, [(F.col(c) - p[i]) * (F.col(c) - p[i]) for i, c in enumerate(z)]))
+
+
+def metric_cells(reps: DataFrame, z: list[str], most: int = MOST_PIVOTS) -> tuple[DataFrame, Column]:
+    """``reps`` with the nearest pivot (``_cell``) and the distance to it (``_dp``), and an array of all cells: pivot, its
+    number, rows and radius.
+
+    There are about as many pivots as rows in a cell, ``most`` at most: vectors in the order of their hash, the only
+    thing that goes through the driver."""
+    wanted = max(1, min(most, round(reps.count() ** 0.5)))
+    chosen = reps.select(*z).distinct().orderBy(F.xxhash64(*z), *z).limit(wanted).collect()
+    schema = "id int, p array<double>"
+    pivots = reps.sparkSession.createDataFrame([(i, list(r)) for i, r in enumerate(chosen)], schema)
+    listed = pivots.agg(F.sort_array(F.collect_list(F.struct("id", "p"))).alias("a")).scalar()
+    near = F.array_min(F.transform("_pivots", lambda c: F.struct(_apart(c["p"], z).alias("d"), c["id"].alias("id"))))
+    placed = reps.withColumn("_pivots", listed).withColumn("_near", near)
+    placed = cut_lineage(placed.withColumns({"_cell": F.col("_near.id"), "_dp": F.col("_near.d")}).drop("_pivots", "_near"))
+    sizes = placed.groupBy(F.col("_cell").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("_dp").alias("radius"))
+    cells = sizes.join(pivots, "id").agg(F.sort_array(F.collect_list(F.struct("id", "p", "n", "radius"))).alias("a")).scalar()
+    return placed, cells
+
+
+def nearest_rows(queries: DataFrame, train: DataFrame, features: list[str], target: str, tie: list[str], k: int = 3, metric: str = "euclidean",
+                 pivots: int = MOST_PIVOTS) -> DataFrame:
+    """The ``k`` nearest training rows of every distinct query vector, ties by the ``tie`` columns; ``metric`` is euclidean
+    distance of the standardised features or 1 - cosine of their vectors (those of length zero take no part).
 
     Rows of one site share their month's weather, so both sides are first reduced
     to distinct vectors; of the training rows behind a vector only the first ``k``
-    by the tie key can matter.  Vectors meet on a grid of cell size ``h``: if ``k``
-    rows lie within ``h`` the answer is exact.  The few queries left over go to the
-    next coarser grid and at last to a single cell, so nothing is cut off; crowded
-    cells are split on both sides.  Each
-    round is checkpointed, as the next one starts from what it left.
+    by the tie key can matter.  They are dealt to the cells of pivots.  A query first looks into the nearest cells
+    that hold ``k`` rows, which tells how far it has to look, and then into the cells that reach so near: by the
+    triangle inequality no other row can be closer, nor can one whose distance to the pivot differs from the
+    query's by more than that.  So the answer is exact in two rounds whatever the vectors look like; cells that hold many rows
+    are split on both sides.
     """
+    if metric not in ("euclidean", "cosine"):
+        raise ValueError(f"unknown metric {metric}")
+    cosine = metric == "cosine"
     stats = scaler(train, features)
     z = [f"_z{i}" for i in range(len(features))]
     t = _scaled(train.dropna(subset=[*features, target]), stats, features)
+    q = _scaled(queries.dropna(subset=features).select(*features).distinct(), stats, features)
+    if cosine:
+        t, q = _unit(t, z), _unit(q, z)
     reps = cut_lineage(top_k(t.select(*z, target, *tie), z, [F.col(c) for c in tie], k, "_rep").drop("_rep"))
-    pending = cut_lineage(_scaled(queries.dropna(subset=features).select(*features).distinct(), stats, features))
-    found = []
-    if levels is None:
-        # a cell wide enough to hold a few times k of the rows, were they spread evenly over a few deviations
-        first = min(1.0, 4.0 * (k / max(k, reps.count())) ** (1.0 / len(features)))
-        levels = (first, 4.0 * first)
-    for h in (*levels, None):
-        if h is None:
-            q, r, keys = pending.withColumn("_c", F.lit(0)), reps.withColumn("_c", F.lit(0)), ["_c"]
-        else:
-            q, r, keys = pending, reps, []
-            for i, c in enumerate(z):
-                keys.append(f"_c{i}")
-                cell = F.floor(F.col(c) / h)
-                q = q.withColumn(f"_c{i}", F.explode(F.sequence(cell - 1, cell + 1)))
-                r = r.withColumn(f"_c{i}", cell)
-        q = q.withColumn("_q", F.xxhash64(*features))
-        r = r.select(*keys, *[F.col(c).alias(f"t{c}") for c in z], target, *tie, F.xxhash64(*tie).alias("_t"))
-        dist = F.sqrt(reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"t{c}")) * (F.col(c) - F.col(f"t{c}")) for c in z]))
-        pairs = skew_join(q, r, keys, "_q", "_t").withColumn("distance", dist)
-        if h is not None:
-            pairs = pairs.where(F.col("distance") <= h)
-        best = top_k(pairs.select(*features, "distance", target, *tie), features, [F.round("distance", 9), *[F.col(c) for c in tie]], k)
-        if h is None:
-            found.append(best)
-        else:
-            best = cut_lineage(best)
-            full = best.where(F.col("rank") == k).select(*features)
-            found.append(best.join(full, features, "left_semi"))
-            pending = cut_lineage(pending.join(full, features, "left_anti"))
-            if pending.isEmpty():
-                break
-    return reduce(lambda a, b: a.unionByName(b), found)
+    placed, cells = metric_cells(reps, z, pivots)
+    placed = placed.select("_cell", "_dp", *[F.col(c).alias(f"t{c}") for c in z], target, *tie, F.xxhash64(*tie).alias("_t"))
+    order = F.sort_array(F.transform("_cells", lambda c: F.struct(_apart(c["p"], z).alias("d"), c["id"].alias("id"), c["n"].alias("n"), c["radius"].alias("radius"))))
+    q = cut_lineage(q.withColumn("_cells", cells).withColumn("_cells", order).withColumn("_q", F.xxhash64(*features)))
+    chord = F.sqrt(reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"t{c}")) * (F.col(c) - F.col(f"t{c}")) for c in z]))
+
+    def met(asked: DataFrame) -> DataFrame:
+        """Pairs of the queries with the rows of their cells, as far apart as ``_reach`` at most."""
+        pairs = skew_join(asked.select(*features, *z, "_q", "_reach", F.inline("_look")).withColumnRenamed("id", "_cell"), placed, ["_cell"], "_q", "_t")
+        pairs = pairs.where(F.col("_reach").isNull() | (F.abs(F.col("d") - F.col("_dp")) <= F.col("_reach")))
+        pairs = pairs.withColumn("_chord", chord).where(F.col("_reach").isNull() | (F.col("_chord") <= F.col("_reach")))
+        distance = F.col("_chord") * F.col("_chord") / 2 if cosine else F.col("_chord")
+        return pairs.select(*features, distance.alias("distance"), target, *tie)
+
+    ranked = lambda pairs: top_k(pairs, features, [F.round("distance", 9), *[F.col(c) for c in tie]], k)
+    # the nearest cells up to the one with which they hold k rows
+    start = (f"filter(_cells, (c, i) -> aggregate(slice(_cells, 1, i), 0L, (n, x) -> n + x.n) < {k})")
+    first = cut_lineage(ranked(met(q.withColumn("_reach", F.lit(None).cast("double")).withColumn("_look", F.expr(start)))))
+    # a little farther than the k-th, as distances are compared to nine digits
+    far = F.max(F.when(F.col("rank") == k, F.sqrt(2 * F.col("distance") + 2.1e-9) if cosine else F.col("distance") + 1.1e-9)).alias("_reach")
+    reach = first.groupBy(*features).agg(far)
+    rest = F.filter("_cells", lambda c: F.col("_reach").isNull() | (c["d"] - c["radius"] <= F.col("_reach") + 1e-12))
+    left = F.array_except(rest, F.expr(start))
+    second = q.join(reach, features).withColumn("_look", left).where(F.size("_look") > 0)
+    return ranked(first.drop("rank").unionByName(met(second)))
 
 
 def knn_predict(queries: DataFrame, neighbours: DataFrame, features: list[str], target: str) -> DataFrame:

@@ -107,6 +107,36 @@ def test_nearest_rows_equal_brute_force(spark):
         assert [a for _, a in sorted(got[key])] == want
 
 
+@pytest.mark.parametrize("metric,pivots", [("euclidean", 2), ("cosine", 1024), ("cosine", 3)])
+def test_nearest_rows_by_both_metrics(spark, metric, pivots):
+    """Few pivots, a hot vector, ties, a row far off, a vector without direction, and fewer rows than asked for."""
+    rnd = random.Random(8)
+    train = [(i, 1, 1, rnd.choice([0.0, 1.0, 2.0]), rnd.gauss(0, 1), rnd.random()) for i in range(150)] + [(200 + i, 1, 1, 1.0, 0.5, 0.1) for i in range(60)] + [(900, 1, 1, 40.0, 40.0, 1.0)]
+    query = [(rnd.choice([0.0, 1.0, 2.0]), rnd.gauss(0, 1)) for _ in range(20)] + [(1.0, 0.5), (60.0, -20.0)]
+    tr = spark.createDataFrame(train + [(901, 1, 1, None, 1.0, 1.0)], "account_id long, YEAR int, MONTH int, a double, b double, Efficiency double")
+    q = spark.createDataFrame(query + [(None, 1.0)], "a double, b double")
+    stats_of = [[t[j] for t in train] + ([1.0] if j == 4 else []) for j in (3, 4)]    # the row without a value of a has one of b
+    m, s = [np.mean(x) for x in stats_of], [np.std(x) for x in stats_of]
+    for rows, k in ((tr, 4), (tr.where("account_id < 3"), 5)):
+        got = {}
+        if rows is not tr:
+            few = [t for t in train if t[0] < 3]
+            m, s = [np.mean([t[j] for t in few]) for j in (3, 4)], [np.std([t[j] for t in few]) or 1.0 for j in (3, 4)]
+            train = few
+        for r in nearest_rows(q, rows, ["a", "b"], "Efficiency", ["account_id", "YEAR", "MONTH"], k=k, metric=metric, pivots=pivots).collect():
+            got.setdefault((r.a, r.b), []).append((r["rank"], r.account_id, r.distance))
+        x = (np.array([t[3:5] for t in train]) - m) / s
+        assert len(got) == len(set(query))
+        for key in set(query):
+            v = (np.array(key) - m) / s
+            d = np.sqrt(((x - v) ** 2).sum(axis=1)) if metric == "euclidean" else 1 - (x @ v) / np.linalg.norm(x, axis=1) / np.linalg.norm(v)
+            want = sorted(range(len(train)), key=lambda i: (round(d[i], 9), train[i][0]))[:k]
+            mine = sorted(got[key])
+            assert [round(e, 8) for _, _, e in mine] == pytest.approx([d[i] for i in want], abs=2e-8)
+            if len({round(e, 7) for e in d[want]}) == len(want):    # where no digit decides
+                assert [a for _, a, _ in mine] == [train[i][0] for i in want]
+
+
 def test_top_k_prunes_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("x"))
     best = top_k(df, ["g"], [F.col("x").desc()], 2)
