@@ -24,7 +24,7 @@ def readings_round_trip(t):
 
 
 @query("a4_month_files", ["readings"], """SELECT ACCOUNT_NO, TRANSFORMER_CODE, CAST(1 + MONTH % 3 AS INT) AS "MONTH", YEAR, round(sum("IMPORT_kWh"),2) import_kwh, CASE WHEN MONTH % 3 = 2 THEN 0e0 ELSE round(sum("EXPORT_kWh"),2) END export_kwh, NULL AS problem
- FROM readings WHERE YEAR = 1996 GROUP BY ACCOUNT_NO, TRANSFORMER_CODE, YEAR, MONTH % 3""")
+ FROM readings GROUP BY ACCOUNT_NO, TRANSFORMER_CODE, YEAR, MONTH % 3""")
 def month_files(t):
     """Three sets of files with their columns in other orders and under other headers; the last has no export."""
     heads = [["Account No", "Import Total (kWh)", "EXPORT TOTAL"], ["Total export", "ACCOUNT_NO", "total import"], ["IMPORT_TOTAL", "account"]]

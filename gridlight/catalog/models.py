@@ -126,15 +126,37 @@ def walk_forward(t):
     return ml.walk_forward_validation(folds, ["lag_1", "lag_2", "lag_3", "MONTH"], "NET_CONSUMPTION_kWh", n_folds, LinearRegression(featuresCol="features", labelCol="NET_CONSUMPTION_kWh"))
 
 
-U = "((account_id*1009+YEAR*31+MONTH)*7919+d*104729)%10007/10007e0"
-WGT = f"CASE WHEN {U}<0.36787944 THEN 0e0 WHEN {U}<0.73575888 THEN 1e0 WHEN {U}<0.91969860 THEN 2e0 WHEN {U}<0.98101184 THEN 3e0 ELSE 4e0 END"
+UNIFORM = "CAST('0x' || md5(concat_ws('|', account_id, YEAR, MONTH, d))[1:13] AS BIGINT) / 4503599627370496e0"
+STEPS = ml.poisson_steps()
+WEIGHT = "CASE " + " ".join(f"WHEN u < {b!r} THEN {k}e0" for k, b in enumerate(STEPS)) + f" ELSE {len(STEPS)}e0 END"
 
 
-@query("i18_bootstrap_interval", ["forecasts"], f"WITH x AS (SELECT MONTH, d, sum({WGT}*abs(y_true-y_pred))/sum({WGT}) m FROM forecasts CROSS JOIN (SELECT unnest(range(0,40)) d) GROUP BY 1,2), a AS (SELECT MONTH, avg(abs(y_true-y_pred)) mae FROM forecasts GROUP BY 1) SELECT MONTH, round(any_value(mae),6) mae, round(quantile_cont(m,0.025),6) low, round(quantile_cont(m,0.5),6) median, round(quantile_cont(m,0.975),6) high FROM x JOIN a USING (MONTH) GROUP BY 1")
+@query("i18_bootstrap_interval", ["forecasts"], f"WITH q AS (SELECT MONTH, d, abs(y_true-y_pred) e, {UNIFORM} u FROM forecasts CROSS JOIN (SELECT unnest(range(0,100)) d)), x AS (SELECT MONTH, d, sum({WEIGHT}*e)/sum({WEIGHT}) m FROM q GROUP BY 1,2), a AS (SELECT MONTH, avg(abs(y_true-y_pred)) mae FROM forecasts GROUP BY 1) SELECT MONTH, round(any_value(mae),6) mae, round(quantile_cont(m,0.025),6) low, round(quantile_cont(m,0.5),6) median, round(quantile_cont(m,0.975),6) high FROM x JOIN a USING (MONTH) GROUP BY 1")
 def bootstrap(t):
     return rounded(ml.bootstrap_interval(t("forecasts"), ["MONTH"]), ["mae", "low", "median", "high"], 6)
 
 
+INTERVALS = f"""WITH p AS (SELECT MONTH, y_true-y_pred v, row_number() OVER (PARTITION BY MONTH ORDER BY y_true-y_pred) - 1 k FROM forecasts), n AS (SELECT MONTH, count(*) n FROM forecasts GROUP BY 1),
+dr AS (SELECT account_id, YEAR, MONTH, CAST(floor({UNIFORM}*n) AS BIGINT) k FROM forecasts JOIN n USING (MONTH) CROSS JOIN (SELECT unnest(range(0,100)) d)),
+ci AS (SELECT account_id, YEAR, dr.MONTH, quantile_cont(v,0.025) lo, quantile_cont(v,0.975) hi FROM dr JOIN p ON p.MONTH=dr.MONTH AND p.k=dr.k GROUP BY 1,2,3),
+pi AS (SELECT f.*, y_pred+lo low, y_pred+hi high FROM forecasts f JOIN ci USING (account_id, YEAR, MONTH))"""
+
+
+def intervals(t):
+    return ml.prediction_intervals(t("forecasts"), ["MONTH"], ["account_id", "YEAR", "MONTH"])
+
+
+@query("i18_prediction_intervals", ["forecasts"], INTERVALS + " SELECT account_id, YEAR, MONTH, round(y_pred,4) y_pred, round(low,4) low, round(high,4) high FROM pi")
+def prediction_intervals(t):
+    return rounded(intervals(t), ["y_pred", "low", "high"]).select("account_id", "YEAR", "MONTH", "y_pred", "low", "high")
+
+
+@query("i18_interval_coverage", ["forecasts"], INTERVALS + " SELECT MONTH, count(*) n, round(avg(CASE WHEN y_true BETWEEN low AND high THEN 1e0 ELSE 0e0 END),6) coverage, round(avg(high-low),4) mean_width FROM pi GROUP BY 1")
+def interval_coverage(t):
+    held = intervals(t).groupBy("MONTH").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("y_true").between(F.col("low"), F.col("high")).cast("double")).alias("coverage"), F.avg(F.col("high") - F.col("low")).alias("mean_width"))
+    return held.select("MONTH", "n", r("coverage", 6).alias("coverage"), r("mean_width").alias("mean_width"))
+
+
 @query("i20_loss_confidence", ["forecasts"], "SELECT account_id, round(greatest(0.3e0,least(0.95e0,1-avg(abs(y_true-y_pred))*20/1000)),6) confidence FROM forecasts GROUP BY 1")
 def confidence(t):
     loss = t("forecasts").groupBy("account_id").agg((F.avg(F.abs(F.col("y_true") - F.col("y_pred"))) * 20).alias("loss"))

@@ -153,6 +153,18 @@ def t_test(t):
     return rounded(ME.t_test(t("readings"), NET, F.col("HAS_SOLAR") == 1), ["mean1", "mean2", "t_statistic"], 6).drop("p_value")
 
 
+# the years up to 1995 against the later ones, per transformer and month; the p-value by Simpson's rule over the density
+@query("d32_t_test_small", ["readings"], """WITH g AS (SELECT TRANSFORMER_CODE, MONTH, count(*) FILTER (YEAR<=1995) n1, count(*) FILTER (YEAR>1995) n2, avg(NET_CONSUMPTION_kWh) FILTER (YEAR<=1995) m1, avg(NET_CONSUMPTION_kWh) FILTER (YEAR>1995) m2,
+ var_samp(NET_CONSUMPTION_kWh) FILTER (YEAR<=1995) v1, var_samp(NET_CONSUMPTION_kWh) FILTER (YEAR>1995) v2 FROM readings GROUP BY 1,2),
+s AS (SELECT *, n1+n2-2 f, (m1-m2)/sqrt(((n1-1)*v1+(n2-1)*v2)/(n1+n2-2)*(1/n1+1/n2)) t FROM g WHERE n1>1 AND n2>1),
+p AS (SELECT TRANSFORMER_CODE, MONTH, n1, n2, t, 1-2*exp(lgamma((f+1)/2)-lgamma(f/2))/sqrt(f*pi())*abs(t)/6000*sum(CASE WHEN i IN (0,2000) THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END*pow(1+pow(t*i/2000,2)/f,-(f+1)/2)) p FROM s, unnest(range(0,2001)) u(i) GROUP BY 1,2,3,4,5,f)
+SELECT TRANSFORMER_CODE, MONTH, n1, n2, round(t,6) t_statistic, round(p,6) p_value FROM p""")
+def t_test_small(t):
+    rows = t("readings").withColumn("early", F.col("YEAR") <= 1995)
+    out = ME.t_test(rows, NET, F.col("early"), ["TRANSFORMER_CODE", "MONTH"]).where("n1 > 1 AND n2 > 1")
+    return rounded(out, ["t_statistic", "p_value"], 6).select("TRANSFORMER_CODE", "MONTH", "n1", "n2", "t_statistic", "p_value")
+
+
 @query("d33_outlier_counts", ["readings"], """WITH s AS (SELECT avg(NET_CONSUMPTION_kWh) m, stddev_pop(NET_CONSUMPTION_kWh) s, quantile_cont(NET_CONSUMPTION_kWh,0.25) q1, quantile_cont(NET_CONSUMPTION_kWh,0.75) q3 FROM readings)
  SELECT count(*) n, count(*) FILTER (NET_CONSUMPTION_kWh<q1-1.5e0*(q3-q1) OR NET_CONSUMPTION_kWh>q3+1.5e0*(q3-q1)) iqr_outliers, count(*) FILTER (abs(NET_CONSUMPTION_kWh-m)>3*s) z_outliers FROM readings, s""")
 def outlier_counts(t):

@@ -161,16 +161,17 @@ def target_correlations(df: DataFrame, cols: list[str], target: str) -> DataFram
     return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("correlation")) for i, c in enumerate(cols)])))
 
 
-def t_test(df: DataFrame, value: str, group: Column) -> DataFrame:
-    """Two-sample t-test with pooled variance; the p-value is the normal approximation."""
+def t_test(df: DataFrame, value: str, group: Column, by: list[str] | None = None) -> DataFrame:
+    """Two-sample t-test with pooled variance; the p-value is that of Student's distribution with n1 + n2 - 2 degrees."""
     a, b = F.when(group, F.col(value)), F.when(~group, F.col(value))
-    out = df.agg(F.count(a).alias("n1"), F.count(b).alias("n2"), F.avg(a).alias("mean1"), F.avg(b).alias("mean2"),
+    out = df.groupBy(*(by or [])).agg(F.count(a).alias("n1"), F.count(b).alias("n2"), F.avg(a).alias("mean1"), F.avg(b).alias("mean2"),
                  F.var_samp(a).alias("v1"), F.var_samp(b).alias("v2"))
     n1, n2 = F.col("n1"), F.col("n2")
     pooled = F.try_divide((n1 - 1) * F.col("v1") + (n2 - 1) * F.col("v2"), (n1 + n2 - 2).cast("double"))
     se = F.sqrt(pooled * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2)))
     out = out.withColumn("t_statistic", F.try_divide(F.col("mean1") - F.col("mean2"), se))
-    return out.select("n1", "n2", "mean1", "mean2", "t_statistic", (2 * (1 - N.normal_cdf(F.abs(F.col("t_statistic"))))).alias("p_value"))
+    p = F.when(n1 + n2 > 2, N.t_two_sided_p(F.col("t_statistic"), n1 + n2 - 2))
+    return out.select(*(by or []), "n1", "n2", "mean1", "mean2", "t_statistic", p.alias("p_value"))
 
 
 def outlier_counts(df: DataFrame, value: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridlight import constants as C
 from gridlight.functions import numeric as N
 from gridlight.operators.metrics import forecast_metrics, target_correlations
-from gridlight.operators.ordered import exact_quantiles
+from gridlight.operators.ordered import exact_quantiles, histogram, running_totals, same
 from gridlight.operators.series import sequences
 from gridlight.operators.splits import group_bucket
 from gridlight.session import cut_lineage
@@ -226,16 +226,25 @@ def walk_forward_validation(folds: DataFrame, features: list[str], label: str, n
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
-def poisson_weight(u: Column) -> Column:
-    """The inverse of the Poisson distribution of mean 1, as far as a double can tell it from 1."""
+def poisson_steps() -> list[float]:
+    """P(X < 1), P(X < 2), ... of the Poisson distribution of mean 1, as far as a double can tell them from 1."""
     term = below = math.exp(-1.0)
-    out, k = F.when(u < below, 0.0), 0
+    steps, k = [below], 0
     while below < 1.0 and term > 2.0 ** -54:
         k += 1
         term /= k
         below += term
+        steps.append(below)
+    return steps
+
+
+def poisson_weight(u: Column) -> Column:
+    """The inverse of the Poisson distribution of mean 1."""
+    steps = poisson_steps()
+    out = F.when(u < steps[0], 0.0)
+    for k, below in enumerate(steps[1:], 1):
         out = out.when(u < below, float(k))
-    return out.otherwise(float(k + 1))
+    return out.otherwise(float(len(steps)))
 
 
 def bootstrap_interval(predictions: DataFrame, by: list[str], draws: int = 100, y: str = "y_true", p: str = "y_pred") -> DataFrame:
@@ -252,5 +261,27 @@ def bootstrap_interval(predictions: DataFrame, by: list[str], draws: int = 100,
     return sums.groupBy(*by).agg(F.max("mae").alias("mae"), q.alias("q")).select(*by, "mae", F.get("q", 0).alias("low"), F.get("q", 1).alias("median"), F.get("q", 2).alias("high"))
 
 
+def prediction_intervals(predictions: DataFrame, by: list[str], keys: list[str], level: float = 0.95, draws: int = 100, y: str = "y_true", p: str = "y_pred") -> DataFrame:
+    """Adds ``low`` and ``high`` to every prediction, which ``keys`` identify, by residual bootstrap: ``draws`` residuals of its group, drawn with
+    replacement by the MD5 of the row's ``keys`` and the draw, are added to it, and the interval lies between their quantiles.
+
+    A quantile of the drawn residuals stands at an order statistic of the drawn ranks, so the ranks are drawn and sorted
+    where the row lies, and only the four that decide are looked up among the ranked residuals of the group."""
+    rows = predictions.withColumn("_res", F.col(y) - F.col(p))
+    pool = running_totals(histogram(rows, by, "_res"), by, ["n"])
+    ranked = pool.select(*by, F.explode(F.sequence(F.col("cum_n") - F.col("n"), F.col("cum_n") - 1)).alias("_rank"), F.col("v").alias("_value"))
+    totals = rows.where(F.col("_res").isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    bits = lambda d: F.conv(F.substring(F.md5(F.concat_ws("|", *keys, d).cast("binary")), 1, 13), 16, 10).cast("double")
+    drawn = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: F.floor(bits(d) / 2.0 ** 52 * F.col("_n"))))
+    ends = {"low": (1 - level) / 2 * (draws - 1), "high": (1 + level) / 2 * (draws - 1)}
+    places = [(name, side(at), share) for name, at in ends.items() for side, share in ((math.floor, 1 - at % 1), (math.ceil, at % 1))]
+    wanted = F.array(*[F.struct(F.lit(name).alias("end"), F.get("_drawn", i).alias("_rank"), F.lit(share).alias("share")) for name, i, share in places])
+    asked = same(rows, totals, by).withColumn("_drawn", drawn).select(*predictions.columns, F.inline(wanted))
+    met = same(asked, ranked, [*by, "_rank"])
+    part = lambda name: F.sum(F.when(F.col("end") == name, F.col("share") * F.col("_value")))
+    out = met.groupBy(*predictions.columns).agg(part("low").alias("_low"), part("high").alias("_high"))
+    return out.select(*predictions.columns, (F.col(p) + F.col("_low")).alias("low"), (F.col(p) + F.col("_high")).alias("high"))
+
+
 def loss_confidence(loss: Column) -> Column:
     return N.clip(1 - loss / 1000, 0.3, 0.95)
