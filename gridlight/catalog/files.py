@@ -23,6 +23,21 @@ def readings_round_trip(t):
                                                   F.round("NET_CONSUMPTION_kWh", 4).alias("NET_CONSUMPTION_kWh"), "SOURCE")
 
 
+@query("a3_customer_sheets", ["accounts"], """WITH a AS (SELECT *, CAST(substr(TRANSFORMER_CODE, 3) AS INT) % 3 kind FROM accounts)
+SELECT ACCOUNT_NO, TRANSFORMER_CODE, "INV_CAPACITY", CASE kind WHEN 0 THEN "CAL_TARIFF" ELSE 'D1' END AS "CAL_TARIFF", CASE kind WHEN 0 THEN 'SP' ELSE PHASE END AS PHASE, CASE WHEN "INV_CAPACITY" > 0 THEN 1 ELSE 0 END AS "HAS_SOLAR", NULL AS problem FROM a WHERE kind < 2
+UNION ALL SELECT DISTINCT NULL, TRANSFORMER_CODE, NULL, NULL, NULL, NULL, 'no account column' FROM a WHERE kind = 2""")
+def customer_sheets(t):
+    """Sheets of three kinds: as expected; the capacity only to be told by its numbers; no column of accounts."""
+    kinds = [{"Account No": "ACCOUNT_NO", "Inv. Capacity (kW)": "INV_CAPACITY", "CAL TARIFF": "CAL_TARIFF"},
+             {"ACCOUNT": "ACCOUNT_NO", "Phase": "PHASE", "Remark": "concat('no ', account_id)", "Rating": "INV_CAPACITY", "Serial": "account_id"}, {"Customer": "ACCOUNT_NO", "Inv Capacity": "INV_CAPACITY"}]
+    base = folder(t, "sheets")
+    for kind, columns in enumerate(kinds):
+        rows = t("accounts").where(F.expr(f"CAST(substr(TRANSFORMER_CODE, 3) AS INT) % 3 = {kind}"))
+        rows.select("TRANSFORMER_CODE", *[F.expr(e).alias(c) for c, e in columns.items()]).repartition("TRANSFORMER_CODE").write.mode("append").partitionBy("TRANSFORMER_CODE").csv(base, header=True)
+    out = RD.read_customer_sheets(t.spark, base, "*/*.csv", r"TRANSFORMER_CODE=([^/]+)/")
+    return out.select("ACCOUNT_NO", "TRANSFORMER_CODE", "INV_CAPACITY", "CAL_TARIFF", "PHASE", "HAS_SOLAR", "problem")
+
+
 @query("a4_month_files", ["readings"], """SELECT ACCOUNT_NO, TRANSFORMER_CODE, CAST(1 + MONTH % 3 AS INT) AS "MONTH", YEAR, round(sum("IMPORT_kWh"),2) import_kwh, CASE WHEN MONTH % 3 = 2 THEN 0e0 ELSE round(sum("EXPORT_kWh"),2) END export_kwh, NULL AS problem
  FROM readings GROUP BY ACCOUNT_NO, TRANSFORMER_CODE, YEAR, MONTH % 3""")
 def month_files(t):

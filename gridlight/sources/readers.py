@@ -32,10 +32,25 @@ def read_readings(spark: SparkSession, path: str | list[str], fmt: str = "parque
                           ignoreTrailingWhiteSpace=True, enforceSchema=False)
 
 
-def _with_own_headers(spark: SparkSession, paths: str | list[str], wanted: dict[str, tuple[list[str], object]]) -> tuple[DataFrame, list[str]]:
+def first_numeric_column(raw: DataFrame, candidates: list[str], name: str) -> DataFrame:
+    """Adds ``name``: in every file the first of ``candidates`` whose values are all numbers (blanks aside, and not only blanks).
+
+    One aggregate counts values and numbers of all columns per file."""
+    if not candidates:
+        return raw.withColumn(name, F.lit(None).cast("string"))
+    filled = lambda c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit(""))
+    counts = raw.groupBy("_path").agg(*[x for i, c in enumerate(candidates) for x in (F.count(filled(c)).alias(f"_n{i}"), F.count(filled(c).try_cast("double")).alias(f"_k{i}"))])
+    chosen = F.coalesce(F.lit(None).cast("string"), *[F.when((F.col(f"_n{i}") > 0) & (F.col(f"_n{i}") == F.col(f"_k{i}")), F.lit(c)) for i, c in enumerate(candidates)])
+    found = raw.join(counts.select("_path", chosen.alias("_chosen")), "_path", "left")
+    value = F.coalesce(F.lit(None).cast("string"), *[F.when(F.col("_chosen") == c, F.col(f"`{c}`")) for c in candidates])
+    return found.withColumn(name, value).drop("_chosen")
+
+
+def _with_own_headers(spark: SparkSession, paths: str | list[str], wanted: dict[str, tuple[list[str], object]], by_content: str | None = None) -> tuple[DataFrame, list[str]]:
     """CSV files of any column order, each resolved by its own header, and the files that have no readable one.
 
-    Files are grouped by their first line: one read for each different header, however many files share it.
+    Files are grouped by their first line: one read for each different header, however many files share it.  Where no
+    header fits the column ``by_content``, the first numeric column that is none of the others stands for it.
     """
     lines = spark.read.text(paths).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
                                                                        F.monotonically_increasing_id().alias("line"), "value")
@@ -45,9 +60,15 @@ def _with_own_headers(spark: SparkSession, paths: str | list[str], wanted: dict[
     for header, files in sorted(groups.items()):
         raw = spark.read.option("ignoreMissingFiles", "true").csv(files, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
         raw = CL.strip_headers(raw.withColumn("_path", F.col("_metadata.file_path")))
-        if not any(all(w.lower() in c.lower() for w in wanted["ACCOUNT_NO"][0]) for c in raw.columns):
+        fits = lambda c, words: all(w.lower() in c.lower() for w in words)
+        if not any(fits(c, wanted["ACCOUNT_NO"][0]) for c in raw.columns):
             bad += files
             continue
+        if by_content and not any(fits(c, wanted[by_content][0]) for c in raw.columns):
+            others = [c for c in raw.columns if c != "_path" and not any(fits(c, words) for words, _ in wanted.values())]
+            raw = first_numeric_column(raw, others, by_content)
+            parts.append(CL.resolve_columns(raw, {k: ([k], d) if k == by_content else (w, d) for k, (w, d) in wanted.items()} | {"_path": (["_path"], None)}))
+            continue
         parts.append(CL.resolve_columns(raw, wanted | {"_path": (["_path"], None)}))
     if not parts:
         return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in [*wanted, "_path"]])), bad
@@ -57,13 +78,18 @@ def _with_own_headers(spark: SparkSession, paths: str | list[str], wanted: dict[
     return out, bad
 
 
-def read_customer_sheets(spark: SparkSession, folder: str) -> DataFrame:
-    """Customer master from one CSV per transformer, each with its own header; the file name is the transformer code."""
-    out, _ = _with_own_headers(spark, f"{folder}/*.csv", {"ACCOUNT_NO": (["account"], None), "INV_CAPACITY": (["inv", "capacity"], "0"),
-                                                          "CAL_TARIFF": (["tariff"], C.DEFAULT_TARIFF), "PHASE": (["phase"], "SP")})
-    out = out.withColumn("_file", F.element_at(F.split("_path", "/"), -1)).drop("_path")
+def read_customer_sheets(spark: SparkSession, folder: str, files: str = "*.csv", code: str = r"([^/]*)\.csv$") -> DataFrame:
+    """Customer master from CSV sheets, each with its own header; ``code`` finds the transformer in the path, by default the file name.
+
+    A sheet without a capacity column takes its first numeric column that is not known for something else, and 0 if there is none.
+    A sheet without an account column gives one row with its transformer, nulls and ``problem`` set."""
+    out, bad = _with_own_headers(spark, f"{folder}/{files}", {"ACCOUNT_NO": (["account"], None), "INV_CAPACITY": (["inv", "capacity"], "0"),
+                                                              "CAL_TARIFF": (["tariff"], C.DEFAULT_TARIFF), "PHASE": (["phase"], "SP")}, by_content="INV_CAPACITY")
     out = CL.coerce_numeric(CL.trim_strings(out), ["INV_CAPACITY"]).fillna({"INV_CAPACITY": 0.0, "CAL_TARIFF": C.DEFAULT_TARIFF, "PHASE": "SP"})
-    return out.withColumns({"TRANSFORMER_CODE": F.regexp_extract("_file", r"^(.*)\.csv$", 1), "HAS_SOLAR": (F.col("INV_CAPACITY") > 0).cast("int")}).drop("_file")
+    out = out.withColumns({"HAS_SOLAR": (F.col("INV_CAPACITY") > 0).cast("int"), "problem": F.lit(None).cast("string")})
+    lost = spark.createDataFrame([(p, "no account column") for p in bad], "_path string, problem string")
+    out = out.unionByName(lost, allowMissingColumns=True)
+    return out.withColumn("TRANSFORMER_CODE", F.regexp_extract("_path", code, 1)).drop("_path")
 
 
 def read_month_files(spark: SparkSession, manifest: DataFrame, paths: list[str]) -> DataFrame:

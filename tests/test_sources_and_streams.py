@@ -46,6 +46,18 @@ def test_customer_sheets_with_other_headers(spark, tmp_path):
     assert got == {"A1": ("TF001", 5.0, "D1", "SP"), "A2": ("TF002", 3.0, "GP1", "SP"), "A3": ("TF003", 0.0, "D1", "TP")}
 
 
+def test_sheets_told_by_their_content(spark, tmp_path):
+    """Two files of one header differ in which column is numeric; blanks do not count; lost sheets are reported."""
+    (tmp_path / "TF001.csv").write_text("Account No,Remark,A,B,Tariff\n100,x,,4,D1\n101,y,oops,0,GP1\n")
+    (tmp_path / "TF002.csv").write_text("Account No,Remark,A,B,Tariff\n102,x,2.5,9,D1\n103,y,,8,D1\n")
+    (tmp_path / "TF003.csv").write_text("Account No,Remark\nA9,z\n")
+    (tmp_path / "TF004.csv").write_text("Customer,Inv Capacity\nA1,5\n")
+    rows = RD.read_customer_sheets(spark, str(tmp_path)).collect()
+    got = {r.ACCOUNT_NO: (r.TRANSFORMER_CODE, r.INV_CAPACITY, r.HAS_SOLAR, r.problem) for r in rows}
+    assert got == {"100": ("TF001", 4.0, 1, None), "101": ("TF001", 0.0, 0, None), "102": ("TF002", 2.5, 1, None), "103": ("TF002", 0.0, 0, None),
+                   "A9": ("TF003", 0.0, 0, None), None: ("TF004", None, None, "no account column")} and len(rows) == 6
+
+
 def test_bad_month_entries_are_left_out(spark):
     one = spark.range(1)
     assert one.select(RD.parse_month_text(F.lit("oct:1, 9:5, 9:7,, 11:x,"))).first()[0] == {9: 7.0}
