@@ -314,7 +314,12 @@ def profiles(t):
  min(MONTH) month_min, max(MONTH) month_max, round(avg(NET_CONSUMPTION_kWh),4) mean_kwh, round(stddev_samp(NET_CONSUMPTION_kWh),4) std_kwh, min(NET_CONSUMPTION_kWh) min_kwh,
  max(NET_CONSUMPTION_kWh) max_kwh, CAST(sum(HAS_SOLAR) AS BIGINT) solar_records, round(quantile_cont(NET_CONSUMPTION_kWh,0.5),4) median_kwh FROM readings""")
 def statistics(t):
-    return rounded(RU.dataset_statistics(t("readings")), ["mean_kwh", "std_kwh", "median_kwh"])
+    return rounded(RU.dataset_statistics(t("readings")).drop("tariff_distribution"), ["mean_kwh", "std_kwh", "median_kwh"])
+
+
+@query("d5_tariff_distribution", ["readings"], "SELECT CAL_TARIFF, count(*) AS readings FROM readings GROUP BY 1")
+def tariff_distribution(t):
+    return RU.dataset_statistics(t("readings")).select(F.explode("tariff_distribution").alias("CAL_TARIFF", "readings"))
 
 
 @query("d6_profiles_by_tariff", ["readings"], "WITH " + PROFILE_SQL + " SELECT account_id, round(annual_total,4) AS annual_total FROM pa WHERE CAL_TARIFF='GP1'")

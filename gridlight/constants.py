@@ -106,6 +106,11 @@ PRICE_FLOOR, PRICE_CEILING = 300_000, 6_000_000
 BASE_IMPORT_TARIFF, DISCOUNT_RATE, PROJECT_YEARS = 45.0, 0.10, 20
 MAINTENANCE_SHARE, INVERTER_SHARE = 0.01, 0.25
 
+# ---- fixed values: patterns of price pages -----------------------------------
+PAGE_TAG = r"(?s)<[^>]*>"
+PRICE_NODE = r'(?is)<p[^>]*class="price"[^>]*>(.*?)</p>'
+PRICE_EVENT = r"(?i)\b\d+kW(?: system)?|starting from|Rs\.?\s*[\d,]+|LKR\s*[\d,]+\s*[-–]\s*[\d,]+|[\n\r\u0085\u2028\u2029]"
+
 # ---- fixed values: monitoring ------------------------------------------------
 DRIFT_WINDOW, DRIFT_THRESHOLD = 6, 2.0
 ENSEMBLE_WEIGHTS = {"lstm": 0.5, "pattern": 0.5}

@@ -117,15 +117,23 @@ def profiles_by_tariff(profiles: DataFrame, tariff: str) -> DataFrame:
 
 
 def dataset_statistics(readings: DataFrame) -> DataFrame:
-    """One row: counts, month range, moments and the exact median."""
+    """One row: counts, month range, moments, the exact median and the readings of every tariff.
+
+    Distinct accounts and transformers are counted among the few rows that readings fold to, one for each account, transformer
+    and tariff."""
     net = F.col("NET_CONSUMPTION_kWh")
+    folded = readings.groupBy("ACCOUNT_NO", "TRANSFORMER_CODE", "CAL_TARIFF").agg(F.count(F.lit(1)).alias("n"))
+    tariffs = folded.groupBy("CAL_TARIFF").agg(F.sum("n").alias("n"))
+    # accounts may have several tariffs and transformers, so they are told apart once more
+    accounts = folded.groupBy("ACCOUNT_NO").agg(F.count(F.lit(1)).alias("k")).agg(F.count("ACCOUNT_NO").alias("a")).scalar()
+    transformers = folded.groupBy("TRANSFORMER_CODE").agg(F.count(F.lit(1)).alias("k")).agg(F.count("TRANSFORMER_CODE").alias("a")).scalar()
+    known = tariffs.where(F.col("CAL_TARIFF").isNotNull())
+    spread = known.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("CAL_TARIFF", "n")))).alias("m")).scalar()
     head = readings.agg(
-        F.count(F.lit(1)).alias("total_records"), F.count_distinct("ACCOUNT_NO").alias("unique_accounts"),
-        F.count_distinct("TRANSFORMER_CODE").alias("unique_transformers"), F.min("MONTH").alias("month_min"),
-        F.max("MONTH").alias("month_max"), F.avg(net).alias("mean_kwh"), F.stddev_samp(net).alias("std_kwh"),
+        F.count(F.lit(1)).alias("total_records"), F.min("MONTH").alias("month_min"), F.max("MONTH").alias("month_max"), F.avg(net).alias("mean_kwh"), F.stddev_samp(net).alias("std_kwh"),
         F.min(net).alias("min_kwh"), F.max(net).alias("max_kwh"), F.sum("HAS_SOLAR").alias("solar_records"))
     median = exact_quantiles(readings, [], "NET_CONSUMPTION_kWh", {"m": 0.5}).select("m").scalar()
-    return head.withColumn("median_kwh", median)
+    return head.withColumns({"unique_accounts": accounts, "unique_transformers": transformers, "tariff_distribution": spread, "median_kwh": median})
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:

@@ -207,17 +207,35 @@ def vendor_page_prices(pages: DataFrame, sizes: list[int] = C.PRICE_SIZES) -> Da
     """Prices per system size found in whole landed pages: (page_id, size_kw, rule, price_lkr).
 
     Rules: the price node of a product page whose address names the size; "<size>kW ...
-    starting from Rs. n"; "<size>kW system ... LKR a - b" (averaged).  Prices outside the sanity limits are dropped.
+    starting from Rs. n"; "<size>kW system ... LKR a - b" (averaged), on one line.  Prices outside the sanity limits are dropped.
+
+    One pattern finds all sizes, prices and line ends of a text in their order; a fold over this short list then
+    tells for each size what follows its first mention, so the text is not searched again for every size.
     """
-    df = pages.select("page_id", F.regexp_extract(F.lower("url"), r"/(\d+)kw-", 1).alias("url_size"), F.regexp_replace("html", r"(?s)<[^>]*>", " ").alias("text"),
-                      F.regexp_replace(F.regexp_extract("html", r'(?is)<p[^>]*class="price"[^>]*>(.*?)</p>', 1), r"(?s)<[^>]*>", " ").alias("node"))
+    url_size = F.regexp_extract(F.lower("url"), r"/(\d+)kw-", 1)
+    node = F.when(url_size != "", F.regexp_replace(F.regexp_extract("html", C.PRICE_NODE, 1), C.PAGE_TAG, " "))
+    df = pages.select("page_id", url_size.alias("url_size"), node.alias("node"), F.regexp_extract_all(F.regexp_replace("html", C.PAGE_TAG, " "), F.lit(C.PRICE_EVENT), F.lit(0)).alias("events"))
+
+    def follow(steps: list, restart=None) -> Column:
+        """The event at which the last of ``steps`` is met, each after the one before; ``restart`` begins anew."""
+        def turn(a, e):
+            out = F.when(a["stage"] == len(steps), a)
+            if restart is not None:
+                out = out.when(restart(e), F.struct(F.lit(0).alias("stage"), F.lit(None).cast("string").alias("hit")))
+            for i, met in enumerate(steps):
+                out = out.when((a["stage"] == i) & met(e), F.struct(F.lit(i + 1).alias("stage"), e.alias("hit")))
+            return out.otherwise(a)
+        start = F.struct(F.lit(0).alias("stage"), F.lit(None).cast("string").alias("hit"))
+        return F.aggregate("events", start, turn, lambda a: F.when(a["stage"] == len(steps), a["hit"]))
+
+    begins = lambda word: lambda e: F.lower(e).startswith(word)
     found = []
     for s in sizes:
-        start = F.regexp_extract("text", rf"(?is)\b{s}kW.*?starting from.*?Rs\.?\s*([\d,]+)", 1)
-        band = rf"(?i)\b{s}kW system.*?LKR\s*([\d,]+)\s*[-–]\s*([\d,]+)"
-        lo, hi = _digits(F.regexp_extract("text", band, 1)), _digits(F.regexp_extract("text", band, 2))
-        node = F.when(F.col("url_size") == str(s), _digits(F.split("node", r"\.")[0]))
-        for rule, price in (("price_node", node), ("starting_from", _digits(start)), ("price_range", F.floor((lo + hi) / 2))):
+        start = follow([begins(f"{s}kw"), begins("starting from"), begins("rs")])
+        band = follow([lambda e, s=s: F.lower(e) == f"{s}kw system", begins("lkr")], restart=lambda e: e.rlike("^[\\n\\r\u0085\u2028\u2029]"))
+        lo, hi = (_digits(F.regexp_extract(band, r"([\d,]+)\s*[-–]\s*([\d,]+)", i)) for i in (1, 2))
+        named = F.when(F.col("url_size") == str(s), _digits(F.split("node", r"\.")[0]))
+        for rule, price in (("price_node", named), ("starting_from", _digits(start)), ("price_range", F.floor((lo + hi) / 2))):
             found.append(F.struct(F.lit(s).alias("size_kw"), F.lit(rule).alias("rule"), price.alias("price_lkr")))
     rows = df.select("page_id", F.inline(F.array(*found)))
     return rows.where((F.col("price_lkr") > C.PRICE_FLOOR) & (F.col("price_lkr") < C.PRICE_CEILING))

@@ -91,6 +91,15 @@ def test_discount_rate(spark):
     assert r.inflation_pct == 6.5 and r.discount_rate == pytest.approx(0.11)
 
 
+def test_price_events_as_the_rules_say(spark):
+    """Whole sizes only; a range on the line of its size; what stands first decides; case and dashes do not matter."""
+    pages = [(1, "http://a", "15kW kit STARTING FROM Rs 900,000 then 5KW pack starting from\nRs. 810,000 and 5kW starting from Rs 700,000"),
+             (2, "http://b", "8kW system\nLKR 1,400,000 - 1,500,000. 8kW System now LKR 1,500,001 – 1,600,000 (10kW system LKR 1,000,000-1,200,000)"),
+             (3, "http://c", "3kW starting at Rs. 500,000, 3kW <i>starting</i> from LKR 400,000 - 450,000"), (4, None, None), (5, "http://x/10kw-set", "no price"), (6, "http://x", "")]
+    got = {(r.page_id, r.size_kw, r.rule, r.price_lkr) for r in RD.vendor_page_prices(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {(1, 15, "starting_from", 900000), (1, 5, "starting_from", 810000), (2, 8, "price_range", 1550000), (2, 10, "price_range", 1100000)}
+
+
 def test_page_prices_use_the_whole_text(spark):
     filler = "x " * 50_000
     pages = [(1, "http://a/8kw-kit", '<p class="price">LKR 1,450,000.00</p>'), (2, "http://b", filler + "<b>5kW</b> hybrid starting from Rs. 820,000 only"),
