@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -67,15 +68,52 @@ def fit_models(train: DataFrame, features: list[str], models: dict) -> dict[str,
     return {name: Pipeline(stages=[*scaling_stages(features), m]).fit(train) for name, m in models.items()}
 
 
-def grid_search(train: DataFrame, features: list[str], label: str, models: dict, folds: int = 5, group: str = "account_id", parallelism: int = 4) -> dict[str, tuple[PipelineModel, float]]:
-    """Best model and its mean CV error per family; folds hold whole groups."""
+def staged(grid: list[dict]) -> list[tuple[dict, list[int]]]:
+    """The settings to fit and, for boosting, the numbers of rounds at which each is scored: the rounds of a shorter run are
+    the first ones of a longer run, so settings that differ in nothing else are one fit."""
+    runs: dict[frozenset, dict] = {}
+    for setting in grid:
+        rounds = next((v for p, v in setting.items() if p.name == "maxIter"), None)
+        rest = frozenset((p, v) for p, v in setting.items() if p.name != "maxIter")
+        runs.setdefault(rest, {})[rounds] = setting
+    return [(by_rounds[max(by_rounds, key=lambda r: r or 0)], sorted(r for r in by_rounds if r)) for by_rounds in runs.values()]
+
+
+def grid_search(train: DataFrame, features: list[str], label: str, models: dict, folds: int = 5, group: str = "account_id", parallelism: int = 8,
+                spaces: dict | None = None) -> dict[str, tuple[PipelineModel, float]]:
+    """Best model and its mean CV error per family; folds hold whole groups.
+
+    Each fold is scaled once for all settings, and boosting is scored round by round from one fit (``staged``).  The driver
+    only starts fits, ``parallelism`` at a time."""
     data = train.withColumn("_fold", group_bucket(group, folds, seed=7).cast("int"))
-    evaluator, out = RegressionEvaluator(labelCol=label, metricName="mae"), {}
-    for name, grid in grids(models).items():
-        cv = CrossValidator(estimator=Pipeline(stages=[*scaling_stages(features), models[name]]), estimatorParamMaps=grid, evaluator=evaluator,
-                            numFolds=folds, foldCol="_fold", parallelism=parallelism)
-        fitted = cv.fit(data)
-        out[name] = (fitted.bestModel, min(fitted.avgMetrics))
+    spaces = spaces or grids(models)
+    evaluator = RegressionEvaluator(labelCol=label, metricName="mae")
+    scaled = []
+    for k in range(folds):
+        scaling = Pipeline(stages=scaling_stages(features)).fit(data.where(F.col("_fold") != k))
+        part = lambda rows: cut_lineage(scaling.transform(rows).select("features", label))  # noqa: E731, B023
+        scaled.append((part(data.where(F.col("_fold") != k)), part(data.where(F.col("_fold") == k))))
+
+    def errors(name: str, k: int, setting: dict, rounds: list[int]) -> list[tuple]:
+        fit_rows, test_rows = scaled[k]
+        model = models[name].copy(setting).fit(fit_rows)
+        plain = [(p.name, v) for p, v in setting.items()]
+        if not rounds:
+            return [(name, tuple(sorted(plain)), evaluator.evaluate(model.transform(test_rows)))]
+        by_round = model.evaluateEachIteration(test_rows, "absolute")
+        return [(name, tuple(sorted((n, r if n == "maxIter" else v) for n, v in plain)), by_round[r - 1]) for r in rounds]
+
+    jobs = [(name, k, setting, rounds) for name, grid in spaces.items() for setting, rounds in staged(grid) for k in range(folds)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        scores: dict[tuple, list[float]] = {}
+        for found in pool.map(lambda job: errors(*job), jobs):
+            for name, setting, error in found:
+                scores.setdefault((name, setting), []).append(error)
+    out = {}
+    for name, grid in spaces.items():
+        mean = lambda setting: sum(e := scores[name, tuple(sorted((p.name, v) for p, v in setting.items()))]) / len(e)  # noqa: E731, B023
+        best = min(grid, key=mean)
+        out[name] = (Pipeline(stages=[*scaling_stages(features), models[name].copy(best)]).fit(train), mean(best))
     return out
 
 
