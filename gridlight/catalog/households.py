@@ -49,11 +49,26 @@ def haversine(t):
     return RU.with_distance(t("readings")).select("account_id", "YEAR", "MONTH", r("DISTANCE_FROM_TF_M").alias("d"))
 
 
-@query("h2_geodesic_radius", ["users", "transformers"], f"""WITH c AS (SELECT user_id, TRANSFORMER_CODE, atan((1-1/298.257223563e0)*tan(radians(latitude))) b1, atan((1-1/298.257223563e0)*tan(radians(TRANSFORMER_LAT))) b2,
- pow(sin(radians(TRANSFORMER_LON-longitude)/2),2) hl2 FROM users JOIN transformers ON true),
-s AS (SELECT *, pow(sin((b2-b1)/2),2)+cos(b1)*cos(b2)*hl2 a FROM c), g AS (SELECT *, 2*atan2(sqrt(a),sqrt(1-a)) sg, (b1+b2)/2 p, (b2-b1)/2 q FROM s),
-d AS (SELECT user_id, TRANSFORMER_CODE, CASE WHEN sg=0 THEN 0e0 ELSE 6378137e0*(sg-1/298.257223563e0/2*((sg-sin(sg))*pow(sin(p)*cos(q)/cos(sg/2),2)+(sg+sin(sg))*pow(cos(p)*sin(q)/sin(sg/2),2))) END d FROM g)
-SELECT user_id, TRANSFORMER_CODE, round(d,3) distance_m FROM d WHERE d<=2000""")
+def geodesic_sql(steps: int = 8) -> str:
+    """The inverse solution as a chain of selects, one step each, over pairs within a little more than the radius."""
+    f = "(1/298.257223563e0)"
+    out = f"""WITH x0 AS (SELECT user_id, TRANSFORMER_CODE, atan((1-{f})*tan(radians(latitude))) u1, atan((1-{f})*tan(radians(TRANSFORMER_LAT))) u2, radians(TRANSFORMER_LON-longitude) l, radians(TRANSFORMER_LON-longitude) x
+ FROM users JOIN transformers ON true WHERE {D_UT} <= 2100)"""
+    parts = ("sqrt(pow(cos(u2)*sin(x),2)+pow(cos(u1)*sin(u2)-sin(u1)*cos(u2)*cos(x),2)) ss, sin(u1)*sin(u2)+cos(u1)*cos(u2)*cos(x) cs", "CASE WHEN ss=0 THEN 0 ELSE cos(u1)*cos(u2)*sin(x)/ss END sa",
+             "1-sa*sa c2", "CASE WHEN c2<1e-15 THEN 0 ELSE cs-2*sin(u1)*sin(u2)/c2 END m")
+    for i in range(steps + 1):
+        source = f"x{i}"
+        for j, part in enumerate(parts):
+            out += f", y{i}_{j} AS (SELECT *, {part} FROM {source})"
+            source = f"y{i}_{j}"
+        if i < steps:
+            out += f", z{i} AS (SELECT *, {f}/16*c2*(4+{f}*(4-3*c2)) c FROM {source}), x{i + 1} AS (SELECT user_id, TRANSFORMER_CODE, u1, u2, l, l+(1-c)*{f}*sa*(atan2(ss,cs)+c*ss*(m+c*cs*(2*m*m-1))) x FROM z{i})"
+    return out + f""", g AS (SELECT *, c2*(1/pow(1-{f},2)-1) u FROM {source}), h AS (SELECT *, 1+u/16384*(4096+u*(-768+u*(320-175*u))) ba, u/1024*(256+u*(-128+u*(74-47*u))) bb FROM g),
+ d AS (SELECT user_id, TRANSFORMER_CODE, 6378137e0*(1-{f})*ba*(atan2(ss,cs)-bb*ss*(m+bb/4*(cs*(2*m*m-1)-bb/6*m*(4*ss*ss-3)*(4*m*m-3)))) d FROM h)
+SELECT user_id, TRANSFORMER_CODE, round(d,3) distance_m FROM d WHERE d<=2000"""
+
+
+@query("h2_geodesic_radius", ["users", "transformers"], geodesic_sql())
 def geodesic(t):
     p = radius_join(t("users"), t("transformers"), "search_radius_m", point_id="user_id", target_id="TRANSFORMER_CODE",
                     max_radius_m=2000.0, distance=G.geodesic_m)

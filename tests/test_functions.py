@@ -109,3 +109,18 @@ def test_suitability_ladders(spark):
 def test_display_strings(spark):
     row = one(spark, TX.format_currency(F.lit(2_500_000.0)), TX.format_currency(F.lit(1500.0)), TX.format_currency(F.lit(12.0)), TX.format_consumption(F.lit(1500.0)), TX.mask_account(F.lit("ACC0012345")))
     assert list(row) == ["Rs. 2.50M", "Rs. 1.5K", "Rs. 12", "1.5 MWh", "ACC00123..."]
+
+
+def test_geodesic_lines_known_to_a_millimetre(spark):
+    """A line over the Atlantic, a surveyed line, nearly opposite points, quarter and half meridians, the equator, the date line."""
+    from gridlight.functions.geo import geodesic_m
+    dms = lambda d, m, s: (abs(d) + m / 60 + s / 3600) * (-1 if d < 0 else 1)
+    half = 20003931.4586
+    lines = [(40.6, -73.8, 51.6, -0.5, 5551759.400), (dms(-37, 57, 3.72030), dms(144, 25, 29.52440), dms(-37, 39, 10.15610), dms(143, 55, 35.38390), 54972.271), (0.0, 0.0, 0.5, 179.5, 19936288.579),
+             (0.0, 0.0, 0.5, 179.7, 19944127.421), (0.0, 0.0, 90.0, 0.0, 10001965.729), (0.0, 0.0, 0.0, 1.0, 111319.491), (0.0, 0.0, 0.0, 180.0, half), (30.0, 0.0, -30.0, 180.0, half),
+             (90.0, 0.0, -90.0, 50.0, half), (0.0, 179.5, 0.0, -179.5, 111319.491), (6.9, 79.9, 6.9, 79.9, 0.0), (90.0, 10.0, 90.0, -70.0, 0.0)]
+    df = spark.createDataFrame(lines, "a double, b double, c double, d double, want double")
+    there, back = geodesic_m(F.col("a"), F.col("b"), F.col("c"), F.col("d")), geodesic_m(F.col("c"), F.col("d"), F.col("a"), F.col("b"))
+    for r in df.select("*", there.alias("x"), back.alias("y")).collect():
+        assert abs(r.x - r.want) < 0.001 and abs(r.y - r.want) < 0.001, r
+    assert df.select(geodesic_m(F.lit(None).cast("double"), F.col("b"), F.col("c"), F.col("d"))).first()[0] is None
