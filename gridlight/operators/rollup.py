@@ -153,15 +153,15 @@ def month_iqr_bounds(df: DataFrame, value: str = "EXPORT_kWh", threshold: float
 def drop_month_outliers(df: DataFrame, bounds: DataFrame, value: str = "EXPORT_kWh", month: str = "MONTH") -> DataFrame:
     """Rows within the bounds of their month; months without bounds are kept.
 
-    ``bounds`` has one row per calendar month (twelve at most), so it is broadcast.
+    How ``bounds``, one row per month, is joined is left to the optimizer, which sees its size at run time.
     """
-    b = F.broadcast(bounds.select(month, "lower_bound", "upper_bound"))
+    b = bounds.select(month, "lower_bound", "upper_bound")
     keep = F.col("lower_bound").isNull() | F.col(value).isNull() | F.col(value).between(F.col("lower_bound"), F.col("upper_bound"))
     return df.join(b, month, "left").where(keep).drop("lower_bound", "upper_bound")
 
 
 def month_outlier_counts(df: DataFrame, bounds: DataFrame, value: str = "EXPORT_kWh", month: str = "MONTH") -> DataFrame:
-    b = F.broadcast(bounds.select(month, "lower_bound", "upper_bound"))
+    b = bounds.select(month, "lower_bound", "upper_bound")
     out = ~F.col(value).between(F.col("lower_bound"), F.col("upper_bound"))
     return df.join(b, month, "left").groupBy(month).agg(F.count(F.lit(1)).alias("n"), F.count_if(out).alias("removed"))
 
