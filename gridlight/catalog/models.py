@@ -27,6 +27,24 @@ def scaling(t):
     return rounded(ml.standardise(f.where("split = 'train'"), f, SCALED), SCALED, 6).select("account_id", "YEAR", "Month", *SCALED)
 
 
+def scaled_sql(stats: str, value: str) -> str:
+    """The scaling of the training rows' statistics (``{c}`` a column, ``{i}`` its number) over all rows."""
+    of = lambda text: ", ".join(text.format(c=c, i=i) for i, c in enumerate(SCALED))
+    return f"WITH {SF}, k AS (SELECT *, substr(md5(concat_ws('|', account_id, 42)), 1, 8) < '33333333' te FROM sf WHERE Solar_Irradiance_GHI IS NOT NULL AND Efficiency IS NOT NULL), s AS (SELECT {of(stats)} FROM k WHERE NOT te) SELECT account_id, YEAR, MONTH AS \"Month\", {of(value)} FROM k, s"
+
+
+@query("i1_min_max_scaling", NEEDS, scaled_sql("min({c}) l{i}, max({c}) h{i}", 'round(({c}-l{i})/CASE WHEN h{i}>l{i} THEN h{i}-l{i} ELSE 1 END,6) AS "{c}"'))
+def min_max_scaling(t):
+    f = model_rows(t)
+    return rounded(ml.min_max_scale(f.where("split = 'train'"), f, SCALED), SCALED, 6).select("account_id", "YEAR", "Month", *SCALED)
+
+
+@query("i1_robust_scaling", NEEDS, scaled_sql("quantile_cont({c},0.25) a{i}, quantile_cont({c},0.5) m{i}, quantile_cont({c},0.75) b{i}", 'round(({c}-m{i})/CASE WHEN b{i}>a{i} THEN b{i}-a{i} ELSE 1 END,6) AS "{c}"'))
+def robust_scaling(t):
+    f = model_rows(t)
+    return rounded(ml.robust_scale(f.where("split = 'train'"), f, SCALED), SCALED, 6).select("account_id", "YEAR", "Month", *SCALED)
+
+
 @query("i1_mllib_scalers", NEEDS)
 def mllib_scalers(t):
     from pyspark.ml import Pipeline

@@ -41,6 +41,23 @@ def standardise(train: DataFrame, df: DataFrame, cols: list[str]) -> DataFrame:
     return out.withColumns({c: (F.col(c) - F.col(f"_s.m_{c}")) / F.when(F.col(f"_s.s_{c}") > 0, F.col(f"_s.s_{c}")).otherwise(1.0) for c in cols}).drop("_s")
 
 
+def min_max_scale(train: DataFrame, df: DataFrame, cols: list[str]) -> DataFrame:
+    """0 at the least and 1 at the largest value of ``train``; constant columns become 0."""
+    stats = train.agg(F.struct(*[x for c in cols for x in (F.min(c).alias(f"l_{c}"), F.max(c).alias(f"h_{c}"))])).scalar()
+    span = lambda c: F.col(f"_s.h_{c}") - F.col(f"_s.l_{c}")
+    return df.withColumn("_s", stats).withColumns({c: (F.col(c) - F.col(f"_s.l_{c}")) / F.when(span(c) > 0, span(c)).otherwise(1.0) for c in cols}).drop("_s")
+
+
+def robust_scale(train: DataFrame, df: DataFrame, cols: list[str]) -> DataFrame:
+    """Median 0 and distance of the quartiles 1, exact and fitted on ``train`` alone, all columns in the same two passes; where the
+    quartiles are equal the distance counts as 1."""
+    long = train.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in cols])))
+    q = exact_quantiles(long, ["name"], "x", {"q1": 0.25, "m": 0.5, "q3": 0.75})
+    stats = q.agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("m", (F.col("q3") - F.col("q1")).alias("iqr"))))).alias("s")).scalar()    # one entry a column
+    of = lambda c, part: F.try_element_at(F.col("_s"), F.lit(c))[part]
+    return df.withColumn("_s", stats).withColumns({c: (F.col(c) - of(c, "m")) / F.when(of(c, "iqr") > 0, of(c, "iqr")).otherwise(1.0) for c in cols}).drop("_s")
+
+
 # ---- regression ---------------------------------------------------------------------
 
 def regressors(label: str, trees: int = 100, seed: int = 42) -> dict:
