@@ -63,11 +63,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_class: int, id_
     return rows.select("text", "toxic"), share
 
 
+LEAST_ODDS = 6.0
+
+
 def mined_lexicon(sample: DataFrame, most: int = 256, least: int = 3) -> list[str]:
     """Words and beginnings that speak for a toxic label, best first, at most ``most``.
 
     Evidence is counted once for each pair of neighbouring words, so copies of a text do not count again; a key must pass
-    a likelihood-ratio test at a level that falls with the number of keys tested."""
+    a likelihood-ratio test at a level that falls with the number of keys tested, and its odds of standing in a toxic row must be
+    ``LEAST_ODDS`` times those of all evidence, a bound that can be met whatever share of the sample is toxic."""
     def run(texts, toxic):
         rows = set()
         for text, label in zip(texts, toxic):
@@ -89,7 +93,8 @@ def mined_lexicon(sample: DataFrame, most: int = 256, least: int = 3) -> list[st
     n = F.col("a") + F.col("b")
     term = lambda x, expected: F.when(x > 0, x * F.log(x / (n * expected))).otherwise(0.0)
     ratio = 2 * (term(F.col("a"), rate) + term(F.col("b"), 1 - rate))
-    good = counts.withColumn("ratio", ratio).where((F.col("a") / n > 2 * rate) & (F.col("a") / n > 0.5 * (1 + rate) - 0.1) & (F.col("ratio") > 2 * np.log(total.n) + 6))
+    odds = (F.col("a") + 0.5) / (F.col("b") + 0.5)
+    good = counts.withColumn("ratio", ratio).where((odds > LEAST_ODDS * total.a / total.b) & (F.col("ratio") > 2 * np.log(total.n) + 6))
     return [r.key for r in good.orderBy(F.desc("ratio"), "key").limit(most).collect()]
 
 

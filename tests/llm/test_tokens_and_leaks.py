@@ -148,15 +148,33 @@ def test_pseudonyms_of_odd_tables(spark, odd_docs):
     assert got.columns == ["doc_id", "text", "found"] and sorted(map(repr, (r.text for r in got.collect()))) == sorted(map(repr, (r.text for r in odd_docs.collect())))
 
 
-def test_toxicity_holds_out_and_finds(spark, tables):
-    docs, labels = tables("documents"), tables("labels")
+def test_toxicity_holds_out_and_finds(spark):
+    """Nine of ten held-out toxic documents, from all labels and from a sample with as many toxic rows as others."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held = lambda: F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    model = toxicity.fit(docs, labels.where(~held()))
-    got = toxicity.scores(docs, model).join(labels, "doc_id").collect()
-    assert got and all(0 <= r.score <= 1 for r in got)
-    assert sum(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in got) > 0
-    clean, toxic = [r.score for r in got if r.toxic == 0], [r.score for r in got if r.toxic == 1]
-    assert sum(s < 0.3 for s in clean) >= 0.97 * len(clean) and sum(s >= 0.3 for s in toxic) >= 0.6 * len(toxic)
+    n_toxic = labels.where(~held()).where("toxic = 1").count()
+    for rows_per_class in (6000, n_toxic):
+        model = toxicity.fit(docs, labels.where(~held()), rows_per_class=rows_per_class)
+        got = toxicity.scores(docs, model).join(labels.where(held()), "doc_id").collect()
+        assert all(0 <= r.score <= 1 for r in got) and all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in got)
+        clean, toxic = [r.score for r in got if r.toxic == 0], [r.score for r in got if r.toxic == 1]
+        assert len(toxic) > 10 and sum(s < 0.3 for s in clean) >= 0.97 * len(clean) and sum(s >= 0.3 for s in toxic) >= 0.9 * len(toxic)
+
+
+@pytest.mark.parametrize("share", [0.05, 0.3, 0.5, 0.7])
+def test_words_are_mined_at_every_share_of_toxic_rows(spark, share):
+    import random
+    rng = random.Random(9)
+    common, planted = ["".join(rng.choice("abcdeilnorst") for _ in range(6)) for _ in range(300)], ["grumblefog", "snarkwad", "blatherpus"]
+    rows = []
+    for i in range(1500):
+        toxic = int(i < 1500 * share)
+        words = [rng.choice(common) for _ in range(40)] + ([rng.choice(planted) for _ in range(3)] if toxic else [])
+        rng.shuffle(words)
+        rows.append((" ".join(words), toxic))
+    keys = toxicity.mined_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert all(any(k.rstrip("-") and w.startswith(k.rstrip("-")) for k in keys) for w in planted)
+    assert not set(keys) & set(common)
 
 
 def test_toxicity_of_odd_tables(spark, odd_docs):
