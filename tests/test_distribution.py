@@ -152,3 +152,33 @@ def test_results_do_not_depend_on_partitioning(spark, tables):
         a = sorted(str([round(x, 6) if isinstance(x, float) else x for x in row]) for row in op(r).collect())
         b = sorted(str([round(x, 6) if isinstance(x, float) else x for x in row]) for row in op(r.repartition(13, "MONTH")).collect())
         assert a == b
+
+
+def test_pairs_of_a_small_file_are_spread_over_tasks(spark):
+    from gridlight.operators.spatial import radius_join
+    points = spark.range(0, 400, 1, 1).select(F.col("id").alias("u"), (6.8 + F.col("id") % 20 * 0.01).alias("latitude"), (79.8 + F.col("id") % 19 * 0.01).alias("longitude"))
+    targets = points.select(F.col("u").alias("t"), F.col("latitude").alias("TRANSFORMER_LAT"), F.col("longitude").alias("TRANSFORMER_LON"))
+    pairs = radius_join(points, targets, 2000.0, point_id="u", target_id="t")
+    assert pairs.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_first_cells_of_a_dense_grid_are_narrow(spark):
+    from gridlight.operators import solar as SO
+    dense = spark.range(2500).select((6.0 + F.col("id") % 50 * 0.001).alias("g_lat"), (79.0 + F.floor(F.col("id") / 50) * 0.001).alias("g_lon"))
+    assert SO.first_step(dense, 0.05) <= 0.05 / 8
+    assert SO.first_step(dense.where((F.col("g_lat") < 6.0005) & (F.col("g_lon") < 79.0005)), 0.05) == 0.05 == SO.first_step(dense.limit(0), 0.05)
+    stacked = dense.limit(1).crossJoin(spark.range(100)).drop("id")    # points upon each other: narrower cells would not part them
+    assert SO.first_step(stacked, 0.05) == 0.05
+
+
+def test_costly_distance_is_worked_out_once_a_pair(spark):
+    from gridlight.functions import geo as G
+    from gridlight.operators.spatial import radius_join
+    points = spark.createDataFrame([(i, 6.8 + i % 7 * 0.006, 179.99 + i % 5 * 0.005 - (360 if i % 5 > 2 else 0)) for i in range(35)], "u int, latitude double, longitude double")
+    targets = spark.createDataFrame([(i, 6.81 + i % 4 * 0.01, -179.995 + i % 3 * 0.01) for i in range(12)], "t int, TRANSFORMER_LAT double, TRANSFORMER_LON double")
+    got = radius_join(points, targets, 2000.0, point_id="u", target_id="t", distance=G.geodesic_m)
+    every = points.crossJoin(targets).withColumn("d", G.geodesic_m(*[F.col(c) for c in ("latitude", "longitude", "TRANSFORMER_LAT", "TRANSFORMER_LON")]))
+    found = {(r.u, r.t): round(r.distance_m, 6) for r in got.collect()}
+    assert found == {(r.u, r.t): round(r.d, 6) for r in every.where("d <= 2000").collect()} and found
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == every._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
