@@ -106,6 +106,25 @@ def score_bound(distance_m: float, radius_m: float, weights: dict) -> float:
     return weights["geographic"] * max(0.0, 1 - distance_m / radius_m) + sum(w for k, w in weights.items() if k != "geographic")
 
 
+def may_enter(pairs: DataFrame, radius_m: float, weights: dict) -> DataFrame:
+    """The pairs that may still score as much as ``_kth``, the score to beat (null: none yet).
+
+    Distance and technical score are known, the rest counts at its most but for the magnitude, whose two sums of the twelve
+    months (``_own`` are the user's) cost little; users with a month without a value keep every pair.  The sums come from a
+    generator, as the filter would otherwise copy them into the join as often as it names them.
+    """
+    both = [f"get(net_by_month, {i}) IS NULL OR get(_own, {i}) IS NULL" for i in range(12)]
+    total = lambda of: " + ".join(f"IF({b}, 0.0D, {of.format(i=i)})" for i, b in enumerate(both))
+    sums = F.inline(F.expr(f"array(named_struct('_bn', {total('1.0D')}, '_bu', {total('get(_own, {i})')}, '_bp', {total('get(net_by_month, {i})')}))"))
+    ratio = F.expr("IF(_bp > 0, try_divide(_bu, _bp), 1.0D)")
+    pattern = F.when(F.col("_bn") < 2, 0.5).otherwise(magnitude_score(ratio) * 0.8 + 0.2)
+    technical = 0.7 + F.when(F.col("user_phase") == F.col("account_phase"), 0.2).otherwise(0.0) + 0.1 * F.col("data_quality_score")
+    most = (F.greatest(F.lit(0.0), 1 - F.col("distance_m") / radius_m) * weights["geographic"] + pattern * weights["consumption_pattern"]
+            + technical * weights["technical"] + weights["seasonal_compatibility"])
+    held = pairs.select("*", sums).where(F.col("_kth").isNull() | F.col("_gaps") | F.coalesce(most + 1e-6 >= F.col("_kth"), F.lit(True)))
+    return held.drop("_bn", "_bu", "_bp")
+
+
 def with_first_ring(users: DataFrame, households: DataFrame, radius_m: float, enough: int) -> DataFrame:
     """Adds ``_ring``, the number of the ring to begin with, from how many comparable households live in the user's cell."""
     match = ["HAS_SOLAR", "CAL_TARIFF"]
@@ -123,7 +142,7 @@ def similar_households(users: DataFrame, profiles: DataFrame, k: int = C.TOP_SIM
 
     Threshold search: households are scored ring by ring, nearest first, each ring joined on cells of its own width.  A user
     whose ``k``-th score beats the bound of all that lies farther out stops there; the others go on to the next ring, where only
-    what is beyond the last one is scored.  In a crowded city that leaves a small part of the pairs within the radius; where
+    what is beyond the last one is scored, and of that only pairs that may beat the user's ``k``-th score (``may_enter``).  In a crowded city that leaves a small part of the pairs within the radius; where
     households are few a user begins with the whole radius at once.
 
     The score limit is applied after the ranking: the best ``k`` at or above the
@@ -133,26 +152,30 @@ def similar_households(users: DataFrame, profiles: DataFrame, k: int = C.TOP_SIM
     if abs(sum(weights.values()) - 1.0) > 1e-5:
         raise ValueError("similarity weights must sum to 1")
     households = cut_lineage(candidate_profiles(profiles))
-    everyone = cut_lineage(with_first_ring(user_vectors(users), households, radius_m, PER_RESULT * k))
+    own = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.get(F.filter("user_months", lambda e: e["m"] == m), 0)["u"])
+    vectors = user_vectors(users).withColumns({"_own": own, "_gaps": F.coalesce(F.exists("user_months", lambda e: e["u"].isNull()), F.lit(True))})
+    everyone = cut_lineage(with_first_ring(vectors, households, radius_m, PER_RESULT * k))
     begin = {r[0] for r in everyone.select("_ring").distinct().collect()}    # at most one row a ring
     order = [F.round("score", 9).desc(), F.col("account_id")]
     done, going, kept = [], None, None
     for i, part in enumerate(RINGS):
-        active = everyone.where(F.col("_ring") == i).withColumn("_inner", F.lit(-1.0)) if i in begin else None
+        active = everyone.where(F.col("_ring") == i).withColumns({"_inner": F.lit(-1.0), "_kth": F.lit(None).cast("double")}) if i in begin else None
         if going is not None:
             active = going if active is None else active.unionByName(going)
         if active is None:
             continue
         pairs = radius_join(active, households, part * radius_m, point_id="user_id", target_id="account_id", target=("CUSTOMER_LAT", "CUSTOMER_LON"), match=["HAS_SOLAR", "CAL_TARIFF"])
-        scored = similarity_scores(pairs.where(F.col("distance_m") > F.col("_inner")), radius_m, weights).select(*PAIR_COLUMNS)
+        scored = similarity_scores(may_enter(pairs.where(F.col("distance_m") > F.col("_inner")), radius_m, weights), radius_m, weights).select(*PAIR_COLUMNS)
         best = top_k(scored if kept is None else scored.unionByName(kept), ["user_id"], order, k)
         if part == RINGS[-1]:
             done.append(best)
             break
         best = cut_lineage(best)
-        stop = best.where((F.col("rank") == k) & (F.round("score", 9) > score_bound(part * radius_m, radius_m, weights) + 1e-9)).select("user_id")
+        kth = best.where(F.col("rank") == k).select("user_id", F.round("score", 9).alias("_kth"))
+        stop = kth.where(F.col("_kth") > score_bound(part * radius_m, radius_m, weights) + 1e-9).select("user_id")
         done.append(best.join(stop, "user_id", "left_semi"))
-        going = cut_lineage(active.join(stop, "user_id", "left_anti").withColumn("_inner", F.lit(part * radius_m)))
+        going = active.drop("_kth").join(stop, "user_id", "left_anti").join(kth, "user_id", "left")
+        going = cut_lineage(going.withColumn("_inner", F.lit(part * radius_m)))
         kept = best.join(stop, "user_id", "left_anti").drop("rank")
         if going.isEmpty():
             going = kept = None

@@ -346,3 +346,14 @@ def test_bootstrap_draws_are_independent_of_the_keys_remainder(spark, tables):
     finally:
         ml.bootstrap_interval = original
     assert called["draws"] == 100
+
+
+def test_pairs_that_cannot_enter_are_not_scored(spark):
+    """Households far from the user's level go, whatever else is alike; without a score to beat, or with a gap, all stay."""
+    schema = "user_id int, user_phase string, account_phase string, data_quality_score double, distance_m double, net_by_month array<double>, _own array<double>, _kth double, _gaps boolean"
+    own = [None] * 8 + [300.0, 310.0, 320.0, None]
+    alike, other = [310.0] * 12, [900.0] * 12
+    rows = [(1, "SP", "SP", 1.0, 100.0, alike, own, 0.8, False), (2, "SP", "SP", 1.0, 100.0, other, own, 0.8, False), (3, "SP", "SP", 1.0, 100.0, other, own, None, False),
+            (4, "SP", "SP", 1.0, 100.0, other, own, 0.8, True), (5, "SP", "SP", 1.0, 100.0, [None] * 12, own, 0.8, False), (6, "SP", "SP", 1.0, 100.0, [None] * 12, own, 0.6, False)]
+    held = SI.may_enter(spark.createDataFrame(rows, schema), 2000.0, C.SIMILARITY_WEIGHTS)
+    assert sorted(r.user_id for r in held.collect()) == [1, 3, 4, 6]
