@@ -326,11 +326,14 @@ def prediction_intervals(predictions: DataFrame, by: list[str], keys: list[str],
     pool = running_totals(histogram(rows, by, "_res"), by, ["n"])
     ranked = pool.select(*by, F.explode(F.sequence(F.col("cum_n") - F.col("n"), F.col("cum_n") - 1)).alias("_rank"), F.col("v").alias("_value"))
     totals = rows.where(F.col("_res").isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    bits = lambda d: F.conv(F.substring(F.md5(F.concat_ws("|", *keys, d).cast("binary")), 1, 13), 16, 10).cast("double")
-    drawn = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: F.floor(bits(d) / 2.0 ** 52 * F.col("_n"))))
+    # drawn numbers are sorted as the hexadecimal digits they are; only those that decide become ranks
+    digits = lambda key, d: F.substring(F.md5(F.concat_ws("|", key, d.cast("string")).cast("binary")), 1, 13)
+    key = F.when(F.coalesce(*[F.col(k).cast("string") for k in keys]).isNotNull(), F.concat_ws("|", *keys))    # concat_ws leaves out nulls
+    drawn = F.get(F.transform(F.array(key), lambda k: F.sort_array(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: digits(k, d)))), 0)
+    rank = lambda i: F.floor(F.conv(F.get("_drawn", i), 16, 10).cast("double") / 2.0 ** 52 * F.col("_n"))
     ends = {"low": (1 - level) / 2 * (draws - 1), "high": (1 + level) / 2 * (draws - 1)}
     places = [(name, side(at), share) for name, at in ends.items() for side, share in ((math.floor, 1 - at % 1), (math.ceil, at % 1))]
-    wanted = F.array(*[F.struct(F.lit(name).alias("end"), F.get("_drawn", i).alias("_rank"), F.lit(share).alias("share")) for name, i, share in places])
+    wanted = F.array(*[F.struct(F.lit(name).alias("end"), rank(i).alias("_rank"), F.lit(share).alias("share")) for name, i, share in places])
     asked = same(rows, totals, by).withColumn("_drawn", drawn).select(*predictions.columns, F.inline(wanted))
     met = same(asked, ranked, [*by, "_rank"])
     part = lambda name: F.sum(F.when(F.col("end") == name, F.col("share") * F.col("_value")))

@@ -26,6 +26,17 @@ def test_intervals_are_quantiles_of_the_drawn_residuals(spark):
     assert ml.prediction_intervals(df.limit(0), ["g"], ["id"]).count() == 0
 
 
+def test_draws_are_sorted_without_a_comparator_of_lambdas(spark):
+    df = spark.createDataFrame([(None, None, 1.0, 2.0), (1, None, 3.0, 5.0), (2, "", 4.0, 4.5)], "id long, s string, y_pred double, y_true double")
+    out = ml.prediction_intervals(df.withColumn("g", F.lit(1)), ["g"], ["id", "s"], draws=40)
+    pool = [0.5, 1.0, 2.0]
+    for r in out.collect():
+        head = [str(k) for k in (r.id, r.s) if k is not None]
+        drawn = [pool[int(int(hashlib.md5("|".join([*head, str(d)]).encode()).hexdigest()[:13], 16) / 2 ** 52 * 3)] for d in range(40)]
+        assert (r.low, r.high) == (pytest.approx(r.y_pred + np.quantile(drawn, 0.025)), pytest.approx(r.y_pred + np.quantile(drawn, 0.975)))
+    assert "array_sort(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def density(t, v):
     return math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(v * math.pi) * (1 + t * t / v) ** (-(v + 1) / 2)
 
