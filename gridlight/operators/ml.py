@@ -334,7 +334,9 @@ def prediction_intervals(predictions: DataFrame, by: list[str], keys: list[str],
     ends = {"low": (1 - level) / 2 * (draws - 1), "high": (1 + level) / 2 * (draws - 1)}
     places = [(name, side(at), share) for name, at in ends.items() for side, share in ((math.floor, 1 - at % 1), (math.ceil, at % 1))]
     wanted = F.array(*[F.struct(F.lit(name).alias("end"), rank(i).alias("_rank"), F.lit(share).alias("share")) for name, i, share in places])
-    asked = same(rows, totals, by).withColumn("_drawn", drawn).select(*predictions.columns, F.inline(wanted))
+    # a few megabytes of rows hold millions of draws, so they are dealt over all tasks
+    dealt = same(rows, totals, by).repartition(int(predictions.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    asked = dealt.withColumn("_drawn", drawn).select(*predictions.columns, F.inline(wanted))
     met = same(asked, ranked, [*by, "_rank"])
     part = lambda name: F.sum(F.when(F.col("end") == name, F.col("share") * F.col("_value")))
     out = met.groupBy(*predictions.columns).agg(part("low").alias("_low"), part("high").alias("_high"))
