@@ -32,14 +32,14 @@ TEXT_HASH = "md5(cast(coalesce({0}, '') as binary))"
 
 
 def sketches(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(16-bit min-hashes of every text, number of shingles)."""
+    """(32-bit min-hashes of every text, number of shingles)."""
     hashes, ends = shingles(texts, size)
     counts = np.diff(ends)
-    out = np.zeros((len(texts), POSITIONS), np.uint16)
+    out = np.zeros((len(texts), POSITIONS), np.uint32)
     full = np.flatnonzero(counts)
     if len(full):
         for j, factor in enumerate(FACTORS):
-            out[full, j] = (np.minimum.reduceat(hashes * factor, ends[full]) >> np.uint64(20)) & np.uint64(0xFFFF)
+            out[full, j] = (np.minimum.reduceat(hashes * factor, ends[full]) >> np.uint64(20)) & np.uint64(0xFFFFFFFF)
     return out, counts
 
 
@@ -59,25 +59,38 @@ def matrix(column: pa.Array, width: int, kind) -> np.ndarray:
     return np.frombuffer(data, kind).reshape(-1, width)
 
 
+def planes(sketch: np.ndarray) -> np.ndarray:
+    """Sketches as bytes: the low bytes of all positions first, then the next ones."""
+    return np.ascontiguousarray(sketch, "<u4").view(np.uint8).reshape(-1, POSITIONS, 4).transpose(0, 2, 1).reshape(-1, 4 * POSITIONS)
+
+
+def from_planes(column: pa.Array) -> np.ndarray:
+    rows = matrix(column, 4 * POSITIONS, np.uint8).reshape(-1, 4, POSITIONS).transpose(0, 2, 1)
+    return np.ascontiguousarray(rows).view("<u4").reshape(-1, POSITIONS)
+
+
 def texts_with_sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """One row for each different text that has words: id, text_hash, doc (smallest id), n_copies, n shingles,
-    sketch (16 bits a position) and brief (its low bytes)."""
+    sketch (``planes`` of 32 bits a position; with fewer, unlike texts share tokens by chance as soon as there are many) and
+    brief (its low bytes)."""
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("doc"), F.expr(TEXT_HASH.format(f"`{text_col}`")).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sketch, counts = sketches(batch.column(2).to_pylist(), size)
-            keep = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(counts[keep], pa.int64()), packed(sketch[keep]), packed(sketch[keep].astype(np.uint8))],
-                                             names=["doc", "text_hash", "n", "sketch", "brief"])
-
-    made = written(rows.mapInArrow(run, f"doc {kind.simpleString()}, text_hash string, n bigint, sketch binary, brief binary"), "sketches")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):    # the hashes of this many texts are in memory at once
+                batch = whole.slice(at, 1024)
+                sketch, counts = sketches(batch.column(2).to_pylist(), size)
+                keep = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(counts[keep], pa.int64()), packed(planes(sketch[keep]))],
+                                                 names=["doc", "text_hash", "n", "sketch"])
+
+    made = written(rows.mapInArrow(run, f"doc {kind.simpleString()}, text_hash string, n bigint, sketch binary"), "sketches")
     folded = made.groupBy("text_hash").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n_copies"))
     # the sketch comes back with the row that stands for its text; rows repeated in id and text are folded here
     kept = made.withColumnRenamed("doc", "of").join(folded, "text_hash").where(F.col("of").eqNullSafe(F.col("doc"))).drop("of")
-    once = kept.groupBy("text_hash").agg(*[F.first(c).alias(c) for c in ("doc", "n_copies", "n", "sketch", "brief")])
-    return written(once.withColumn("id", F.monotonically_increasing_id()), "texts")
+    once = kept.groupBy("text_hash").agg(*[F.first(c).alias(c) for c in ("doc", "n_copies", "n", "sketch")])
+    return written(once.withColumn("id", F.monotonically_increasing_id()), "texts").withColumn("brief", F.substring("sketch", 1, POSITIONS))
 
 
 def children(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -87,7 +100,7 @@ def children(nodes: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             path = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
-            tokens = mixed(matrix(batch.column(3), POSITIONS, np.uint16).astype(np.uint64) + PLACES)
+            tokens = mixed(from_planes(batch.column(3)).astype(np.uint64) + PLACES)
             below = mixed(tokens ^ mixed(path)[:, None])
             row, place = np.nonzero(mixed(below) < limit)
             yield arrow([below[row, place].view(np.int64), batch.column(1).take(pa.array(row)), batch.column(2).take(pa.array(row))], ["path", "id", "was"], [pa.int64()] * 3)

@@ -62,6 +62,15 @@ def by_hand(rows):
     return links, {t: top(t) for t in texts}
 
 
+def test_unlike_texts_share_no_tokens():
+    texts = [" ".join(prose(30)) for _ in range(2000)]
+    sketch, _ = near.sketches(texts, 5)
+    assert sum(len(texts) - len(np.unique(column)) for column in sketch.T) <= 2
+    packed = near.packed(near.planes(sketch))
+    assert (near.from_planes(packed) == sketch).all()
+    assert (near.matrix(near.pa.array([x[:near.POSITIONS] for x in packed.to_pylist()]), near.POSITIONS, np.uint8) == sketch.astype(np.uint8)).all()
+
+
 @pytest.mark.parametrize("small,block", [(1024, 1024), (8, 16)])
 def test_classes_and_links_by_brute_force(spark, small, block):
     rows = near_copies()
