@@ -254,15 +254,17 @@ def sample_weight(y: Column) -> Column:
     return F.when(y < 200, 3.0).when(y < 400, 2.0).otherwise(1.0)
 
 
-def fit_horizons(frame: DataFrame, lookback: int, steps: list[int], trees: int = 20, seed: int = 42) -> dict[int, PipelineModel]:
-    """A boosted model per forecast step, small consumers weighted up."""
+def fit_horizons(frame: DataFrame, lookback: int, steps: list[int], trees: int = 20, seed: int = 42, parallelism: int = 3) -> dict[int, PipelineModel]:
+    """A boosted model per forecast step, small consumers weighted up.  The driver only starts fits, ``parallelism`` at a time."""
     cols = [*[f"x{i}" for i in range(lookback)], "month_sin", "month_cos"]
-    out = {}
-    for h in steps:
+
+    def fit(h: int) -> PipelineModel:
         data = frame.withColumn("label", F.get("y", h - 1)).withColumn("w", sample_weight(F.get("y", h - 1)))
         gbt = GBTRegressor(featuresCol="features", labelCol="label", weightCol="w", maxIter=trees, maxDepth=4, seed=seed)
-        out[h] = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), gbt]).fit(data)
-    return out
+        return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), gbt]).fit(data)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return dict(zip(steps, pool.map(fit, steps)))
 
 
 def predict_horizons(models: dict[int, PipelineModel], frame: DataFrame) -> DataFrame:
