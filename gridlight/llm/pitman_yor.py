@@ -37,11 +37,14 @@ STEPS, WAYS = 1024, 128
 
 
 def pack(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
+    """The numbers' first bytes, then their second bytes, and so on: the high bytes of small numbers take no room."""
+    x = np.ascontiguousarray(x)
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
 
 
 def unpack(raw: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(raw), kind)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def messages(rows: list[tuple]) -> pa.RecordBatch:
@@ -77,7 +80,7 @@ def short(words: np.ndarray) -> np.ndarray:
 
 
 def deltas(x: np.ndarray) -> bytes:
-    """Ascending numbers, packed as their differences."""
+    """Numbers of 40 bits, most of them ascending, packed as their differences."""
     return pack(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :5].T)
 
 
@@ -85,7 +88,7 @@ def from_deltas(raw: bytes) -> np.ndarray:
     parts = unpack(raw, np.uint8).reshape(5, -1)
     out = np.zeros((parts.shape[1], 8), np.uint8)
     out[:, :5] = parts.T
-    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64) & np.uint64((1 << 40) - 1)    # a step down is one around 2 ** 40
 
 
 def share_of(context: np.uint64, bucket: int, parts: int) -> np.ndarray:
@@ -312,7 +315,7 @@ def log10_scores(docs: DataFrame, learns: Column, discounts: tuple[float, float]
         for r, length in zip(rows, lengths):    # back to the blocks, in the order of their pairs
             entry = of_entry[at:at + length]
             places, inside = np.unique(of[entry], return_inverse=True)
-            out.append((r[2], 2, bucket, pack(count[entry].astype(np.uint32)), pack(np.stack([t[entry] for t in tables])), pack(inside.astype(np.uint32)),
+            out.append((r[2], 2, bucket, pack(count[entry].astype(np.uint32)), pack(np.stack([t[entry] for t in tables])), pack(np.diff(inside.astype(np.uint32), prepend=np.uint32(0))),
                         pack(np.stack([x[places] for x in totals_of]).astype(np.uint32))))
             at += length
         used = count > 0
@@ -421,7 +424,7 @@ def log10_scores(docs: DataFrame, learns: Column, discounts: tuple[float, float]
                     at = by_pair[r[2]]
                     c[at] = unpack(r[3], np.uint32)
                     t[:, at] = unpack(r[4], np.uint32).reshape(samples, -1)
-                    inside, place = unpack(r[5], np.uint32), unpack(r[6], np.uint32).reshape(samples, -1)
+                    inside, place = np.cumsum(unpack(r[5], np.uint32), dtype=np.uint32), unpack(r[6], np.uint32).reshape(samples, -1)
                     context = np.zeros(place.shape[1], np.int64)
                     context[inside] = pu[at]
                     seen[:, context] = place

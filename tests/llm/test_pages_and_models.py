@@ -135,6 +135,23 @@ def test_language_model(spark, tables):
     assert gain[True] > 0 and gain[False] > gain[True]
 
 
+def test_packed_numbers():
+    numbers = np.random.default_rng(4)
+    words = numbers.integers(0, 1 << 40, 1000, dtype=np.uint64)    # a text's begin stands after greater words
+    assert (pitman_yor.from_deltas(pitman_yor.deltas(words)) == words).all()
+    for kind in (np.uint8, np.uint32, np.uint64, np.float32):
+        x = numbers.integers(0, 200, 10_000).astype(kind)
+        assert (pitman_yor.unpack(pitman_yor.pack(x), kind) == x).all() and len(pitman_yor.unpack(pitman_yor.pack(x[:0]), kind)) == 0
+    assert len(pitman_yor.pack(numbers.integers(0, 5000, 10_000).astype(np.uint32))) < 18_500    # of 40,000
+
+
+def test_first_words_share_one(spark):
+    """Texts of one word each differ, so their probabilities add up to one at most."""
+    docs = spark.createDataFrame([(i, f"w{i % 700}") for i in range(2000)], "doc_id bigint, text string")
+    got = {r.doc_id % 700: 10**r.score for r in pitman_yor.log10_scores(docs, F.lit(True)).collect()}
+    assert len(got) == 700 and sum(got.values()) < 1
+
+
 def test_probabilities_add_up(spark):
     """Over the known words, the end and one unknown word the probabilities at a text's begin add up to one: score each word
     in front of a tail that is always the same."""
