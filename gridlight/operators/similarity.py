@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from gridlight import constants as C
 from gridlight.functions import numeric as N
-from gridlight.operators.spatial import radius_join, target_cells, top_k
+from gridlight.functions.geo import haversine_m
+from gridlight.operators import search
+from gridlight.operators.skew import dealt, shuffle_tasks
+from gridlight.operators.spatial import covering_cells, radius_join, target_cells, top_k
 from gridlight.session import cut_lineage
 
 
@@ -97,15 +99,6 @@ PAIR_COLUMNS = ["user_id", "account_id", "score", "distance_m", "last_user_month
                 "net_by_month"]
 
 
-# Radii at which a user may stop, as parts of the whole one, and how many candidates the first of them should hold per result.
-RINGS, PER_RESULT = (0.125, 0.25, 0.5, 1.0), 8
-
-
-def score_bound(distance_m: float, radius_m: float, weights: dict) -> float:
-    """No household at ``distance_m`` or farther scores more than this."""
-    return weights["geographic"] * max(0.0, 1 - distance_m / radius_m) + sum(w for k, w in weights.items() if k != "geographic")
-
-
 def may_enter(pairs: DataFrame, radius_m: float, weights: dict) -> DataFrame:
     """The pairs that may still score as much as ``_kth``, the score to beat (null: none yet).
 
@@ -125,25 +118,43 @@ def may_enter(pairs: DataFrame, radius_m: float, weights: dict) -> DataFrame:
     return held.drop("_bn", "_bu", "_bp")
 
 
-def with_first_ring(users: DataFrame, households: DataFrame, radius_m: float, enough: int) -> DataFrame:
-    """Adds ``_ring``, the number of the ring to begin with, from how many comparable households live in the user's cell."""
-    match = ["HAS_SOLAR", "CAL_TARIFF"]
-    cells = target_cells(households, "CUSTOMER_LAT", "CUSTOMER_LON", radius_m).groupBy("_cell_y", "_cell_x", *match).agg(F.count(F.lit(1)).alias("_near"))
-    placed = target_cells(users, "latitude", "longitude", radius_m).join(cells, ["_cell_y", "_cell_x", *match], "left")
-    ring = F.lit(len(RINGS) - 1)
-    for i in reversed(range(len(RINGS) - 1)):
-        ring = F.when(F.col("_near") * (math.pi * RINGS[i] ** 2) >= enough, i).otherwise(ring)
-    return placed.withColumn("_ring", ring).drop("_cell_y", "_cell_x", "_near")
+# Rows of a group that one task looks at together, and groups for every task, so that large and small ones even out.
+USERS_PER_SHARD, HOUSEHOLDS_PER_SHARD, SPREAD = 32_768, 65_536, 4
+USER_COLUMNS = ["user_id", "latitude", "longitude", "user_phase", "user_months", "last_user_month"]
+HOUSEHOLD_COLUMNS = ["account_id", "CUSTOMER_LAT", "CUSTOMER_LON", "account_phase", "annual_total", "annual_average", "household_median",
+                     "net_by_month", "data_quality_score"]
+MATCH = ["HAS_SOLAR", "CAL_TARIFF"]
+
+
+def candidate_pairs(users: DataFrame, households: DataFrame, k: int, min_score: float, radius_m: float, weights: dict) -> DataFrame:
+    """Pairs among which are the ``k`` best of every user: users and households of a cell and kind meet in one task, block by
+    block (``search.candidates``).  Users sit in one cell each; households, of which there are fewer, go to all that their circle touches."""
+    present = lambda df, lat, lon: df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(MATCH[0]).isNotNull() & F.col(MATCH[1]).isNotNull())
+    left = target_cells(present(users, "latitude", "longitude"), "latitude", "longitude", radius_m)
+    right = covering_cells(present(households, "CUSTOMER_LAT", "CUSTOMER_LON"), "CUSTOMER_LAT", "CUSTOMER_LON", F.lit(float(radius_m)), radius_m)
+    kinds = {f.name: f.dataType for f in left.schema.fields}
+    right = right.withColumns({c: F.col(c).cast(kinds[c]) for c in MATCH})
+    left, right, on = dealt(left, right, ["_cell_y", "_cell_x", *MATCH], "user_id", "account_id",
+                            USERS_PER_SHARD, HOUSEHOLDS_PER_SHARD, SPREAD * shuffle_tasks(users))
+
+    def met(u: pa.Table, h: pa.Table) -> pa.Table:
+        i, j = search.candidates(u, h, k, min_score, radius_m, weights)
+        u, h = u.select(USER_COLUMNS).take(i), h.select(HOUSEHOLD_COLUMNS).take(j)
+        return pa.table([*u.columns, *h.columns], names=[*USER_COLUMNS, *HOUSEHOLD_COLUMNS])
+
+    schema = StructType([*[left.schema[c] for c in USER_COLUMNS], *[right.schema[c] for c in HOUSEHOLD_COLUMNS]])
+    pairs = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(met, schema)
+    distance = haversine_m(*[F.col(c) for c in ("latitude", "longitude", "CUSTOMER_LAT", "CUSTOMER_LON")])
+    return pairs.withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m)
 
 
 def similar_households(users: DataFrame, profiles: DataFrame, k: int = C.TOP_SIMILAR, min_score: float = C.MIN_SIMILARITY,
                        radius_m: float = C.SIMILARITY_RADIUS_M, weights: dict = C.SIMILARITY_WEIGHTS) -> DataFrame:
     """The ``k`` most similar households of every user, partitioned by user for what follows.
 
-    Threshold search: households are scored ring by ring, nearest first, each ring joined on cells of its own width.  A user
-    whose ``k``-th score beats the bound of all that lies farther out stops there; the others go on to the next ring, where only
-    what is beyond the last one is scored, and of that only pairs that may beat the user's ``k``-th score (``may_enter``).  In a crowded city that leaves a small part of the pairs within the radius; where
-    households are few a user begins with the whole radius at once.
+    Bounds of blocks leave a small part of the pairs to be looked at (``candidate_pairs``), and only those that may be among
+    the best are scored.  Users with a month without a value, and rows with values that are no plain numbers, are rare; their scores
+    have no bound, so all their pairs in the radius are scored.
 
     The score limit is applied after the ranking: the best ``k`` at or above the
     limit are the best ``k`` overall that pass it, and a filter placed before the
@@ -151,36 +162,22 @@ def similar_households(users: DataFrame, profiles: DataFrame, k: int = C.TOP_SIM
     """
     if abs(sum(weights.values()) - 1.0) > 1e-5:
         raise ValueError("similarity weights must sum to 1")
-    households = cut_lineage(candidate_profiles(profiles))
-    own = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.get(F.filter("user_months", lambda e: e["m"] == m), 0)["u"])
-    vectors = user_vectors(users).withColumns({"_own": own, "_gaps": F.coalesce(F.exists("user_months", lambda e: e["u"].isNull()), F.lit(True))})
-    everyone = cut_lineage(with_first_ring(vectors, households, radius_m, PER_RESULT * k))
-    begin = {r[0] for r in everyone.select("_ring").distinct().collect()}    # at most one row a ring
-    order = [F.round("score", 9).desc(), F.col("account_id")]
-    done, going, kept = [], None, None
-    for i, part in enumerate(RINGS):
-        active = everyone.where(F.col("_ring") == i).withColumns({"_inner": F.lit(-1.0), "_kth": F.lit(None).cast("double")}) if i in begin else None
-        if going is not None:
-            active = going if active is None else active.unionByName(going)
-        if active is None:
-            continue
-        pairs = radius_join(active, households, part * radius_m, point_id="user_id", target_id="account_id", target=("CUSTOMER_LAT", "CUSTOMER_LON"), match=["HAS_SOLAR", "CAL_TARIFF"])
-        scored = similarity_scores(may_enter(pairs.where(F.col("distance_m") > F.col("_inner")), radius_m, weights), radius_m, weights).select(*PAIR_COLUMNS)
-        best = top_k(scored if kept is None else scored.unionByName(kept), ["user_id"], order, k)
-        if part == RINGS[-1]:
-            done.append(best)
-            break
-        best = cut_lineage(best)
-        kth = best.where(F.col("rank") == k).select("user_id", F.round("score", 9).alias("_kth"))
-        stop = kth.where(F.col("_kth") > score_bound(part * radius_m, radius_m, weights) + 1e-9).select("user_id")
-        done.append(best.join(stop, "user_id", "left_semi"))
-        going = active.drop("_kth").join(stop, "user_id", "left_anti").join(kth, "user_id", "left")
-        going = cut_lineage(going.withColumn("_inner", F.lit(part * radius_m)))
-        kept = best.join(stop, "user_id", "left_anti").drop("rank")
-        if going.isEmpty():
-            going = kept = None
-    columns = [*PAIR_COLUMNS, "rank"]
-    if not done:    # no users
-        done = [top_k(similarity_scores(household_pairs(users.limit(0), profiles, radius_m), radius_m, weights).select(*PAIR_COLUMNS), ["user_id"], order, k)]
-    found = reduce(DataFrame.unionByName, [d.select(*columns) for d in done])
-    return found.where(F.col("score") >= min_score)
+    no_number = lambda x: ~F.coalesce(F.abs(x) < 1e100, F.lit(False))
+    odd_user = F.coalesce(F.exists("user_months", lambda e: no_number(e["u"])), F.lit(True))
+    odd_household = no_number(F.col("data_quality_score")) | F.exists("net_by_month", lambda x: x.isNotNull() & no_number(x))
+    # a small file of many users is one task's, so they are dealt out first
+    dealt_users = users.select("user_id", "latitude", "longitude", "has_solar", "tariff", "phase", "consumption_months").repartition(shuffle_tasks(users))
+    everyone = cut_lineage(user_vectors(dealt_users).withColumn("_odd", odd_user))
+    households = cut_lineage(candidate_profiles(profiles).withColumn("_odd", F.coalesce(odd_household, F.lit(True))))
+    odd, plain = lambda df: df.where("_odd").drop("_odd"), lambda df: df.where("NOT _odd").drop("_odd")
+    found = candidate_pairs(plain(everyone), plain(households), k, min_score, radius_m, weights)
+    if odd(everyone).isEmpty() and odd(households).isEmpty():
+        rest = found.sparkSession.createDataFrame([], found.schema)
+    else:
+        whole = lambda u, h: radius_join(u, h, radius_m, point_id="user_id", target_id="account_id", target=("CUSTOMER_LAT", "CUSTOMER_LON"), match=MATCH)
+        rest = whole(odd(everyone), households.drop("_odd")).unionByName(whole(plain(everyone), odd(households)))
+        own = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.get(F.filter("user_months", lambda e: e["m"] == m), 0)["u"])
+        rest = may_enter(rest.withColumns({"_own": own, "_gaps": F.lit(False), "_kth": F.lit(None).cast("double")}), radius_m, weights)
+    scored = [similarity_scores(pairs, radius_m, weights).select(*PAIR_COLUMNS) for pairs in (found, rest)]
+    best = top_k(scored[0].unionByName(scored[1]), ["user_id"], [F.round("score", 9).desc(), F.col("account_id")], k)
+    return best.where(F.col("score") >= min_score)

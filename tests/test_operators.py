@@ -357,3 +357,31 @@ def test_pairs_that_cannot_enter_are_not_scored(spark):
             (4, "SP", "SP", 1.0, 100.0, other, own, 0.8, True), (5, "SP", "SP", 1.0, 100.0, [None] * 12, own, 0.8, False), (6, "SP", "SP", 1.0, 100.0, [None] * 12, own, 0.6, False)]
     held = SI.may_enter(spark.createDataFrame(rows, schema), 2000.0, C.SIMILARITY_WEIGHTS)
     assert sorted(r.user_id for r in held.collect()) == [1, 3, 4, 6]
+
+
+def test_block_search_keeps_the_best_pairs(spark):
+    """Blocks of many levels, gaps, missing months, equal scores and odd values: the same ranks as by scoring every pair, from few pairs."""
+    import random
+    from gridlight.operators.spatial import top_k
+    rng = random.Random(11)
+    month = lambda level, some: {m: {"net_consumption": level + rng.choice([-20.0, 0.0, 15.0]) * (m % 3)} for m in some}
+    homes = []
+    for a in range(3000):
+        some = range(1, 13) if a % 9 else rng.sample(range(1, 13), 7)
+        level = rng.choice([-40.0, 0.0, 150.0, 200.0, 210.0, 400.0])
+        homes.append((a, 6.9 + rng.uniform(-0.03, 0.03), 79.9 + rng.uniform(-0.03, 0.03), rng.choice([0, 1, None]), "D1", rng.choice(["SP", "TP", None]), len(some), rng.choice([0, 3]), 1.0, 1.0, 1.0, month(level, some)))
+    homes.append((9001, 6.9, 79.9, 0, "D1", "SP", 12, 0, 1.0, 1.0, 1.0, month(float("nan"), range(1, 13))))
+    schema = "account_id long, CUSTOMER_LAT double, CUSTOMER_LON double, HAS_SOLAR int, CAL_TARIFF string, PHASE string, months_with_data int, low_months int, annual_total double, annual_average double, household_median double, monthly_pattern map<int,struct<net_consumption:double>>"
+    profiles = spark.createDataFrame(homes, schema)
+    asked = [(u, 6.9 + rng.uniform(-0.03, 0.03), 79.9 + rng.uniform(-0.03, 0.03), {m: rng.choice([150.0, 205.0, 390.0]) + 7.0 * (m % 2) for m in rng.choice([(9, 10, 11), (1,), (3, 4), (9, 10, 11), ()])}, "D1", "SP", u % 2) for u in range(150)]
+    asked += [(150, 6.9, 79.9, {9: None, 10: 200.0}, "D1", "SP", 0), (151, 6.9, 79.9, {9: float("inf")}, "D1", "SP", 0), (152, 6.9, 79.9, None, "D1", "SP", 0), (153, None, 79.9, {9: 200.0}, "D1", "SP", 0), (None, 6.9, 79.9, {9: 200.0}, "D1", "SP", 0)]
+    u = users(spark, asked + asked[:3])
+    every = SI.similarity_scores(SI.household_pairs(u, profiles)).cache()
+    want = top_k(every, ["user_id"], [F.round("score", 9).desc(), F.col("account_id")], 10).where("score >= 0.4")
+    key = lambda df: sorted(str((r.user_id, r["rank"], r.account_id, round(r.score, 9))) for r in df.collect())
+    assert key(SI.similar_households(u, profiles)) == key(want) and {r.user_id for r in want.collect()} >= {150, 151, 152, None}
+    # a regular user's pairs that go on to the scores are few, however many live within the radius
+    calm = users(spark, asked[:150])
+    vectors, homes = SI.user_vectors(calm), SI.candidate_profiles(profiles.where("account_id < 9001"))
+    kept = SI.candidate_pairs(vectors, homes, 10, 0.4, 2000.0, C.SIMILARITY_WEIGHTS).count()
+    assert kept < SI.household_pairs(calm, profiles).count() * 0.35
