@@ -1,57 +1,90 @@
 """Consumption pattern of a user's similar households and the twelve-month forecast from it.
 
 From the top-k step on every row set is keyed by user and small per user (at
-most ten households by twelve months), so all the steps run on the partitioning
-the top-k produced.
+most ten households by twelve months).  The statistics of the points come from
+arrays, many users at a time; the steps after them run on one partitioning.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from gridlight import constants as C
 from gridlight.functions import calendar as CAL, numeric as N
 from gridlight.operators.series import smooth_circular
+from gridlight.operators.skew import shuffle_tasks
 
 MIN_POINTS = 3
 
 
 def pattern_points(similar: DataFrame) -> DataFrame:
-    """One row per user, household and month up to the user's last month, outliers removed."""
-    weight = F.col("score") / F.sum("score").over(Window.partitionBy("user_id"))
-    rows = similar.withColumn("weight", weight).select(
-        "user_id", "account_id", "score", "weight", "household_median", "last_user_month",
-        F.posexplode(F.slice("net_by_month", F.lit(1), F.col("last_user_month"))).alias("_pos", "value"))
-    v = F.col("value")
-    return rows.where(v.between(C.MIN_NET_KWH, C.MAX_NET_KWH)
-                      & v.between(0.3 * F.col("household_median"), 3.0 * F.col("household_median"))) \
-        .withColumn("month", F.col("_pos") + 1).drop("_pos")
+    """One row per user: of every similar household its score and its value of each month, null after the user's last month and for outliers."""
+    kept = lambda v, i: (i < F.col("last_user_month")) & v.between(C.MIN_NET_KWH, C.MAX_NET_KWH) & v.between(0.3 * F.col("household_median"), 3.0 * F.col("household_median"))
+    values = F.transform("net_by_month", lambda v, i: F.when(kept(v, i), v))
+    return similar.select("user_id", "score", values.alias("values")).groupBy("user_id").agg(
+        F.collect_list(F.struct("score", "values")).alias("points"), F.avg("score").alias("avg_similarity"), F.count(F.lit(1)).cast("int").alias("n_similar"))
+
+
+def points_statistics(points: pa.ListArray) -> dict[str, np.ndarray]:
+    """Of every user and month the number of points, their weighted median and their quantiles, which lie between two as in ``percentile``."""
+    flat = points.flatten()
+    score = flat.field("score").to_numpy(zero_copy_only=False)
+    values = pc.list_flatten(flat.field("values")).to_numpy(zero_copy_only=False).astype(float).reshape(-1, 12)
+    size = pc.list_value_length(points).to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
+    v, w = np.full((len(size), max(1, size.max(initial=0)), 12), np.nan), np.zeros((len(size), max(1, size.max(initial=0)), 1))
+    v[rows, place], w[rows, place, 0] = values, score / np.bincount(rows, score, len(size))[rows]
+    order = np.argsort(v, axis=1, kind="stable")    # what is missing comes last
+    v = np.take_along_axis(v, order, 1)
+    w = np.where(np.isnan(v), 0.0, np.take_along_axis(np.broadcast_to(w, v.shape), order, 1))
+    n, upto = (~np.isnan(v)).sum(1), np.cumsum(w, 1)
+    reached = ~np.isnan(v) & (np.isnan(upto) | (upto >= upto[:, -1:] / 2 - 1e-12))
+    median = np.where(reached, v, np.inf).min(1)
+
+    def quantile(p: float) -> np.ndarray:
+        at = p * (n - 1.0)
+        lower, higher = np.floor(at), np.ceil(at)
+        low, high = (np.take_along_axis(v, np.maximum(x, 0).astype(int)[:, None, :], 1)[:, 0] for x in (lower, higher))
+        return np.where(low == high, low, (higher - at) * low + (at - lower) * high)
+
+    return {"n": n, "median": median, "iqr": quantile(0.75) - quantile(0.25), "p10": quantile(0.10), "p90": quantile(0.90)}
+
+
+def _statistics(points: DataFrame) -> DataFrame:
+    """``points`` with ``known``, twelve entries of statistics, instead of the points; a user's row holds few numbers, so users are taken many at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = points_statistics(batch.column("points"))
+            entries = pa.StructArray.from_arrays([pa.array(x.reshape(-1).astype("int32" if name == "n" else float)) for name, x in found.items()], list(found))
+            known = pa.ListArray.from_arrays(pa.array(np.arange(0, 12 * len(batch) + 1, 12, dtype="int32")), entries)
+            kept = [c for c in batch.schema.names if c != "points"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], known], names=[*kept, "known"])
+
+    entry = StructType([StructField("n", IntegerType()), *[StructField(c, DoubleType()) for c in ("median", "iqr", "p10", "p90")]])
+    out = StructType([*[f for f in points.schema.fields if f.name != "points"], StructField("known", ArrayType(entry))])
+    # a row a user is sent on, so that the months need not be
+    return points.mapInArrow(run, out).repartition(shuffle_tasks(points), "user_id")
 
 
 def month_statistics(points: DataFrame) -> DataFrame:
     """Weighted median, spread and bounds per user and month (at most ``k`` points each)."""
-    month = Window.partitionBy("user_id", "month")
-    running = month.orderBy("value", "account_id").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = points.withColumns({"_cum": F.sum("weight").over(running), "_half": F.sum("weight").over(month) / 2})
-    stats = ranked.groupBy("user_id", "month").agg(
-        F.count(F.lit(1)).cast("int").alias("n"), F.min(F.when(F.col("_cum") >= F.col("_half") - 1e-12, F.col("value"))).alias("median"),
-        F.percentile("value", F.array(F.lit(0.10), F.lit(0.25), F.lit(0.75), F.lit(0.90))).alias("q"))
-    return stats.select("user_id", "month", "n", "median", (F.get("q", 2) - F.get("q", 1)).alias("iqr"),
-                        F.get("q", 0).alias("p10"), F.get("q", 3).alias("p90"))
+    rows = _statistics(points).select("user_id", F.posexplode("known").alias("_pos", "_k")).where(F.col("_k.n") > 0)
+    return rows.select("user_id", (F.col("_pos") + 1).alias("month"), "_k.*")
 
 
 def monthly_patterns(similar: DataFrame) -> DataFrame:
     """Twelve rows per user: weighted median, spread and 10/90 bounds; thin months take the seasonal default."""
-    points = pattern_points(similar)
-    stats = month_statistics(points)
-    known = stats.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("month", F.struct("n", "median", "iqr", "p10", "p90")))).alias("known"))
-    head = similar.groupBy("user_id").agg(F.avg("score").alias("avg_similarity"), F.count(F.lit(1)).cast("int").alias("n_similar"))
-    grid = head.join(known, "user_id", "left").withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
-    k = F.try_element_at(F.col("known"), F.col("month"))
+    stats = _statistics(pattern_points(similar))
+    grid = stats.select("user_id", "avg_similarity", "n_similar", F.posexplode("known").alias("_pos", "_k")).withColumn("month", F.col("_pos") + 1)
+    k, n = F.col("_k"), F.col("_k.n")
     base = 350 * N.lookup(F.col("month"), C.FORECAST_SEASONAL)
-    n = F.coalesce(k["n"], F.lit(0))
     enough = n >= MIN_POINTS
     return grid.select("user_id", "month", "avg_similarity", "n_similar", n.alias("n_points"),
                        F.when(enough, k["median"]).otherwise(base).alias("median"),

@@ -385,3 +385,31 @@ def test_block_search_keeps_the_best_pairs(spark):
     vectors, homes = SI.user_vectors(calm), SI.candidate_profiles(profiles.where("account_id < 9001"))
     kept = SI.candidate_pairs(vectors, homes, 10, 0.4, 2000.0, C.SIMILARITY_WEIGHTS).count()
     assert kept < SI.household_pairs(calm, profiles).count() * 0.35
+
+
+def test_month_statistics_stay_one_row_a_user(spark):
+    """The points of a user are not dealt out as rows; the figures are those of numpy, thin months and the last known month included."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    kind = "user_id long, account_id long, score double, household_median double, last_user_month int, net_by_month array<double>"
+    rows = [(u if u else None, a, float(rng.uniform(0.4, 1)), 300.0, 9 + u % 4, [None if rng.random() < 0.2 else float(rng.choice([5.0, 80.0, 250.0, 300.0, 310.0, 1000.0])) for _ in range(12)]) for u in range(6) for a in range(1 + 2 * u)]
+    similar = spark.createDataFrame(rows, kind)
+    points = PA.pattern_points(similar)
+    assert points.count() == 6
+    got = {(r.user_id, r.month): r for r in PA.month_statistics(points).collect()}
+    want = set()
+    for u in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == u]
+        for m in range(1, own[0][4] + 1):
+            kept = sorted((r[5][m - 1], r[2] / sum(x[2] for x in own)) for r in own if r[5][m - 1] is not None and 90 <= r[5][m - 1] <= 900)
+            if not kept:
+                continue
+            want.add((u, m))
+            v, w = np.array(kept).T
+            r = got[u, m]
+            assert r.n == len(v) and r.median == v[np.searchsorted(np.cumsum(w), w.sum() / 2 - 1e-12)]
+            q = np.quantile(v, [0.1, 0.25, 0.75, 0.9])
+            assert (r.p10, r.iqr, r.p90) == (pytest.approx(q[0]), pytest.approx(q[2] - q[1]), pytest.approx(q[3]))
+    assert got.keys() == want
+    rows = {(r.user_id, r.month): r for r in PA.monthly_patterns(similar).collect()}
+    assert len(rows) == 72 and all(r.n_points == (got[k].n if k in got else 0) for k, r in rows.items())
