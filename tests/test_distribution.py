@@ -182,3 +182,17 @@ def test_costly_distance_is_worked_out_once_a_pair(spark):
     assert found == {(r.u, r.t): round(r.d, 6) for r in every.where("d <= 2000").collect()} and found
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == every._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
+
+
+def test_points_of_one_radius_are_not_copied(spark, monkeypatch):
+    """With one radius for all, every point is sent once; the targets go to the cells that their circles touch."""
+    from gridlight.operators import spatial as SP
+    points = spark.range(200).select(F.col("id").alias("u"), (6.8 + F.col("id") % 20 * 0.004).alias("latitude"), (79.8 + F.col("id") % 19 * 0.004).alias("longitude"))
+    targets = points.where("u % 7 = 0").select(F.col("u").alias("t"), F.col("latitude").alias("TRANSFORMER_LAT"), F.col("longitude").alias("TRANSFORMER_LON"))
+    sent, plain = [], SP.skew_join
+    monkeypatch.setattr(SP, "skew_join", lambda left, right, *a, **k: sent.append((left.count(), right.count())) or plain(left, right, *a, **k))
+    one = SP.radius_join(points, targets, 2000.0, point_id="u", target_id="t")
+    each = SP.radius_join(points.withColumn("r", F.lit(2000.0)), targets, "r", point_id="u", target_id="t", max_radius_m=2000.0)
+    key = lambda df: sorted((r.u, r.t, r.distance_m) for r in df.collect())
+    assert key(one) == key(each) and len(key(one)) > 200
+    assert sent[0][0] == 200 and sent[1][0] > 200
