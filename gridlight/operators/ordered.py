@@ -138,7 +138,12 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     picks = _rank_picks(df, by, value, F.lit(1), wanted)
     at = lambda side, p: F.max(F.when(F.col("rank") == side(position(p, n)), F.col("v")))
     out = picks.groupBy(*by).agg(F.max("total_n").alias("n"), *[at(side, p).alias(f"_{name}_{k}") for name, p in probs.items() for k, side in (("lo", F.floor), ("hi", F.ceil))])
-    between = lambda name, p: F.col(f"_{name}_lo") + (position(p, F.col("n")) - F.floor(position(p, F.col("n")))) * (F.col(f"_{name}_hi") - F.col(f"_{name}_lo"))
+
+    def between(name: str, p: float) -> Column:
+        """From the nearer of the two ends, as numpy does: next to a large step the other way loses digits."""
+        low, high, share = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), position(p, F.col("n")) - F.floor(position(p, F.col("n")))
+        return F.when(share < 0.5, low + share * (high - low)).otherwise(high - (1 - share) * (high - low))
+
     return out.select(*by, "n", *[between(name, p).alias(name) for name, p in probs.items()])
 
 

@@ -110,3 +110,9 @@ def test_ks_looks_into_few_prefixes(spark):
     at = sorted(one + other)
     want = max(abs(np.searchsorted(one, x, "right") / len(one) - np.searchsorted(other, x, "right") / len(other)) for x in at)
     assert O.ks_statistic(df, [], "x", F.col("s")).first().ks_statistic == pytest.approx(want, abs=1e-12)
+
+
+def test_quantiles_between_opposite_numbers(spark):
+    """Ends that nearly cancel out are taken from the nearer one, as numpy does."""
+    df = spark.createDataFrame([(6.8000001,), (-6.8,)], "x double")
+    assert O.exact_quantiles(df, [], "x", {"m": 0.5}).first().m == pytest.approx(float(np.quantile([6.8000001, -6.8], 0.5)), rel=1e-12)
